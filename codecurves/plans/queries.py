@@ -1,0 +1 @@
+QUERIES: dict = {}
