@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, simhash, toxicity, url_filters
+from . import decontam, html_extract, packing, quality, sharding, simhash, toxicity, url_filters, warc
 from .common import table
 
 
@@ -29,6 +29,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return quality.judge(table(spark, sf_dir, "documents"), trusted).drop("ratio")
@@ -42,7 +55,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages")).drop("matched_rules")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_simhash, op8_quality, op9_packing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_simhash, op5_html_text, op6_sharding, op7_warc, op8_quality, op9_packing, op10_url_filters)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
