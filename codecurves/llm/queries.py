@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, packing, quality, sharding, simhash, toxicity, url_filters, warc
+from . import decontam, html_extract, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filters, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages")).drop("matched_rules")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op4_simhash, op5_html_text, op6_sharding, op7_warc, op8_quality, op9_packing, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_suffix_dedup, op4_simhash, op5_html_text, op6_sharding, op7_warc, op8_quality, op9_packing, op10_url_filters)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
