@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from . import common
 from .common import joined, spans, utf8
@@ -355,11 +357,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         texts: list = [None] * len(s.doc)
         for r, a, b in s.removed(anchor):
             texts[r] = s.kept(r, a, b).decode("utf-8", "ignore")
-        return pa.table({"rest": s.table["rest"], "new": pa.array(texts, pa.string())})
+        return pa.table({"rest": s.table["rest"].cast(held), "new": pa.array(texts, pa.string())})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    inner = wide.select(F.struct(*rest, as_null).alias("rest")).schema["rest"].dataType
+    inner = StructType([StructField(f.name, f.dataType, True) for f in wide.select(*rest, as_null).schema])
     held = to_arrow_type(inner)
     out = _find(wide, make, f"rest {inner.simpleString()}, new string", length, anchor, [*rest, as_null])
     text = F.when(F.col(f"rest.{as_null}"), F.lit(None)).otherwise(F.col("new")).alias("text")
