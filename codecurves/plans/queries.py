@@ -1 +1,476 @@
+"""One registered query per operator, over the test tables through the adapters of sources.fixtures."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.parity import total, u32, words
+from ..functions.storage import shared_dir, stored
+from ..operators import checks, context, corpus, curves, fits, forecast, predictors, semantics
+from ..schema import CURVE
+from ..sources import corpus_io, fixtures
+from ..sources.fixtures import table
+
+
+class Inputs:
+    """The tables that most queries start from, as unevaluated plans."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.files = fixtures.files(spark, sf_dir)
+        self.order = corpus.order_shuffled(self.files)
+
+    @property
+    def tokens(self) -> DataFrame:
+        return corpus.assign_positions(corpus.tokenize(self.files), self.order)
+
+    @property
+    def losses(self) -> DataFrame:
+        return predictors.score_adaptive(self.tokens)
+
+    @property
+    def curve(self) -> DataFrame:
+        return curves.loss_by_position(self.losses)
+
+    @property
+    def fits(self) -> DataFrame:
+        return fits.fit_power_law(self.curve)
+
+    @property
+    def edges(self) -> DataFrame:
+        return corpus.definition_use_edges(self.files)
+
+    @property
+    def noisy(self) -> tuple[DataFrame, DataFrame]:
+        t, m = checks.inject_noise(self.tokens)
+        return predictors.score_adaptive(t), m
+
+    @property
+    def file_losses(self) -> DataFrame:
+        s = self.losses.groupBy("language", "file_id").agg(total("ubits").alias("ubits"), total("n_bytes").alias("n_bytes"))
+        return s.select("language", "file_id", curves.bpb().alias("bpb"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return table(self.spark, self.dir, "embeddings")
+
+
 QUERIES: dict = {}
+
+
+def query(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(Inputs(spark, sf_dir))
+
+    run.__name__ = f.__name__
+    QUERIES[f.__name__] = run
+    return run
+
+
+@query
+def a1_read_corpus(x):
+    cols = {"language": "lang", "codebase": "concat_ws('/', lang, source)", "file_id": "doc_id", "path": "concat_ws('/', lang, source, doc_id)", "content": "text"}
+    read = corpus_io.read_corpus(x.spark, f"{x.dir}/documents.parquet", "parquet", columns=cols)
+    return read.select("language", "codebase", "file_id", "path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query
+def a2_corpus_census(x):
+    return corpus.corpus_census(x.files, "en")
+
+
+@query
+def a3_duplicate_census(x):
+    return corpus.duplicate_census(x.files)
+
+
+@query
+def a4_near_duplicate_pairs(x):
+    return corpus.near_duplicate_pairs(x.files)
+
+
+@query
+def a5_order_shuffled(x):
+    return x.order
+
+
+@query
+def a6_definition_use_edges(x):
+    return x.edges
+
+
+@query
+def a7_order_dependency(x):
+    return corpus.order_dependency(x.files, x.edges)
+
+
+@query
+def a8_pack_corpus(x):
+    return corpus.pack_corpus(x.files, x.order).select("codebase", "seq", "file_id", "header", F.md5(F.col("body").cast("binary")).alias("body_md5"), "byte_start", "byte_end")
+
+
+@query
+def a9_tokenize(x):
+    return corpus.tokenize(x.files).select("file_id", "i", "token", "n_bytes")
+
+
+@query
+def a10_assign_positions(x):
+    return x.tokens.groupBy("codebase", "file_id").agg(F.min("pos").cast("long").alias("first"), F.max("pos").cast("long").alias("last"), F.count("*").alias("n"), total(F.col("pos") * F.col("n_bytes")).alias("weight"))
+
+
+@query
+def a11_context_windows(x):
+    w = corpus.context_windows(x.tokens, 1024, 512)
+    return w.groupBy("codebase", "window").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"), F.min("pos_in_window").cast("long").alias("first"), F.max("pos_in_window").cast("long").alias("last"))
+
+
+@query
+def a12_write_curves(x):
+    path = f"{shared_dir(x.spark)}/curves-{uuid.uuid4().hex}"
+    corpus_io.write_curves(x.curve.withColumn("scorer", F.lit("adaptive")), path)
+    return corpus_io.read_curves(x.spark, path, CURVE).select("language", "bucket", "n", "ubits", "bpb")
+
+
+@query
+def b1_score_adaptive(x):
+    return x.losses.groupBy("codebase", "file_id").agg(F.count("*").alias("n"), total("ubits").alias("ubits"))
+
+
+@query
+def b2_train_ngram(x):
+    two, one, all_ = predictors.train_ngram(x.tokens)
+    a = two.groupBy("language").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("ccw") == 1).alias("n_once"), F.max("ccw").alias("most"))
+    return a.join(one.groupBy("language").agg(F.count("*").alias("n_words")), "language").join(all_, "language")
+
+
+def _frozen(x):
+    t = x.tokens
+    return predictors.score_frozen(t.filter(~forecast.is_train()), predictors.train_ngram(t.filter(forecast.is_train())))
+
+
+@query
+def b3_score_frozen(x):
+    return curves.loss_by_position(_frozen(x)).select("language", "bucket", "n", "ubits", "n_bytes")
+
+
+@query
+def b4_ingest_losses(x):
+    t = stored(x.losses, "losses")
+    key = F.concat_ws(":", F.col("file_id").cast("string"), F.col("i").cast("string"))
+    dump = t.withColumn("u", u32("dump", key) % 1000).select("codebase", "file_id", "i", (-F.col("ubits") / F.lit(1e6) * F.lit(0.6931471805599453)).alias("logprob"), "u").filter("u >= 10")
+    more = dump.filter("u < 12").withColumn("file_id", F.col("file_id") + 1_000_000_000).unionByName(dump.filter("u between 20 and 22"))
+    losses, coverage = corpus_io.ingest_losses(t.drop("ubits"), dump.unionByName(more).drop("u"))
+    return coverage.join(losses.groupBy("language").agg(total("ubits").alias("ubits")), "language", "left").fillna(0, ["ubits"])
+
+
+def length_scorer():
+    """A stand-in for a model: a token costs eight bits a byte."""
+    return lambda tokens: [8.0 * len(t.encode()) for t in tokens]
+
+
+@query
+def b5_score_with_model(x):
+    w = corpus.context_windows(x.tokens, 1024, 1024).groupBy("language", "codebase", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
+    return predictors.score_with_model(w, length_scorer).groupBy("language").agg(F.count("*").alias("n"), total("ubits").alias("ubits"))
+
+
+@query
+def b6_score_compression(x):
+    return predictors.score_compression(x.files, [0, 1024, 32768]).groupBy("language", "rung").agg(total("n_bytes").alias("n_bytes"), total("n_bits").alias("n_bits"))
+
+
+@query
+def b7_score_limited_context(x):
+    s = predictors.score_limited_context(x.tokens, [64, 1024, 16384])
+    return s.groupBy("rung", "language").agg(F.count("*").alias("n"), total("ubits").alias("ubits"), total("n_bytes").alias("n_bytes"))
+
+
+@query
+def b8_normalise_units(x):
+    return predictors.normalise_units(x.losses, ["language"])
+
+
+@query
+def b9_normalise_line_length(x):
+    return predictors.normalise_line_length(x.losses, x.files)
+
+
+@query
+def b10_tokenizer_bias(x):
+    chars = corpus.assign_positions(corpus.tokenize(x.files, "char"), x.order)
+    both = x.losses.withColumn("tokenizer", F.lit("word")).unionByName(predictors.score_adaptive(chars).withColumn("tokenizer", F.lit("char")))
+    return predictors.normalise_units(both, ["language", "tokenizer"]).select("language", "tokenizer", "n", "ubits", "bits_per_token", "bpb")
+
+
+@query
+def c1_loss_by_position(x):
+    return x.curve
+
+
+@query
+def c2_loss_by_position_balanced(x):
+    return curves.loss_by_position_balanced(x.losses, 10)
+
+
+@query
+def c3_curve_by_factors(x):
+    src = x.losses.withColumn("source", F.element_at(F.split("codebase", "/"), 2))
+    return curves.curve_by_factors(src, ["language", "source"])
+
+
+@query
+def c4_context_gain(x):
+    return curves.context_gain(x.curve)
+
+
+@query
+def c5_prefix_loss(x):
+    return curves.prefix_loss(x.losses)
+
+
+@query
+def d1_fit_power_law(x):
+    return x.fits
+
+
+@query
+def d2_fit_power_law_offset(x):
+    return fits.fit_power_law_offset(x.curve)
+
+
+@query
+def d3_fit_codebase_exponents(x):
+    return fits.fit_codebase_exponents(x.losses)
+
+
+@query
+def d4_bootstrap_exponents(x):
+    return fits.bootstrap_exponents(x.losses)
+
+
+@query
+def d5_forecast_holdout(x):
+    return fits.forecast_holdout(x.curve, 9)
+
+
+@query
+def d6_compare_languages(x):
+    c = stored(x.curve, "curve")
+    return fits.compare_languages(fits.fit_power_law(c), c, fixtures.traits(x.spark))
+
+
+@query
+def e1_extrapolate(x):
+    return forecast.extrapolate(x.fits, [1_000, 100_000, 10_000_000])
+
+
+@query
+def e2_crossovers(x):
+    return forecast.crossovers(stored(x.fits, "fits"))
+
+
+@query
+def e3_required_model_size(x):
+    return forecast.required_model_size(x.tokens, [100, 1_000, 10_000, 100_000], 5.0)
+
+
+@query
+def e4_train_size_sweep(x):
+    return forecast.exponent_trend(forecast.train_size_sweep(x.tokens, [2, 4, 8]))
+
+
+@query
+def e5_data_to_crossover(x):
+    return forecast.data_to_crossover(stored(forecast.train_size_sweep(x.tokens, [2, 4, 8]), "sweep"), 1e5)
+
+
+@query
+def e6_exchange_rates(x):
+    return forecast.exchange_rates(x.tokens, fixtures.prices(x.spark), [2, 8])
+
+
+@query
+def e7_best_of_k(x):
+    return forecast.best_of_k(fixtures.attempts(x.spark, x.dir), [1, 2, 4, 8])
+
+
+@query
+def f1_inject_noise(x):
+    return checks.inject_noise(x.tokens)[1].select("codebase", "file_id", "i", "original", "mutated")
+
+
+@query
+def f2_surprise_delta(x):
+    noisy, m = x.noisy
+    return checks.surprise_delta(x.losses, noisy, m)
+
+
+@query
+def f3_anomaly_quality(x):
+    return checks.anomaly_quality(*x.noisy)
+
+
+@query
+def f3_anomaly_top_k(x):
+    return checks.anomaly_top_k(*x.noisy)
+
+
+@query
+def f4_rollout_pass_rate(x):
+    return checks.rollout_pass_rate(fixtures.rollouts(x.spark, x.dir))
+
+
+@query
+def f5_extract_signatures(x):
+    return checks.extract_signatures(x.files).select("codebase", "file_id", F.md5(F.col("signature").cast("binary")).alias("signature_md5"), "body_md5")
+
+
+@query
+def f6_signature_determinism(x):
+    return checks.signature_determinism(checks.extract_signatures(x.files), F.get(words(F.col("signature")), F.lit(0)))
+
+
+@query
+def g1_ablate(x):
+    lines = semantics.ablate(x.files)
+    return lines.groupBy("variant", "language").agg(F.count("*").alias("n_lines"), total(F.octet_length("line")).alias("n_bytes"))
+
+
+@query
+def g2_ablation_effect(x):
+    return semantics.ablation_effect(stored(semantics.variant_losses(semantics.ablate(x.files, ("full", "no_repeats", "no_first_line")), x.order), "variants"))
+
+
+@query
+def h1_component_loss(x):
+    return semantics.component_loss(x.losses)
+
+
+@query
+def h2_hotspots(x):
+    return semantics.hotspots(x.losses)
+
+
+@query
+def h3_predictable_runs(x):
+    return semantics.predictable_runs(x.losses)
+
+
+@query
+def h4_inconsistent_identifiers(x):
+    return semantics.inconsistent_identifiers(corpus.tokenize(x.files))
+
+
+@query
+def h5_repeat_learning(x):
+    return semantics.repeat_learning(x.losses, x.files, x.order)
+
+
+@query
+def i1_context_contribution(x):
+    return context.context_contribution(context.rare_terms(corpus.tokenize(x.files)))
+
+
+@query
+def i2_greedy_coreset(x):
+    return context.greedy_coreset(context.rare_terms(corpus.tokenize(x.files)))
+
+
+@query
+def i3_signature_context_gap(x):
+    sig = x.files.withColumn("content", F.substring_index("content", "\n", 1))
+    return context.signature_context_gap(x.tokens, corpus.assign_positions(corpus.tokenize(sig), x.order), forecast.is_train())
+
+
+@query
+def i4_context_fanout(x):
+    return context.context_fanout(x.files, x.edges)
+
+
+def _after(x):
+    l = semantics.ablate(x.files, ("no_repeats",))  # noqa: E741
+    g = l.groupBy("language", "codebase", "file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return g.select("language", "codebase", "file_id", F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("content"))
+
+
+@query
+def j1_refactor_delta(x):
+    after = stored(_after(x), "after")
+    return context.refactor_delta(x.files, after, x.losses, predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(after), x.order)))
+
+
+@query
+def j2_revision_trend(x):
+    c = table(x.spark, x.dir, "conversations")
+    f = c.select(F.lit("none").alias("language"), F.col("conv_id").cast("string").alias("codebase"), F.col("turn").alias("file_id"), F.col("text").alias("content"))
+    order = f.select("codebase", "file_id", F.col("file_id").alias("seq"))
+    losses = predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(f), order))
+    return context.revision_trend(losses.select(F.col("codebase").cast("long").alias("project"), F.col("file_id").alias("revision"), "ubits", "n_bytes"))
+
+
+@query
+def k1_assign_topics(x):
+    return context.assign_topics(x.vectors, context.centroids(x.vectors))
+
+
+def _pairs(x):
+    items = x.files.join(x.vectors.withColumnRenamed("vec_id", "file_id"), "file_id").withColumnRenamed("label", "topic")
+    return context.match_topic_pairs(items.select("language", "codebase", "file_id", "topic", "embedding"))
+
+
+@query
+def k2_match_topic_pairs(x):
+    return _pairs(x)
+
+
+@query
+def k3_paired_contrast(x):
+    return context.paired_contrast(_pairs(x), stored(x.file_losses, "file-losses"))
+
+
+@query
+def k3_spec_contrast(x):
+    labels = table(x.spark, x.dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
+    specs = x.files.join(labels, "file_id").select(F.floor(F.col("file_id") / 4).cast("long").alias("spec_id"), "language", "file_id", "quality")
+    return context.paired_contrast(context.quality_matched(specs), stored(x.file_losses, "file-losses"))
+
+
+@query
+def k4_adjust_for_domain(x):
+    items = x.file_losses.join(x.vectors.select(F.col("vec_id").alias("file_id"), F.col("label").alias("topic")), "file_id")
+    return context.adjust_for_domain(stored(items.select("language", "topic", F.col("bpb").alias("y")), "items"))
+
+
+@query
+def l1_icl_gain(x):
+    return context.icl_gain(_frozen(x), x.losses)
+
+
+@query
+def l2_split_train_test(x):
+    return context.drop_leaked(context.split_train_test(x.files), table(x.spark, x.dir, "benchmark"))
+
+
+@query
+def m1_reuse_stats(x):
+    return context.reuse_stats(x.files, x.edges)
+
+
+@query
+def m2_repair_locality(x):
+    return context.repair_locality(*fixtures.repairs(x.spark, x.dir))
+
+
+@query
+def m3_library_compression(x):
+    new = context.with_library(x.files, x.order)
+    return context.library_compression(x.losses, predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(new), x.order)))
+
+
+@query
+def m4_variance_decomposition(x):
+    return context.variance_decomposition(stored(fits.codebase_exponents(x.losses), "exponents"), fixtures.traits(x.spark))
