@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +70,15 @@ def pieces(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[pa.RecordBa
         lo = hi
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: workers are kept and used again by whatever runs next on the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ : digits, a-z and all of 0x80 and above.

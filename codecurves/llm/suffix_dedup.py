@@ -2,8 +2,9 @@
 
 Documents are cut into shards by ranges of doc_id. Within a shard, a suffix array (Larsson-Sadakane) and its common prefixes (Kasai) put
 equal strings side by side. Across shards, sorted runs of keys are merged by binary search to tell each shard which of its strings a
-smaller shard has. So that neither suffix arrays nor keys are made of text that repeats nowhere, one such merge goes before: of anchors,
-20-byte strings picked so that equal 50-byte strings hold an equal anchor; only strings all of whose anchors are known go on.
+smaller shard has. Keys of all strings would be many times the text, so three merges follow each other. Anchors: 20-byte strings picked so
+that equal 50-byte strings have an equal anchor; text whose anchors repeat nowhere is done with. Covers: all the bytes of a run of strings
+with one anchor; where they are equal so are the strings. Strings themselves: only where an anchor has several covers.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ from .suffixes import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text in a shard, and of keys in a bucket that one task merges: both bound a task's memory.
-SHARD_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
-BLOCK = 1 << 20
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK = 1 << 18
 SALTS = 16
 _LAST = 2**63 - 1
+#: What the rows that reach a shard beside its documents are: exact copies; anchors that a smaller shard has, or only a larger one; covers
+#: (runs of strings with one anchor) that a smaller shard has, or whose strings are asked for; strings that a smaller shard has.
+COPY, ANCHOR_BEFORE, ANCHOR_AFTER, COVER_BEFORE, COVER_SPLIT, STRING_BEFORE = range(6)
 SIDE = "shard long, kind int, bucket int, doc long, blob binary"
 
 
@@ -79,7 +83,7 @@ class Shard:
     def __init__(self, table: pa.Table, side: pa.Table, length: int, buckets: int):
         self.length, self.buckets = length, buckets
         kind = side["kind"].to_numpy()
-        self.side = {k: side.filter(pa.array(kind == k)) for k in (0, 1, 2, 3)}
+        self.side = {k: side.filter(pa.array(kind == k)) for k in range(6)}
         order = np.argsort(table["doc"].to_numpy(), kind="stable")
         self.table = table.take(pa.array(order))
         self.doc = self.table["doc"].to_numpy()
@@ -100,16 +104,22 @@ class Shard:
     def row(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, places, "right") - 1
 
-    def runs(self, keys: np.ndarray, kind: int, shard: int, narrow: bool) -> pa.Table:
-        """Distinct keys, sorted, cut into buckets by their lowest part. narrow: 32 bits are sent, enough to find candidates."""
-        keys = np.unique(keys)
-        bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
-        rest = keys // np.uint64(self.buckets)
-        rest = (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32) if narrow else rest
-        which = np.unique(bucket)
-        blobs = [np.unique(rest[bucket == b]).tobytes() for b in which.tolist()]
-        n = len(which)
-        return pa.table({"shard": pa.array(np.full(n, shard)), "kind": pa.array(np.full(n, kind, np.int32)), "bucket": pa.array(which.astype(np.int32)), "doc": pa.array(np.zeros(n, np.int64)), "blob": pa.array(blobs, pa.binary())})
+    def sent(self, keys: np.ndarray, shard: int, narrow: bool, by: np.ndarray | None = None) -> pa.Table:
+        """Distinct keys, sorted, cut into buckets by the lowest part of `by` (or of themselves). narrow: 32 bits are sent, enough to find
+        candidates. With `by`, its 32 bits follow each bucket's keys."""
+        group = keys if by is None else by
+        bucket = (group % np.uint64(self.buckets)).astype(np.int64)
+        rest = ((group // np.uint64(self.buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        rows = []
+        for b in range(self.buckets):
+            at = order[edge[b] : edge[b + 1]]
+            if len(at):
+                own, first = np.unique(rest[at] if narrow else keys[at], return_index=True)
+                rows.append((b, own.tobytes() + (b"" if by is None else rest[at][first].tobytes())))
+        n = len(rows)
+        return pa.table({"shard": pa.array(np.full(n, shard, np.int64)), "kind": pa.array(np.zeros(n, np.int32)), "bucket": pa.array([r[0] for r in rows], pa.int32()), "doc": pa.array(np.zeros(n, np.int64)), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def known(self, keys: np.ndarray, kind: int, narrow: bool) -> np.ndarray:
         """Whether a smaller shard has each key, as the merge of this kind answered."""
@@ -127,23 +137,48 @@ class Shard:
             out[at] = told[k] == rest[at]
         return out
 
-    def candidates(self, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Strings whose anchor another shard has, or another document of this one: place, whether a smaller shard has the anchor, whether
-        any other has."""
-        start, end, keys = anchor_runs(self.buf, self.valid, self.length, anchor)
-        doc = self.doc[self.own[self.row(start)]] if len(start) else start
-        order = np.lexsort((doc, keys))
-        k, r = keys[order], doc[order]
+    def stretches(self, anchor: int) -> None:
+        """Runs of strings with one anchor: where they start and end, the anchor's key, the document, the key of all the bytes they cover,
+        and whether several documents of this shard have the anchor."""
+        self.start, self.end, self.key = anchor_runs(self.buf, self.valid, self.length, anchor)
+        self.who = self.doc[self.own[self.row(self.start)]] if len(self.start) else self.start
+        order = np.lexsort((self.who, self.key))
+        k, r = self.key[order], self.who[order]
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         last = np.append(begin[1:], len(k)) - 1 if len(k) else begin
-        near = np.zeros(len(k), bool)
-        near[order] = np.repeat(r[begin] != r[last], last - begin + 1)
-        far = self.known(keys, 1, True)
-        else_ = far | self.known(keys, 3, True)
-        use = near | else_
-        size = (end - start)[use]
-        at = np.arange(int(size.sum())) + np.repeat(start[use] - (np.cumsum(size) - size), size)
-        return at, np.repeat(far[use], size), np.repeat(else_[use], size)
+        self.near = np.zeros(len(k), bool)
+        self.near[order] = np.repeat(r[begin] != r[last], last - begin + 1)
+
+    def covers(self, use: np.ndarray) -> np.ndarray:
+        """Keys of the bytes that these runs cover, from the first string's first to the last string's last."""
+        out, start, stop = np.zeros(len(use), np.uint64), self.start[use], self.end[use] + self.length - 1
+        for a in range(0, len(self.buf), BLOCK):
+            lo, hi = np.searchsorted(start, [a, a + BLOCK])
+            if hi > lo:
+                out[lo:hi] = common.span_hashes(self.buf[a : int(stop[lo:hi].max())], start[lo:hi] - a, stop[lo:hi] - a)
+        return out ^ (stop - start).astype(np.uint64)
+
+    def places(self, use: np.ndarray) -> np.ndarray:
+        """The places of all strings in these runs."""
+        size = self.end[use] - self.start[use]
+        return np.arange(int(size.sum())) + np.repeat(self.start[use] - (np.cumsum(size) - size), size)
+
+    def string_keys(self, at: np.ndarray) -> np.ndarray:
+        keys = np.zeros(len(at), np.uint64)
+        for a in range(0, len(self.buf), BLOCK):
+            lo, hi = np.searchsorted(at, [a, a + BLOCK])
+            if hi > lo:
+                keys[lo:hi] = string_keys(self.buf[a : a + BLOCK + self.length], self.length)[at[lo:hi] - a]
+        return keys
+
+    def shared(self) -> np.ndarray:
+        """Runs whose anchor another shard has."""
+        return np.flatnonzero(self.known(self.key, ANCHOR_BEFORE, True) | self.known(self.key, ANCHOR_AFTER, True))
+
+    def told(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Which of these keys the answers of a kind name, whatever their bucket."""
+        blobs = self.side[kind]["blob"].to_pylist()
+        return np.isin(keys, np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(len(keys), bool)
 
     def classes(self, at: np.ndarray) -> np.ndarray:
         """A number for each of the strings at these places, equal for equal strings: suffix array of the text that the strings
@@ -162,33 +197,29 @@ class Shard:
         number[sa] = np.cumsum(lcp < self.length)
         return number[place]
 
-    def strings(self, anchor: int) -> tuple[np.ndarray, ...]:
-        """(place, in another document of the shard with a smaller id, may be in a smaller shard, or in any other, key) of each candidate."""
-        at, far, other = self.candidates(anchor)
+    def repeated_here(self) -> np.ndarray:
+        """Places of strings that a document of this shard with a smaller id has."""
+        at = self.places(np.flatnonzero(self.near))
         if not at.size:
-            return at, far, far, other, np.zeros(0, np.uint64)
+            return at
         number, doc = self.classes(at), self.doc[self.own[self.row(at)]]
         order = np.lexsort((doc, number))
         new = np.concatenate([[True], np.diff(number[order]) != 0])
         first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        near = np.zeros(len(at), bool)
-        near[order] = doc[order] > doc[first]
-        lead = np.empty(len(at), np.int64)
-        lead[order] = first
-        keys = np.zeros(len(at), np.uint64)
-        for a in range(0, len(self.buf), BLOCK):
-            lo, hi = np.searchsorted(at, [a, a + BLOCK])
-            if hi > lo:
-                keys[lo:hi] = string_keys(self.buf[a : a + BLOCK + self.length], self.length)[at[lo:hi] - a]
-        return at, near, far, other, keys[lead]
+        return at[order[doc[order] > doc[first]]]
+
+    def repeated_before(self) -> np.ndarray:
+        """Places of strings that a smaller shard has."""
+        use = self.shared()
+        keys = self.covers(use)
+        whole, part = self.told(keys, COVER_BEFORE), self.told(keys, COVER_SPLIT)
+        at = self.places(use[part & ~whole])
+        return np.concatenate([self.places(use[whole]), at[self.told(self.string_keys(at), STRING_BEFORE)]])
 
     def removed(self, anchor: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(row of the table, starts, ends of the removed runs) of every document."""
-        at, near, far, _, keys = self.strings(anchor)
-        gone = near.copy()
-        ask = np.flatnonzero(far & ~near)
-        gone[ask] = self.known(keys[ask], 2, False)
-        at = at[gone]
+        self.stretches(anchor)
+        at = np.concatenate([self.repeated_here(), self.repeated_before()])
         change = np.zeros(len(self.buf) + 1, np.int32)
         np.add.at(change, at, 1)
         np.add.at(change, at + self.length, -1)
@@ -218,7 +249,7 @@ class Shard:
 def merge_runs(runs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted runs of distinct keys, in order of shard: every key once, the smallest shard that has it and the largest. Runs are merged
     two by two, each key of one put in its place among the other's by binary search."""
-    level = [(keys, np.full(len(keys), shard, np.int64), np.full(len(keys), shard, np.int64)) for shard, keys in runs]
+    level = [(keys, np.full(len(keys), shard, np.int32), np.full(len(keys), shard, np.int32)) for shard, keys in runs]
     while len(level) > 1:
         nxt = []
         for i in range(0, len(level) - 1, 2):
@@ -241,23 +272,37 @@ def merge_runs(runs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     return level[0]
 
 
-def _answers(runs: DataFrame, narrow: bool, kinds: tuple[int, ...]) -> DataFrame:
-    """Of each shard's keys in each bucket: as the first of kinds, those that a smaller shard has; as the second, if it is asked for,
-    the others that a larger shard has."""
+def _answers(runs: DataFrame, kinds: tuple[int, ...], narrow: bool = False, grouped: bool = False) -> DataFrame:
+    """What shards are told about the keys they sent. First of kinds: those that a smaller shard has. Second: those that only a larger
+    one has; or, if keys come grouped (covers by anchor), first holders of one of several covers of an anchor, whose strings must be
+    compared one by one."""
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
-        shards = table["shard"].to_pylist()
-        keys = [np.frombuffer(b, np.uint32 if narrow else np.uint64) for b in table["blob"].to_pylist()]
+        shards, blobs = table["shard"].to_pylist(), table["blob"].to_pylist()
+        if grouped:
+            cut = [len(b) * 2 // 3 for b in blobs]
+            keys = [np.frombuffer(b[:n], np.uint64) for b, n in zip(blobs, cut, strict=True)]
+        else:
+            keys = [np.frombuffer(b, np.uint32 if narrow else np.uint64) for b in blobs]
         every, first, last = merge_runs(list(zip(shards, keys, strict=True)))
+        if grouped:
+            group = np.zeros(len(every), np.uint32)
+            for b, n, k in zip(blobs, cut, keys, strict=True):
+                group[np.searchsorted(every, k)] = np.frombuffer(b[n:], np.uint32)
+            _, which, size = np.unique(group, return_inverse=True, return_counts=True)
+            split = size[which] > 1
         rows = []
         for s, k, bucket in zip(shards, keys, table["bucket"].to_pylist(), strict=True):
             at = np.searchsorted(every, k)
-            before, after = first[at] < s, last[at] > s
-            for kind, told in zip(kinds, (k[before], k[after & ~before]), strict=False):
+            before = first[at] < s
+            other = split[at] & ~before if grouped else (last[at] > s) & ~before
+            for kind, told in zip(kinds, (k[before], k[other]), strict=False):
                 if len(told):
                     rows.append((s, kind, bucket, 0, told.tobytes()))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        del every, first, last, keys, blobs
+        common.release()
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("shard", "kind", "bucket", "doc", "blob"), types, strict=True))})
 
     return runs.groupBy("bucket").applyInArrow(answer, SIDE)
@@ -298,28 +343,42 @@ def _find(docs: DataFrame, make, schema: str, length: int, anchor: int, rest: li
     copies = common.stored(copies, "copies")
     buckets = max(1, -(-size // (4 * BUCKET_BYTES)))
 
-    def send_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _empty(_SIDE)
-        s = Shard(left, right, length, buckets)
-        return s.runs(anchor_runs(s.buf, s.valid, length, anchor)[2], 1, left["shard"][0].as_py(), True)
+    def sender(send):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _empty(_SIDE)
+            s = Shard(left, right, length, buckets)
+            s.stretches(anchor)
+            out = send(s, left["shard"][0].as_py())
+            del s
+            common.release()
+            return out
+
+        return run
 
-    def send_strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _empty(_SIDE)
-        s = Shard(left, right, length, buckets)
-        _, near, _, other, keys = s.strings(anchor)
-        return s.runs(keys[other & ~near], 2, left["shard"][0].as_py(), False)
+    def anchors_of(s: Shard, shard: int) -> pa.Table:
+        return s.sent(s.key, shard, True)
+
+    def covers_of(s: Shard, shard: int) -> pa.Table:
+        use = s.shared()
+        return s.sent(s.covers(use), shard, False, by=s.key[use])
+
+    def strings_of(s: Shard, shard: int) -> pa.Table:
+        use = s.shared()
+        return s.sent(s.string_keys(s.places(use[s.told(s.covers(use), COVER_SPLIT)])), shard, False)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        return make(Shard(left, right, length, buckets) if left.num_rows else None, anchor)
+        out = make(Shard(left, right, length, buckets) if left.num_rows else None, anchor)
+        common.release()
+        return out
 
     def with_side(side: DataFrame, f, out: str) -> DataFrame:
         return base.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(f, out)
 
-    side = copies.unionByName(_answers(with_side(copies, send_anchors, SIDE), True, (1, 3)))
-    strings = with_side(side, send_strings, SIDE)
-    return with_side(side.unionByName(_answers(strings, False, (2,))), finish, schema)
+    side = copies
+    for send, kinds, how in ((anchors_of, (ANCHOR_BEFORE, ANCHOR_AFTER), {"narrow": True}), (covers_of, (COVER_BEFORE, COVER_SPLIT), {"grouped": True}), (strings_of, (STRING_BEFORE,), {})):
+        side = side.unionByName(_answers(with_side(side, sender(send), SIDE), kinds, **how))
+    return with_side(side, finish, schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -328,8 +387,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     A null text is empty. Rows with the same doc_id are one document's: they remove nothing from each other. Rows with a null doc_id come
     after all others and remove nothing from each other. An empty table gives no rows; other columns are ignored.
 
-    Texts are shuffled once, by ranges of doc_id, and read three times; keys of anchors and of candidate strings make two small shuffles
-    each way. A string that very many documents hold is one key a shard. Copies of a whole smaller document are told by their digest
+    Texts are shuffled once, by ranges of doc_id, and read four times; keys of anchors, covers and strings make small shuffles each way. A string that very many documents hold is one key a shard. Copies of a whole smaller document are told by their digest
     and skip the arrays: a smaller document holds all their strings."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
