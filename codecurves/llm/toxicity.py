@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, joined, pieces, stored, utf8
+from .common import LOWER, joined, pieces, release, stored, utf8
 
 #: Most labelled rows that the classifier is fitted on (those of the smallest hash), and the most features that it keeps.
-MAX_LABELLED, MAX_FEATURES = 8_000, 200_000
-#: Texts that a feature must stand in before it counts, and words of a worker's cache (emptied when full).
-MIN_TEXTS, CACHE = 3, 200_000
+MAX_LABELLED, MAX_FEATURES = 8_000, 50_000
+#: Toxic texts that a feature must stand in, and how much likelier it must be there, before it counts; words of a worker's cache (emptied when full).
+MIN_TEXTS, MIN_ODDS, CACHE = 3, 4.0, 100_000
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SWAP_COST, SYMBOLS = 1.0, 29
@@ -30,6 +30,7 @@ _RUN = re.compile(r"(.)\1*", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
 _NOISY = re.compile(r"[0-9@$!|+(€]|([^\W\d_])\1\1|^\W*\w(?:[.\-_*~]\w){2,}\W*$")
 _APART = re.compile(r"(?<!\S)(?:[^\s\x00-#%-/:-?\[-`{}~][ \t]){3,}[^\s\x00-#%-/:-?\[-`{}~](?!\S)")
+_TRIPLE, _AROUND = re.compile(r"([^\W\d_])\1\1"), ".,;:?\"'"
 _EDGE = re.compile(r"^[^\w@$|(€]+|[^\w@$€]+$")
 
 
@@ -89,10 +90,18 @@ class Restorer:
                 out += [means] * n
         return out
 
+    def apart(self, signs: list[str]) -> str:
+        """Signs set apart by blanks: between any two, the word may go on or end."""
+        slots = [slot for sign in signs for slot in (*self.lattice(sign), [("", 0.0), (" ", 0.0)])]
+        return self.best(slots[:-1])
+
     def decode(self, word: str) -> str:
+        return self.best(self.lattice(word))
+
+    def best(self, slots: list[list[tuple[str, float]]]) -> str:
         """The likeliest path (Viterbi over the last two characters)."""
         best = {(0, 0): (0.0, "")}
-        for slot in [*self.lattice(word), [(" ", 0.0)]]:
+        for slot in [*slots, [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in best.items():
                 for piece, cost in slot:
@@ -113,11 +122,16 @@ class Restorer:
         core = _EDGE.sub("", token)
         return self.decode(core) if any(c.isalpha() for c in core) else token
 
+    def words(self, token: str) -> set[str]:
+        """The words of a token, as written and as restored."""
+        out = set(_WORD.findall(token))
+        return out | set(_WORD.findall(self.restore(token))) if _NOISY.search(token) else out
+
     def tokens(self, text: str) -> set[str]:
         low = text.lower()
         out = set(low.split())
         for m in _APART.finditer(low):
-            out.add(self.decode("".join(m[0].split())))
+            out.update(self.apart(m[0].split()).split())
         return out
 
 
@@ -131,7 +145,8 @@ class Evidence:
 
     def __init__(self, restorer: Restorer, known: dict[str, tuple[int, int]], total: tuple[int, int]):
         self.restorer, self.known, self.total = restorer, known, total
-        self.cache: dict[str, tuple[float, str]] = {}
+        self.cache: dict[str, float] = {}
+        self.heads = {f[1:4] for f in known}
 
     def weight(self, p: int, n: int, own: int = -1) -> float:
         """own: the label of a text whose part in the counts is taken out."""
@@ -139,16 +154,16 @@ class Evidence:
         return math.log((p - (own == 1) + 0.5) / (pos + 1)) - math.log((n - (own == 0) + 0.5) / (neg + 1))
 
     def token(self, raw: str, own: int = -1) -> float:
-        words = set(_WORD.findall(raw))
-        if _NOISY.search(raw):
-            words |= set(_WORD.findall(self.restorer.restore(raw)))
-        found = [self.known[f] for w in words for f in features(w) if f in self.known]
+        found = [self.known[f] for w in self.restorer.words(raw) for f in features(w) if f in self.known]
         return max([0.0, *(self.weight(p, n, own) for p, n in found if p - (own == 1) > 0)])
 
     def text(self, text: str | None, own: int = -1) -> tuple[float, float]:
         """The two strongest tokens."""
-        cache, got = self.cache, []
+        cache, heads, got = self.cache, self.heads, []
         for raw in self.restorer.tokens(text or ""):
+            word = raw.strip(_AROUND).rstrip("!")
+            if word.isalpha() and word[:3] not in heads and not _TRIPLE.search(word):
+                continue  # one undisguised word that begins like no feature
             if own >= 0:
                 got.append(self.token(raw, own))
                 continue
@@ -177,13 +192,14 @@ def _feature_counts(sample: DataFrame, restorer) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = {""}
                 for raw in restorer.value.tokens(text or ""):
-                    for w in _WORD.findall(restorer.value.restore(raw)):
+                    for w in restorer.value.words(raw):
                         held.update(features(w))
                 for f in held:
                     counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
-                if len(counts) > 400_000:
+                if len(counts) > 150_000:
                     yield flush()
         yield flush()
+        release()
 
     return sample.select("text", "toxic").mapInArrow(run, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
@@ -198,7 +214,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED):
     total = counts.filter("feature = ''").first()
     total = (total["p"], total["n"]) if total else (0, 0)
     odds = F.col("p") / F.lit(total[0] + 1) / ((F.col("n") + 0.5) / F.lit(total[1] + 1))
-    kept = counts.filter(f"feature <> '' and p >= {MIN_TEXTS}").filter(odds > 2).orderBy(odds.desc(), "feature").limit(MAX_FEATURES).toArrow().to_pydict()
+    kept = counts.filter(f"feature <> '' and p >= {MIN_TEXTS}").filter(odds > MIN_ODDS).orderBy(odds.desc(), "feature").limit(MAX_FEATURES).toArrow().to_pydict()
     known = {f: (p, n) for f, p, n in zip(kept["feature"], kept["p"], kept["n"], strict=True)}
     model = sc.broadcast((known, total))
 
@@ -214,13 +230,13 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Newton steps. Rows are put in order first, so that the result doesn't hang on how Spark returned them."""
+    """Newton steps. The second token's weight is held back a hundred times harder than the first's: one strong word is enough. Rows are put in order first, so that the result doesn't hang on how Spark returned them."""
     w = np.array([0.0, 0.0, -8.0 if not y.any() else 0.0])
     if not y.any() or y.all():
         return w if not y.any() else np.array([0.0, 0.0, 8.0])
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order]
-    hold = np.diag([ridge, ridge, 1e-6])
+    hold = np.diag([ridge, 100 * ridge, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (y - p) - hold @ w)
@@ -254,6 +270,8 @@ def score(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED
         for batch in batches:
             s = np.array([rate(see, t.as_py()) for t in batch.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        del see
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
@@ -267,5 +285,7 @@ def drop_toxic(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LAB
         for batch in batches:
             clean = [rate(see, t.as_py()) < 0.5 for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        del see
+        release()
 
     return docs.mapInArrow(run, docs.schema)
