@@ -187,11 +187,11 @@ class Shard:
         text = self.buf[cover]
         place = (np.cumsum(cover) - 1)[at]
         del cover
-        wide = np.concatenate([text, np.zeros(8, np.uint8)])
+        wide = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
         packed = np.zeros(len(text), np.uint64)
-        for i in range(8):
-            packed = (packed << np.uint64(8)) | wide[i : i + len(text)]
-        sa, _ = suffix_array(packed, depth=self.length, packed=8)
+        for i in range(7):  # nine bits a byte, so that the end of the text is less than any
+            packed = (packed << np.uint64(9)) | wide[i : i + len(text)]
+        sa, _ = suffix_array(packed, packed=7)  # to the full: Kasai needs the true order
         lcp = common_prefixes(np.concatenate([text.astype(np.int16), -1 - np.arange(self.length + 1, dtype=np.int16)]), sa, self.length)
         number = np.empty(len(sa), np.int64)
         number[sa] = np.cumsum(lcp < self.length)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(s: np.ndarray, depth: int | None = None, packed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(s: np.ndarray, packed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of an integer sequence, and each suffix's group number (where its group begins in the order).
 
     Larsson and Sadakane: suffixes are sorted by their first symbols, then ever again only groups that still hold several are sorted
-    by the group number of the suffix h symbols on, and h doubles. With `depth` it stops once groups agree on so many symbols.
+    by the group number of the suffix h symbols on, and h doubles.
     packed: how many symbols each entry of s stands for already (the entry and its successors packed into one number)."""
     n = len(s)
     if n == 0:
@@ -21,7 +21,7 @@ def suffix_array(s: np.ndarray, depth: int | None = None, packed: int = 1) -> tu
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     live = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
     h = packed
-    while live.size and (depth is None or h < depth):
+    while live.size:
         at = sa[live]
         group, nxt = rank[at], at + h
         key = group * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
