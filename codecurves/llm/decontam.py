@@ -180,9 +180,9 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     if len(parts) > 1:
         keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
         by_key = stored(keyed.select("doc_id", "text", "__key").dropDuplicates(["__key"]), "leaks")
-        found = find_leaks(by_key.select(F.col("__key").alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__key"), "spans")
-        cut = F.udf(lambda t, s: without(t, [x.asDict() for x in s]), "string")
-        out = keyed.join(found, "__key", "left").withColumn("text", F.when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text"))).select(*docs.columns)
+        found = find_leaks(by_key.select(F.col("__key").alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
+        cut = F.udf(lambda t, s: without(t, [x.asDict() for x in s]) if t and s else t, "string")
+        out = keyed.join(found, "__key", "left").withColumn("text", cut("text", "__spans")).select(*docs.columns)
     else:
         known = docs.sparkSession.sparkContext.broadcast(Phrases(parts[0], window))
 

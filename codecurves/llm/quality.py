@@ -18,7 +18,7 @@ MAX_TRUSTED = 20_000
 #: Added to every bucket's count.
 SMOOTH = 1.0
 #: A text is kept from this length-normalised ratio (nats per n-gram) upwards.
-THRESHOLD = -0.5
+THRESHOLD = -0.1
 UNIT = 1e6
 
 
