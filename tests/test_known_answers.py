@@ -78,7 +78,7 @@ def test_fit_returns_its_law(spark):
 
 
 def test_offset_is_found_near_a_grid_point(spark):
-    r = fits.fit_power_law_offset(curve(spark, lambda n: 2 + 7 * n**-0.5), grid=200).first()
+    r = fits.fit_power_law_offset(curve(spark, lambda n: 2 + 70 * n**-0.5), grid=200).first()
     assert r["e"] == pytest.approx(2, abs=0.02) and not r["at_boundary"]
 
 
