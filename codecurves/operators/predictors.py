@@ -21,19 +21,25 @@ def code_length(n: Column, cw: Column, cc: Column, ccw: Column, n_bytes: Column,
 
 
 def _with_context(tokens: DataFrame, scope: list[str]) -> DataFrame:
-    return tokens.withColumn("ctx", F.coalesce(F.lag("token").over(Window.partitionBy(*scope).orderBy("pos")), F.lit("")))
+    """Adds ctx, the token before in the codebase ('' at its start). Inside a file that is the token before; a file's first token follows
+    the last of the file before, found among files. So tokens are dealt by file, and a codebase of any size spreads over tasks."""
+    own = [*scope, "file_id"]
+    ends = tokens.groupBy(*own).agg(F.min("pos").alias("first"), F.max_by("token", "pos").alias("last"))
+    before = ends.select(*own, F.coalesce(F.lag("last").over(Window.partitionBy(*scope).orderBy("first")), F.lit("")).alias("before"))
+    within = F.lag("token").over(Window.partitionBy(*own).orderBy("pos"))
+    return tokens.join(before, own).withColumn("ctx", F.coalesce(within, "before")).drop("before")
 
 
 def score_adaptive(tokens: DataFrame, alpha: float = 1.0, beta: float = 1.0, by: list[str] | None = None, window: int | None = None) -> DataFrame:
     """Online order-1 predictor: each token is predicted from what came before it in its codebase, then learnt. by: more columns that part
-    codebases (variants, revisions). window: forget everything every so many positions, which also bounds a partition however large a
-    codebase is."""
+    codebases (variants, revisions). Counts before a token are ranks among equal tokens and contexts, so tokens are dealt by those and
+    not by codebase. window: forget everything every so many positions; a window is one partition's work."""
     scope = [*(by or []), "codebase"]
     pos = F.col("pos")
     if window:
         tokens = tokens.withColumn("part", F.floor((pos - 1) / window).cast("long"))
         scope, pos = [*scope, "part"], (pos - 1) % window + 1
-    t = _with_context(tokens, scope)
+    t = tokens.withColumn("ctx", F.coalesce(F.lag("token").over(Window.partitionBy(*scope).orderBy("pos")), F.lit(""))) if window else _with_context(tokens, scope)
     before = lambda *cols: (F.row_number().over(Window.partitionBy(*scope, *cols).orderBy("pos")) - 1).cast("double")
     t = t.withColumns({"cw": before("token"), "cc": before("ctx"), "ccw": before("ctx", "token")})
     bits = code_length((pos - 1).cast("double"), F.col("cw"), F.col("cc"), F.col("ccw"), F.col("n_bytes"), alpha, beta)

@@ -222,8 +222,8 @@ ORACLE = {
         "prices(train_lang, price) AS (VALUES ('de', 3e0), ('en', 1e0), ('es', 2e0), ('fr', 2.5e0))",
         "s AS (SELECT rung, train_lang, language AS test_lang, sum(ubits) / 1e6 / sum(n_bytes) AS y FROM fz GROUP BY ALL)", "t AS (SELECT s.*, n_train FROM s JOIN k0 USING (rung, train_lang))",
         "own AS (SELECT test_lang, regr_slope(y, ln(n_train)) AS d, regr_intercept(y, ln(n_train)) AS c FROM t WHERE train_lang = test_lang GROUP BY ALL)",
-        "r AS (SELECT train_lang, test_lang, y, round((y - c) / d - ln(n_train), 4) AS ln_rate FROM t JOIN own USING (test_lang) WHERE rung = 8)",
-        "z AS (SELECT train_lang, test_lang, round(y, 6) AS bpb, ln_rate, round(ln(price) - ln_rate, 4) AS ln_cost FROM r JOIN prices USING (train_lang))",
+        "r AS (SELECT train_lang, test_lang, y, round((y - c) / d - ln(n_train), 4) + 0e0 AS ln_rate FROM t JOIN own USING (test_lang) WHERE rung = 8)",
+        "z AS (SELECT train_lang, test_lang, round(y, 6) AS bpb, ln_rate, round(ln(price) - ln_rate, 4) + 0e0 AS ln_cost FROM r JOIN prices USING (train_lang))",
         "SELECT *, CAST(rank() OVER (PARTITION BY test_lang ORDER BY ln_cost, train_lang) AS INTEGER) AS rank FROM z"),
     "e7_best_of_k": sql("t AS (SELECT user_id, count(*) AS n, count_if(event_type = 'purchase') AS c FROM events GROUP BY ALL)", "k AS (SELECT unnest([1, 2, 4, 8]) AS k)",
         "s AS (SELECT k, count(*) AS n_tasks, round(avg(1 - list_product(list_transform(range(k), lambda j: greatest(n - c - j, 0) / (n - j)))), 6) AS pass_at_k FROM t, k WHERE n >= k GROUP BY ALL)",
