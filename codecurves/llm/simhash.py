@@ -21,6 +21,8 @@ BITS, SHINGLE = 4, 4
 #: (shift, width) of the segments: one more than half of BITS, so that one differs by at most a bit.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 SEED = 42
+#: Members of a key above which it is dealt anew by finer keys.
+HOT = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -76,39 +78,69 @@ def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints that connect all that lie within `bits` of each other.
+def _finer(hot: DataFrame) -> DataFrame:
+    """(key, fp): members of a large key by fifths of their other bits. BITS differing bits leave one of BITS + 1 parts equal, so two
+    linked members meet again."""
+    shift = "CASE " + " ".join(f"WHEN v < {s + w} THEN {s}" for s, w in SEGMENTS) + " END"
+    width = "CASE " + " ".join(f"WHEN v < {s + w} THEN {w}" for s, w in SEGMENTS) + " END"
+    cut = hot.withColumn("v", F.expr("CAST(shiftrightunsigned(key, 32) AS INT)")).withColumn("shift", F.expr(shift)).withColumn("width", F.expr(width))
+    low, high = "(fp & (shiftleft(1L, shift) - 1L))", "CASE WHEN shift + width >= 64 THEN 0L ELSE shiftrightunsigned(fp, shift + width) END"
+    rest = cut.select("key", "fp", F.expr(f"shiftleft({high}, shift) | {low}").alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("p"))
+    size = -(-(64 - min(w for _, w in SEGMENTS)) // (BITS + 1))
+    part = F.expr(f"shiftrightunsigned(rest, {size} * p) & {(1 << size) - 1}L")
+    return rest.select(F.xxhash64("key", "p", part).alias("key"), "fp")
 
-    Keys are dealt out by hash and read in order, in batches; no group is gathered but the distinct fingerprints under one key."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old_k, old_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in _with_end(batches):
-            if batch is None:
-                key, fp, done = old_k, old_f, len(old_k)
-            else:
-                key = np.concatenate([old_k, batch.column(0).to_numpy()])
-                fp = np.concatenate([old_f, batch.column(1).to_numpy().view(np.uint64)])
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
-            old_k, old_f = key[done:], fp[done:]
-            key, fp = key[:done], fp[:done]
-            if not done:
-                continue
-            begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-            size = np.diff(begin, append=done)
-            two = begin[size == 2]
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            a, b = [fp[near]], [fp[near + 1]]
-            for at, n in zip(begin[size > 2], size[size > 2], strict=True):
-                if found := _forest(own := fp[at : at + n], bits):
-                    i = np.array(found)
-                    a.append(own[i[:, 0]])
-                    b.append(own[i[:, 1]])
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    dealt = variants(prints).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """Verified links (a, b) between distinct fingerprints that connect all that lie within `bits` of each other.
+
+    Keys are dealt out by hash and read in order, in batches. Members of a key that has more than `hot` of them are passed on unread and
+    meet again under finer keys, so no task gathers a large key."""
+    if bits > BITS:
+        raise ValueError(f"segments are cut for {BITS} differing bits at most")
+
+    def run(limit: int | None):
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            old_k, old_f, passed = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+            for batch in _with_end(batches):
+                if batch is None:
+                    key, fp, done = old_k, old_f, len(old_k)
+                else:
+                    key = np.concatenate([old_k, batch.column(0).to_numpy()])
+                    fp = np.concatenate([old_f, batch.column(1).to_numpy().view(np.uint64)])
+                    done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
+                if limit and len(key):
+                    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    size = np.diff(np.append(begin, len(key)))
+                    large = np.repeat((size > limit) | (key[begin] == passed), size)
+                    if large.any():
+                        passed = key[-1] if large[-1] else passed
+                        yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(fp[large].view(np.int64)), pa.array(np.ones(int(large.sum()), bool))], names=["a", "b", "hot"])
+                        done -= int(large[:done].sum())
+                        key, fp = key[~large], fp[~large]
+                old_k, old_f = key[done:], fp[done:]
+                key, fp = key[:done], fp[:done]
+                if not done:
+                    continue
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                size = np.diff(np.append(begin, done))
+                two = begin[size == 2]
+                near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
+                a, b = [fp[near]], [fp[near + 1]]
+                for at, n in zip(begin[size > 2], size[size > 2], strict=True):
+                    if found := _forest(own := fp[at : at + n], bits):
+                        i = np.array(found)
+                        a.append(own[i[:, 0]])
+                        b.append(own[i[:, 1]])
+                a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), bool))], names=["a", "b", "hot"])
+
+        return read
+
+    first = stored(variants(prints).repartition("key").sortWithinPartitions("key").mapInArrow(run(hot), "a long, b long, hot boolean"), "links")
+    again = _finer(first.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp")))
+    second = again.repartition("key").sortWithinPartitions("key").mapInArrow(run(None), "a long, b long, hot boolean")
+    return first.filter("not hot").unionByName(second).select("a", "b").distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -221,13 +221,14 @@ def test_simhash_matches_brute_force(spark, docs):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
-def test_links_lose_nothing_in_dense_groups(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_links_lose_nothing_in_dense_groups(spark, hot):
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(1500)], np.uint64)
     fp = np.unique(seeds[rng.integers(0, 40, 1500)] ^ flips)
     d = spark.createDataFrame(pd.DataFrame({"fp": fp.view(np.int64)}))
-    label = {r["node"]: r["label"] for r in components(simhash.links(d)).collect()}
+    label = {r["node"]: r["label"] for r in components(simhash.links(d, hot=hot)).collect()}
     near, own = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4, fp.view(np.int64)
     want = own.copy()
     while True:
