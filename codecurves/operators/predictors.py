@@ -120,7 +120,10 @@ def normalise_units(losses: DataFrame, by: list[str]) -> DataFrame:
     """Bits per token, per byte and per character, and perplexity of tokens."""
     s = losses.groupBy(*by).agg(F.count("*").alias("n"), total("ubits").alias("ubits"), total("n_bytes").alias("n_bytes"), total("n_chars").alias("n_chars"))
     bits = F.col("ubits") / F.lit(1e6)
-    return s.select(*by, "n", "ubits", r6(bits / F.col("n")).alias("bits_per_token"), r6(bits / F.col("n_bytes")).alias("bpb"), r6(bits / F.col("n_chars")).alias("bpc"), F.round(F.pow(F.lit(2.0), r6(bits / F.col("n"))), 3).alias("perplexity"))
+    x = r6(bits / F.col("n"))
+    whole = F.floor(x).cast("double")
+    perplexity = r6(F.pow(F.lit(2.0), x - whole)) * F.pow(F.lit(2.0), whole)  # six digits, however large
+    return s.select(*by, "n", "ubits", x.alias("bits_per_token"), r6(bits / F.col("n_bytes")).alias("bpb"), r6(bits / F.col("n_chars")).alias("bpc"), perplexity.alias("perplexity"))
 
 
 def normalise_line_length(losses: DataFrame, files: DataFrame) -> DataFrame:

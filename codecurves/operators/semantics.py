@@ -39,7 +39,7 @@ def variant_losses(lines: DataFrame, order: DataFrame) -> DataFrame:
 
 def ablation_effect(losses: DataFrame) -> DataFrame:
     """Change of loss against the full corpus on the tokens of lines kept in both, paired by codebase: mean bits per token and t by
-    variant and bucket of the full corpus; and the first bucket from which the part helps to the end (removing it costs bits)."""
+    variant and bucket of the full corpus; and the first bucket from which the part helps to the end (removing it costs bits; -1 if from none)."""
     full = losses.filter("variant = 'full'").select("codebase", "file_id", "i", "token", bucket(F.col("pos")).alias("bucket"), F.col("ubits").alias("full"))
     part = losses.filter("variant <> 'full'").select("variant", "codebase", "file_id", "i", "token", "ubits")
     d = part.join(full, ["codebase", "file_id", "i", "token"]).groupBy("variant", "codebase", "bucket").agg(F.count("*").alias("n"), total(F.col("ubits") - F.col("full")).alias("d"))
@@ -48,7 +48,7 @@ def ablation_effect(losses: DataFrame) -> DataFrame:
     s = s.select("variant", "bucket", "n_codebases", r6("m").alias("mean_bits"), F.when(F.col("sd") > 1e-9, F.round(F.col("m") / F.col("sd") * F.sqrt("n_codebases"), 4)).alias("t"))
     tail = F.bool_and(F.col("mean_bits") > 0).over(Window.partitionBy("variant").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = s.withColumn("tail", tail)
-    return s.withColumn("helps_from", F.min(F.when(F.col("tail"), F.col("bucket"))).over(Window.partitionBy("variant"))).drop("tail")
+    return s.withColumn("helps_from", F.coalesce(F.min(F.when(F.col("tail"), F.col("bucket"))).over(Window.partitionBy("variant")), F.lit(-1))).drop("tail")
 
 
 def token_class():

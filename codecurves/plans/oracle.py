@@ -174,7 +174,7 @@ ORACLE = {
         "a AS (SELECT * FROM r64 UNION ALL SELECT * FROM r1024 UNION ALL SELECT * FROM r16384)", f"b AS (SELECT *, {_bits('least(pos - 1, rung)', 'cw', 'cc', 'ccw')} AS ubits FROM a)",
         f"SELECT CAST(rung AS INTEGER) AS rung, language, count(*) AS n, {sums('ubits', 'n_bytes')} FROM b GROUP BY rung, language"),
     "b8_normalise_units": sql(*L, f"s AS (SELECT language, count(*) AS n, {sums('ubits', 'n_bytes', 'n_chars')} FROM b1 GROUP BY ALL)",
-        "SELECT language, n, ubits, round(ubits / 1e6 / n, 6) AS bits_per_token, round(ubits / 1e6 / n_bytes, 6) AS bpb, round(ubits / 1e6 / n_chars, 6) AS bpc, round(pow(2e0, round(ubits / 1e6 / n, 6)), 3) AS perplexity FROM s"),
+        "SELECT language, n, ubits, round(ubits / 1e6 / n, 6) AS bits_per_token, round(ubits / 1e6 / n_bytes, 6) AS bpb, round(ubits / 1e6 / n_chars, 6) AS bpc, round(pow(2e0, round(ubits / 1e6 / n, 6) - floor(round(ubits / 1e6 / n, 6))), 6) * pow(2e0, floor(round(ubits / 1e6 / n, 6))) AS perplexity FROM s"),
     "b9_normalise_line_length": sql(*L, LINES, f"w AS (SELECT language, quantile_cont(n, 0.5) AS t FROM (SELECT language, len({_words('line')}) AS n FROM lines) WHERE n > 0 GROUP BY ALL)",
         "a AS (SELECT b1.language, t, ubits, CAST(floor(log2(greatest(floor((pos - 1) / t) + 1, 1)) + 1e-9) AS INTEGER) AS line_bucket FROM b1 JOIN w ON w.language = b1.language)",
         "SELECT language, line_bucket, count(*) AS n, CAST(sum(ubits) AS BIGINT) AS ubits, round(sum(ubits) / 1e6 / count(*) * t, 6) AS bits_per_line FROM a GROUP BY language, line_bucket, t"),
@@ -257,7 +257,7 @@ ORACLE = {
         f"d AS (SELECT p.variant, codebase, CAST(floor(log2(f.pos) + 1e-9) AS INTEGER) AS bucket, count(*) AS n, sum(p.ubits - f.ubits) AS d FROM vb p JOIN vb f USING (codebase, file_id, line_no, k, token) WHERE p.variant <> 'full' AND f.variant = 'full' GROUP BY ALL)",
         "s AS (SELECT variant, bucket, count(*) AS n_codebases, avg(d / 1e6 / n) AS m, stddev_samp(d / 1e6 / n) AS sd FROM d GROUP BY ALL)",
         "r AS (SELECT variant, bucket, n_codebases, round(m, 6) AS mean_bits, CASE WHEN sd > 1e-9 THEN round(m / sd * sqrt(n_codebases), 4) END AS t FROM s)",
-        "h AS (SELECT *, bool_and(mean_bits > 0) OVER (PARTITION BY variant ORDER BY bucket DESC) AS tail FROM r)", "SELECT * EXCLUDE (tail), min(CASE WHEN tail THEN bucket END) OVER (PARTITION BY variant) AS helps_from FROM h"),
+        "h AS (SELECT *, bool_and(mean_bits > 0) OVER (PARTITION BY variant ORDER BY bucket DESC) AS tail FROM r)", "SELECT * EXCLUDE (tail), coalesce(min(CASE WHEN tail THEN bucket END) OVER (PARTITION BY variant), -1) AS helps_from FROM h"),
     "h1_component_loss": sql(*L, "c AS (SELECT language, ubits, CASE WHEN regexp_matches(token, '^[0-9]') THEN 'number' WHEN regexp_matches(token, '[.,;:!?]$') THEN 'punctuated' WHEN regexp_matches(token, '^[A-Z]') THEN 'capitalised' ELSE 'word' END AS class FROM b1)",
         "SELECT language, class, count(*) AS n, CAST(sum(ubits) AS BIGINT) AS ubits, quantile_cont(ubits, 0.25) AS q1, quantile_cont(ubits, 0.5) AS q2, quantile_cont(ubits, 0.75) AS q3, round(sum(ubits) / sum(sum(ubits)) OVER (PARTITION BY language), 6) AS share FROM c GROUP BY language, class"),
     "h2_hotspots": sql(*L, FLOSS, "SELECT language, CAST(rank AS INTEGER) AS rank, file_id, bpb FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY bpb DESC, file_id) AS rank FROM floss) WHERE rank <= 10"),
