@@ -83,7 +83,7 @@ def rollout_pass_rate(rollouts: DataFrame, z: float = 1.96) -> DataFrame:
 
 
 #: First group: a signature line, by language.
-SIGNATURES = {"python": r"(?m)^(\s*def \w+\(.*\).*:)", "haskell": r"(?m)^(\w+ ::.*)$", "lean": r"(?m)^((?:theorem|def|lemma) \w+.*:=)"}
+SIGNATURES = {"python": r"(?m)^(\s*def \w+\(.*\).*:)", "haskell": r"(?m)^(\w+ ::.*)$", "coq": r"(?m)^((?:Theorem|Definition|Lemma) \w+.*[.:]=?)"}
 
 
 def extract_signatures(files: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def definition_use_edges(files: DataFrame, min_chars: int = 20) -> DataFrame:
 RULES = {
     "python": (r"(?m)^\s*(?:def|class)\s+(\w+)", r"(?m)^\s*(?:from\s+\S+\s+)?import\s+(\w+)"),
     "javascript": (r"(?m)^\s*(?:export\s+)?(?:function|class|const)\s+(\w+)", r"(?m)import\s+\{?\s*(\w+)"),
-    "lean": (r"(?m)^\s*(?:theorem|lemma|def)\s+(\w+)", r"(?m)(?:exact|apply|rw \[)\s*(\w+)"),
+    "coq": (r"(?m)^\s*(?:Theorem|Lemma|Definition)\s+(\w+)", r"(?m)(?:exact|apply|rewrite)\s+(\w+)"),
 }
 
 

@@ -9,7 +9,7 @@ from ..functions.parity import total
 from ..schema import FILES
 
 #: File extension to language, for corpora of plain files. A caller's map may replace it.
-EXTENSIONS = {"py": "python", "js": "javascript", "hs": "haskell", "rs": "rust", "lean": "lean", "c": "c"}
+EXTENSIONS = {"py": "python", "js": "javascript", "hs": "haskell", "rs": "rust", "v": "coq", "c": "c"}
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", ext_map: dict[str, str] | None = None, columns: dict[str, str] | None = None) -> DataFrame:
