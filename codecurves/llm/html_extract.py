@@ -26,11 +26,12 @@ _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 _NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
+    r"(?:^|[\s_]|(?<!with)(?<!has)(?<!no)-)(ad|ads|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
     r"complementary|footer|contentinfo|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"login|search|form|share|social|related|recommended|comments?|disqus|replies|reply|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"comment|disqus|repl(?:y|ies)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math canvas object button select textarea dialog menu title audio video map datalist fieldset".split())
@@ -43,9 +44,9 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     """(line, inside an article or main element) of each block that isn't furniture by its own element, in page order."""
     page = page or ""
     out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
+    stack: list[tuple[str, str, bool]] = []  # name, why dropped (by its element, its name, as comments), main
     text: list[str] = []
-    state = (False, False)
+    state = ("", False)
 
     def end():
         if text:
@@ -90,16 +91,25 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
                     stack.pop()
                 while stack and name in CLOSES.get(stack[-1][0], ()):
                     stack.pop()
-            outer = stack[-1][1:] if stack else (False, False)
+            outer = stack[-1][1:] if stack else ("", False)
             named = " ".join(a or b or c for _, a, b, c in _NAMES.findall(m[3])) if m[3] else ""
-            gone = name in DROPPED or (name == "header" and not outer[1]) or bool(named and name not in ("html", "body", "article", "main") and _FURNITURE.search(named)) or bool(m[3] and _HIDDEN.search(m[3]))
+            own = name in ("article", "main")
+            gone = outer[0]
+            if own and gone == "name":
+                gone = ""  # a wrapper named after the site's furniture may hold the article
+            if not gone:
+                why = _FURNITURE.search(named) if named and not own and name not in ("html", "body") else None
+                if name in DROPPED or (name == "header" and not outer[1]) or (m[3] and _HIDDEN.search(m[3])):
+                    gone = "element"
+                elif why and not (outer[1] and why[1].lower() in ("header", "masthead")):
+                    gone = "comments" if _COMMENTS.search(named) else "name"
             if gone and not outer[0]:
                 end()
-            stack.append((name, outer[0] or gone, outer[1] or name in ("article", "main") or "main" in named.lower().split()))
+            stack.append((name, gone, outer[1] or own or "main" in named.lower().split()))
             if name in RAW:
                 closing = RAW[name].search(page, at)
                 at = closing.start() if closing else len(page)
-        state = stack[-1][1:] if stack else (False, False)
+        state = stack[-1][1:] if stack else ("", False)
     end()
     return out
 

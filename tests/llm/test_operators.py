@@ -265,6 +265,11 @@ def test_furniture_goes():
     assert [x for x, f in html_extract.lines(page) if f] == ["A <b> & c d", "e"]
 
 
+def test_wrappers_named_after_furniture_keep_the_article():
+    page = "<div class='layout with-sidebar'><p>lead</p><div class='promo page'><article><div class='entry-header'><h1>T</h1></div><p>x</p></article><p>buy</p></div><section id=comments><article><p>rude</p></article></section></div>"
+    assert html_extract.lines(page) == [("lead", False), ("T", True), ("x", True)]
+
+
 def test_neighbours_tell_furniture(spark):
     rows_ = [(i, f"http://h.x/{i}", f"<div>Site</div><div>About us</div><p>Own text {i}<p>More {i}</p><div>Bye</div>") for i in range(6)]
     rows_ += [(10, "http://alone.x/", "<p>Site<p>only"), (11, None, None), (12, "odd", ""), (13, "http://t.x/a", "<p>same"), (14, "http://t.x/b", "<p>same")]
