@@ -33,7 +33,7 @@ PATTERN_RULES = [
     PatternRule(3, r"(?i)^[a-z]+://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
     PatternRule(4, r"(?i)^[a-z]+://([^/?#]*\.)?ads-track\.", ("ads", "track")),
     PatternRule(5, r"(?i)^[a-z]+://([^/?#]*[.-])?(casino)[.-]", ("casino",)),
-    PatternRule(6, r"(?i)/(wp-login|wp-admin)\.php", ("wp", "php")),
+    PatternRule(6, r"(?i)/(wp-login|wp-admin)\.php", ("wp",)),
     PatternRule(7, r"(?i)[?&]sessionid=[0-9a-f]{16,}", ("sessionid",)),
 ]
 

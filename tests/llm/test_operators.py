@@ -487,3 +487,14 @@ def test_pipeline_against_plain_stages(spark):
     assert all(four[i] == three[i] if not hits[i] else len(WORD.findall(four[i])) == len(WORD.findall(three[i])) - hits[i] for i in four)
     assert {r["doc_id"] for r in got["packing"].select("doc_id").distinct().collect()} == set(four)
     assert got["decontamination"].columns == table(spark, SMALL, "documents").columns
+
+
+def test_rule_tokens_are_whole_in_every_match(spark):
+    heads = {1: "http://cheap-pills.", 2: "http://b.adult-x.", 3: "http://spam-farm.", 4: "http://ads-track.", 5: "http://a.casino-", 6: "http://b.example.org/wp-login.php", 7: "http://b.example.org/?sessionid=0123456789abcdef"}
+    more = {60: "http://b.example.org/WP-admin.php"}
+    urls = [h + end for h in [*heads.values(), *more.values()] for end in ("", "5", "x", "7?a=b", "_", "/z")] + ["http://b.example.org/wp"] * 30
+    got = url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()
+    assert {r["page_id"]: r["matched_rules"] for r in got} == {i: sorted(r.rule_id for r in url_filters.PATTERN_RULES if re.search(r.pattern, u)) for i, u in enumerate(urls)}
+    for rule in url_filters.PATTERN_RULES:
+        hit = [u for u in urls if re.search(rule.pattern, u)]
+        assert hit and all(set(rule.tokens) <= set(re.findall("[a-z0-9]+", u.lower())) for u in hit)
