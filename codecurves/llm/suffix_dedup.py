@@ -87,10 +87,12 @@ class Shard:
         order = np.argsort(table["doc"].to_numpy(), kind="stable")
         self.table = table.take(pa.array(order))
         self.doc = self.table["doc"].to_numpy()
-        self.copy = np.isin(self.doc, self.side[0]["doc"].to_numpy())
         data, offs = utf8(self.table["text"])
         self.sizes = np.diff(offs)
-        self.copy &= self.sizes >= length
+        told = set(zip(self.side[COPY]["doc"].to_pylist(), self.side[COPY]["blob"].to_pylist(), strict=True))
+        self.copy = np.isin(self.doc, self.side[COPY]["doc"].to_numpy()) & (self.sizes >= length)
+        for r in np.flatnonzero(self.copy).tolist():  # rows of one id (or of none) may hold several texts
+            self.copy[r] = (int(self.doc[r]), hashlib.sha256(data[offs[r] : offs[r + 1]]).digest()) in told
         self.data, self.offs = data, offs
         keep = ~self.copy
         self.own = np.flatnonzero(keep)
@@ -325,8 +327,8 @@ def _sharded(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, DataFrame, in
     base = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("shard", shard_of("doc"))
     prints = docs.select(doc.alias("doc"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("print"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
     first = prints.groupBy("print").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = prints.join(first, ["print", "salt"]).filter("doc > first").select("doc").withColumn("shard", shard_of("doc"))
-    side = copies.select("shard", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "doc", F.lit(b"").alias("blob"))
+    copies = prints.join(first, ["print", "salt"]).filter("doc > first").select("doc", "print").withColumn("shard", shard_of("doc"))
+    side = copies.select("shard", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), "doc", F.unhex("print").alias("blob"))
     return base, side, int(size)
 
 

@@ -489,6 +489,14 @@ def test_pipeline_against_plain_stages(spark):
     assert got["decontamination"].columns == table(spark, SMALL, "documents").columns
 
 
+def test_copies_are_rows_not_ids(spark):
+    one, two, three = "one text that a smaller document has, of fifty bytes or more", "another text that stands only once among all of the rows here", "and a third text under the id of a row that is a whole copy of another"
+    rows = [(1, one), (None, one), (None, two), (7, one), (7, three)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffix_dedup.repeats(d).collect())) == plain_repeats(rows)
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(d).collect())) == Counter([(1, one), (None, ""), (None, two), (7, ""), (7, three)])
+
+
 def test_rule_tokens_are_whole_in_every_match(spark):
     heads = {1: "http://cheap-pills.", 2: "http://b.adult-x.", 3: "http://spam-farm.", 4: "http://ads-track.", 5: "http://a.casino-", 6: "http://b.example.org/wp-login.php", 7: "http://b.example.org/?sessionid=0123456789abcdef"}
     more = {60: "http://b.example.org/WP-admin.php"}
