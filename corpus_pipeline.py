@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codecurves.llm import decontam, packing, simhash, suffix_dedup, toxicity
+from codecurves.llm import decontam, near_copies, packing, suffix_dedup, toxicity
 from codecurves.llm.common import stored, table
 
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of texts linked by a five-word Jaccard of 0.8 the document of the smallest id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

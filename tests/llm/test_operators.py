@@ -14,7 +14,7 @@ import xxhash
 from conftest import DATA, duck, rows
 from pyspark.sql import functions as F
 
-from codecurves.llm import decontam, html_extract, packing, quality, queries, sharding, simhash, suffix_dedup, suffixes, toxicity, url_filters, warc
+from codecurves.llm import decontam, html_extract, near_copies, packing, quality, queries, sharding, simhash, suffix_dedup, suffixes, toxicity, url_filters, warc
 from codecurves.llm.common import components, table
 
 SMALL = f"{DATA}/sf0.001"
@@ -489,6 +489,27 @@ def test_pipeline_against_plain_stages(spark):
     assert got["decontamination"].columns == table(spark, SMALL, "documents").columns
 
 
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 5_000, 120)] for _ in range(12)]
+    texts = {i: " ".join(w) for i, w in enumerate(base)}
+    for i, w in enumerate(base):  # two of 120 words differ: Jaccard 106 / 126 with the first, far more than four bits
+        for k, (x, y) in enumerate(((30, 70), (31, 90), (50, 100))):
+            texts[100 + 10 * i + k] = " ".join(f"new{k}" if n in (x, y) else v for n, v in enumerate(w))
+    texts[900] = " ".join([*base[0][:60], *(f"z{x}" for x in range(60))])  # a half in common is no copy
+    d = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in texts.items()], DOCS)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    assert all(5 * len(sets[i] & sets[100 + 10 * i]) >= 4 * len(sets[i] | sets[100 + 10 * i]) for i in range(12))
+    assert sum(int(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[100 + 10 * i])).bit_count() > 4 for i in range(12)) > 6
+    for block in (near_copies.BLOCK, 2):
+        assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(d, 3 if block == 2 else near_copies.HOT, block).collect()) == [*range(12), 900]
+    assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, d, SMALL).collect()) == [*range(12), 900]
+    twice = spark.createDataFrame([(1, texts[0], None, None, 1), (2, texts[100], None, None, 1), (2, texts[1], None, None, 1)], DOCS)
+    assert sorted(r["text"] for r in cp.drop_near_duplicates(spark, twice, SMALL).collect()) == sorted([texts[0], texts[1]])
+
+
 def test_copies_are_rows_not_ids(spark):
     one, two, three = "one text that a smaller document has, of fifty bytes or more", "another text that stands only once among all of the rows here", "and a third text under the id of a row that is a whole copy of another"
     rows = [(1, one), (None, one), (None, two), (7, one), (7, three)]
