@@ -1,4 +1,4 @@
-"""Tables in the shared folder, to cut lineage in loops."""
+"""Tables in the folder that driver and executors share, to cut lineage in loops and between passes."""
 
 from __future__ import annotations
 
@@ -9,15 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir, read from the session. Where it is unset, a local session gets a temporary folder (as in tests); on a cluster
+    that is an error, since executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (own := spark.sparkContext.getCheckpointDir()):
+        found = own.rsplit("/", 1)[0]
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/codecurves-{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/codecurves-{tag}-{uuid.uuid4().hex}"
+    """Cut lineage: write df as a table in the shared folder and read it back, so that lost executors cost no rerun of what made it."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` made, once nothing reads them any more (loops do so with those that a later round replaced)."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/codecurves-" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
