@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard, new_path, shared_dir, stored  # noqa: F401  (operators take them from here)
+
 #: Largest number of rows that any operator turns into a broadcast table; every broadcast is checked against a bound.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -22,29 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        found = found.rsplit("/", 1)[0] if found else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/codecurves-{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back, so that lost executors cost no rerun of what made it."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, one after the other, and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,22 +105,36 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h ^ (h >> np.uint64(32))
 
 
+#: Parts that the edges of one node are dealt to in a star round, so that a hub's edges are several tasks' work.
+STAR_SALTS = 8
+
+
+def _salted(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star rounds; returns (node, label), label the
-    smallest node reachable. Each round is two aggregations and joins on the edge list, written to shared storage; nothing is
-    collected but a count and a checksum."""
+    smallest node reachable.
+
+    Each round is two aggregations (partial before the shuffle) and joins on the edge list, whose rows are salted so that a node with very
+    many neighbours is several tasks' work. Rounds are written to shared storage, and the rounds before deleted; nothing is collected but
+    a count and a checksum."""
     live = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    salt = lambda c: F.pmod(F.hash(c), F.lit(STAR_SALTS)).alias("salt")
     before = None
     while True:
-        both = live.select("u", "v").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "large-star")
+        # each edge (u > v) goes from v, which sends u on to the least it knows
+        least = live.select(F.col("v").alias("x"), F.col("v").alias("y")).unionByName(live.select(F.col("u").alias("x"), F.col("v").alias("y"))).groupBy("x").agg(F.min("y").alias("m"))
+        by_low = live.select("u", F.col("v").alias("x"), salt("u")).join(_salted(least), ["x", "salt"])
+        large = stored(by_low.select("u", F.col("m").alias("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        live = stored(small.filter("u <> v").distinct(), "small-star")
+        by_high = large.select("u", "v", salt("v")).join(_salted(low), ["u", "salt"])
+        small = by_high.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        last, live = live, stored(small.distinct(), "small-star")
         now = live.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+        discard(last, large)
         if now == before:
             break
         before = now
-    return live.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(live.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return live.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(live.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label")))

@@ -1,9 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page's blocks are its text lines. Pages are put in order of host and URL path; each is aligned with its nearest neighbour on the same
-host by the longest common subsequence of their lines, and lines that both have are deleted as the site's furniture. Elements that say
-themselves that they are furniture (menus, forms, scripts ...) are no lines at all. Lines inside an explicit article or main element
-are the page's own even where a neighbour repeats them: deleting them would lose text from copies and from passages that pages share.
+A page's blocks are its text lines. Pages are put in order of host and URL path; each is aligned with its nearest different neighbour on the
+same host by the longest common subsequence of their lines, and lines that both have are deleted as the site's furniture. Two rules of
+HTML guard the comparison. Lines inside an article or main element are the page's own even where a neighbour repeats them: deleting them
+would lose text from copies and from passages that pages share. Lines inside an element that says itself that it is furniture (menus,
+forms, adverts ...) go even where no neighbour has them. All other lines are decided by the comparison alone.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import MAX_BROADCAST_ROWS, stored
 from .url_filters import host_of, path_of
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _FURNITURE = re.compile(
     r"(?:^|[\s_]|(?<!with)(?<!has)(?<!no)-)(ad|ads|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
     r"complementary|footer|contentinfo|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
@@ -32,19 +33,50 @@ _FURNITURE = re.compile(
     re.I,
 )
 _COMMENTS = re.compile(r"comment|disqus|repl(?:y|ies)", re.I)
+#: Inside an article only a block whose class, id or role is one of these words is furniture. Fixed values.
+INNER_FURNITURE = frozenset("ad ads advert adverts advertisement adsense sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer contentinfo newsletter cookie-notice comments comment-list comments-area disqus_thread replies".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math canvas object button select textarea dialog menu title audio video map datalist fieldset".split())
+#: Elements without text of the page, and elements that are furniture.
+MUTE = frozenset("head script style noscript template iframe svg math canvas object select textarea title audio video map datalist".split())
+DROPPED = frozenset("nav footer aside form button dialog menu fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: An open element of the first kind is closed by the start of one of the second.
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """(line, inside an article or main element) of each block that isn't furniture by its own element, in page order."""
+#: Kinds of lines: inside furniture by its own element, free, inside an article or main element.
+NAMED, FREE, OWN = range(3)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {name.lower(): a or b or c for name, a, b, c in _ATTRIBUTE.findall(text)}
+
+
+def _why_gone(name: str, attributes: dict[str, str], within: bool) -> str:
+    """Why an element's text is not the page's: "mute" (no text at all), "element", "comments" or "name" (furniture); or ''. within: it
+    stands inside an article or main element."""
+    if name in MUTE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(attributes.get("style", "")):
+        return "mute"
+    if name in DROPPED or (name == "header" and not within):
+        return "element"
+    if name in ("article", "main", "html", "body"):
+        return ""
+    named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).strip()
+    if not named:
+        return ""
+    if within:
+        why = name not in INLINE and INNER_FURNITURE.intersection(named.lower().split())
+    else:
+        why = _FURNITURE.search(named)
+    return ("comments" if _COMMENTS.search(named) else "name") if why else ""
+
+
+def lines(page: str | None) -> list[tuple[str, int]]:
+    """(line, kind) of each block, in page order."""
     page = page or ""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, why dropped (by its element, its name, as comments), main
+    out: list[tuple[str, int]] = []
+    stack: list[tuple[str, str, bool]] = []  # name, why its text is not the page's, whether inside article or main
     text: list[str] = []
     state = ("", False)
 
@@ -52,16 +84,15 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             text.clear()
-            if line and not state[0]:
-                out.append((line, state[1]))
+            if line:
+                out.append((line, NAMED if state[0] else OWN if state[1] else FREE))
 
     at = 0
     while True:
         m = _MARK.search(page, at)
         stop = m.start() if m else len(page)
-        if stop > at:
-            if not state[0]:
-                text.append(page[at:stop])
+        if stop > at and state[0] != "mute":
+            text.append(page[at:stop])
         if not m:
             break
         at = m.end()
@@ -78,8 +109,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if name not in INLINE or all(s[0] in INLINE for s in stack[k:]):
-                        end_now = any(s[1] for s in stack[k:])
-                        if end_now:
+                        if any(s[1] for s in stack[k:]):
                             end()
                         del stack[k:]
                     break
@@ -91,21 +121,14 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
                     stack.pop()
                 while stack and name in CLOSES.get(stack[-1][0], ()):
                     stack.pop()
-            outer = stack[-1][1:] if stack else ("", False)
-            named = " ".join(a or b or c for _, a, b, c in _NAMES.findall(m[3])) if m[3] else ""
-            own = name in ("article", "main")
-            gone = outer[0]
-            if own and gone == "name":
-                gone = ""  # a wrapper named after the site's furniture may hold the article
-            if not gone:
-                why = _FURNITURE.search(named) if named and not own and name not in ("html", "body") else None
-                if name in DROPPED or (name == "header" and not outer[1]) or (m[3] and _HIDDEN.search(m[3])):
-                    gone = "element"
-                elif why and not (outer[1] and why[1].lower() in ("header", "masthead")):
-                    gone = "comments" if _COMMENTS.search(named) else "name"
-            if gone and not outer[0]:
+            outer, within = stack[-1][1:] if stack else ("", False)
+            attributes = _attributes(m[3]) if m[3].strip() else {}
+            main = name in ("article", "main") or "main" in attributes.get("role", "").lower().split()
+            gone = "" if main and outer == "name" else outer  # a wrapper named after the site's furniture may hold the article
+            gone = gone or _why_gone(name, attributes, within)
+            if gone and not outer:
                 end()
-            stack.append((name, gone, outer[1] or own or "main" in named.lower().split()))
+            stack.append((name, gone, within or main))
             if name in RAW:
                 closing = RAW[name].search(page, at)
                 at = closing.start() if closing else len(page)
@@ -146,10 +169,14 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     return shared
 
 
-def furniture(own: list[int], free: list[bool], other: list[int]) -> list[int]:
-    """Indexes of lines outside article and main that the neighbour has too; none if that would leave nothing of the page."""
-    gone = [i for i, (s, f) in enumerate(zip(common_lines(own, other), free, strict=True)) if s and f]
-    return gone if len(gone) < len(own) else []
+def furniture(own: list[int], kinds: list[int], other: list[int]) -> list[int]:
+    """Indexes of free lines that the neighbour has too; none if the page would be left without any text."""
+    free = [i for i, k in enumerate(kinds) if k == FREE]
+    if not free:
+        return []
+    shared = common_lines(own, other)
+    gone = [i for i in free if shared[i]]
+    return gone if len(gone) < len(free) or OWN in kinds else []
 
 
 def _shared_prefix(a: str, b: str) -> int:
@@ -167,34 +194,76 @@ def _with_lines(pages: DataFrame) -> DataFrame:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 got = [lines(t.as_py()) for t in part.column(4)]
                 hashes = [[np.uint64(xxhash.xxh64_intdigest(x)).view(np.int64).item() for x, _ in g] for g in got]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(hashes, pa.list_(pa.int64())), pa.array([[not f for _, f in g] for g in got], pa.list_(pa.bool_()))], names=["key", "host", "path", "url", "hashes", "free"])
+                whole = [np.uint64(xxhash.xxh64_intdigest(np.array(h, np.int64).tobytes())).view(np.int64).item() for h in hashes]
+                made = [pa.array(hashes, pa.list_(pa.int64())), pa.array([[k for _, k in g] for g in got], pa.list_(pa.int8())), pa.array(whole, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *made], names=["key", "host", "path", "url", "hashes", "kinds", "whole"])
 
-    return pages.select("key", "host", "path", "url", "html").mapInArrow(run, "key long, host string, path string, url string, hashes array<long>, free array<boolean>")
+    return pages.select("key", "host", "path", "url", "html").mapInArrow(run, "key long, host string, path string, url string, hashes array<long>, kinds array<byte>, whole long")
+
+
+class _Around:
+    """The nearest rows of other content before the first row and behind the last row of a range: what is known at its ends."""
+
+    def __init__(self, ends: dict[int, list]):
+        # ends: by range, its rows in order that stand at an end or next to a row of other content (first, second kind, ..., last)
+        self.before: dict[int, list] = {}
+        self.after: dict[int, list] = {}
+        parts = sorted(ends)
+        held: list = []
+        for p in parts:
+            self.before[p] = held
+            held = self._two([*held, *ends[p]][::-1])[::-1]
+        held = []
+        for p in reversed(parts):
+            self.after[p] = held
+            held = self._two([*ends[p], *held])
+
+    @staticmethod
+    def _two(rows: list) -> list:
+        """The first row, and the first of other content than its."""
+        out: list = []
+        for r in rows:
+            if not out or (len(out) == 1 and r["whole"] != out[0]["whole"]):
+                out.append(r)
+        return out
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """(key, gone): the lines of each page that its nearest neighbour shares. pages: key, host, path, url, html.
+    """(key, gone): the lines of each page that its nearest neighbour of other content shares. pages: key, host, path, url, html.
 
-    Rows of line hashes, without any text, are dealt out by range of host and path, so a host of any size spreads over tasks; the first
-    and last row of each range come to the driver, so that neighbours across a border are seen as any others."""
+    Rows of line hashes, without any text, are dealt out by range of host and path, so a host of any size spreads over tasks; of each range
+    two rows at either end come to the driver, so that neighbours across a border, and past a run of copies, are seen as any others."""
     order = ["host", "path", "url", "key"]
     ranged = stored(_with_lines(pages).dropDuplicates(["key"]).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "lines")
-    place, row = F.struct(*order), F.struct("host", "path", "hashes")
-    ends = {r["part"]: (r["a"], r["z"]) for r in ranged.groupBy("part").agg(F.min_by(row, place).alias("a"), F.max_by(row, place).alias("z")).collect()}
-    parts = sorted(ends)
-    before = {p: tuple(ends[q][1]) for q, p in zip(parts, parts[1:], strict=False)}
-    after = {q: tuple(ends[p][0]) for q, p in zip(parts, parts[1:], strict=False)}
+    place, row = F.struct(*order), F.struct("host", "path", "hashes", "whole")
+    ends = ranged.groupBy("part").agg(F.min_by(row, place).alias("a"), F.max_by(row, place).alias("z"))
+    inner = ranged.join(F.broadcast(ends.select("part", "a.whole", "z.whole").toDF("part", "wa", "wz")), "part")  # one row a range
+    inner = inner.groupBy("part").agg(F.min_by(row, F.when(F.col("whole") != F.col("wa"), place)).alias("b"), F.max_by(row, F.when(F.col("whole") != F.col("wz"), place)).alias("y"))
+    known = {r["part"]: [x for x in (r["a"], r["b"], r["y"], r["z"]) if x] for r in ends.join(inner, "part").collect()}
+    around = _Around(known)
 
     def pair(got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values(order, na_position="first")
         part = int(got["part"].iloc[0])
-        rows = list(zip(got["host"], got["path"], got["hashes"], strict=True))
-        around = [before.get(part), *rows, after.get(part)]
+        rows = [{"host": h, "path": p, "hashes": x, "whole": w} for h, p, x, w in zip(got["host"], got["path"], got["hashes"], got["whole"], strict=True)]
+
+        def nearest(rows: list, held: list) -> list:
+            """For each row the nearest before it of other content; held: rows before the first, nearest first."""
+            out, one, two = [], *[*held, None, None][:2]
+            for r in rows:
+                out.append(one if one is None or one["whole"] != r["whole"] else two)
+                if one is None or one["whole"] != r["whole"]:
+                    two = one
+                one = r
+            return out
+
+        before = nearest(rows, around.before[part][::-1])
+        after = nearest(rows[::-1], around.after[part])[::-1]
         gone = []
-        for i, ((host, path, own), free) in enumerate(zip(rows, got["free"], strict=True)):
-            near = [x for x in (around[i], around[i + 2]) if x and x[0] == host]
-            best = max(near, key=lambda x: _shared_prefix(path, x[1]), default=None)  # of equals the one before
-            gone.append(furniture(list(own), list(free), list(best[2])) if best else [])
+        for r, kinds, *near in zip(rows, got["kinds"], before, after, strict=True):
+            near = [x for x in near if x is not None and x["host"] == r["host"]]
+            best = max(near, key=lambda x: _shared_prefix(r["path"], x["path"]), default=None)  # of equals the one before
+            gone.append(furniture(list(r["hashes"]), list(kinds), list(best["hashes"])) if best is not None else [])
         out = pd.DataFrame({"key": got["key"], "gone": gone})
         return out[out["gone"].str.len() > 0]
 
@@ -204,9 +273,10 @@ def deletions(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by newlines, empty if none), n_chars (code points), one row for each row of pages.
 
-    Null html is empty. A null or odd URL counts as host and path ''. Repeated rows are one page for the pairing. A page that shares all
-    its lines with its neighbour, or has no neighbour on its host, keeps them all. Other columns are ignored; an empty table gives no
-    rows. Deletions reach the pages by a broadcast if they are few (checked), else by a join on the page's key."""
+    Null html is empty. A null or odd URL counts as host and path ''. Repeated rows are one page for the pairing; copies are passed over
+    when a neighbour is sought. A page without article or main that shares all its lines with its neighbour, or has no neighbour of other
+    content on its host, keeps those outside furniture. Other columns are ignored; an empty table gives no rows. Deletions reach the pages
+    by a broadcast if they are few (checked), else by a join on the page's key."""
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     gone = stored(deletions(keyed.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("url", F.lit("")).alias("url"), "html")), "deletions")
     few = gone.select(F.count("*").alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("m")).first()
@@ -219,9 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = []
                 for page, drop in zip(part.column(2), part.column(3), strict=True):
                     skip = set(drop.as_py() or ())
-                    got = lines(page.as_py())
-                    inside = any(f for _, f in got)
-                    texts.append("\n".join(x for i, (x, f) in enumerate(got) if i not in skip and (f or not inside)))
+                    texts.append("\n".join(x for i, (x, k) in enumerate(lines(page.as_py())) if i not in skip and k != NAMED))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     out = own.select("page_id", "url", "html", "gone").mapInArrow(run, f"page_id {kind}, url string, text string")

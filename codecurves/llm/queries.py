@@ -43,7 +43,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "place")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,9 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
 WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-patterns(p) AS (VALUES ('(?i)^[a-z]+://([^/?#]*\.)?cheap-pills\.'), ('(?i)^[a-z]+://([^/?#]*\.)?adult-x\.'), ('(?i)^[a-z]+://([^/?#]*\.)?spam-farm\.'),
-  ('(?i)^[a-z]+://([^/?#]*\.)?ads-track\.'), ('(?i)^[a-z]+://([^/?#]*[.-])?(casino)[.-]'), ('(?i)/(wp-login|wp-admin)\.php'), ('(?i)[?&]sessionid=[0-9a-f]{16,}')),
+patterns(p) AS (VALUES @PATTERNS@),
 m AS (SELECT u.*, (SELECT arg_max(struct_pack(rule := h || p, v := v), length(h || p)) FROM rules
     WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, rules.p)) AS best,
   EXISTS (SELECT 1 FROM patterns WHERE regexp_matches(u.url, patterns.p)) AS bad FROM u)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM m""",
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM m""".replace("@PATTERNS@", ", ".join(f"('{r.pattern}')" for r in url_filters.PATTERN_RULES)),
 }

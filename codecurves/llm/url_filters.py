@@ -1,41 +1,111 @@
 """URL filters: host and path rules by longest match, and pattern rules found through their rarest literal token.
 
-DataFrame operations only. A pattern rule names the literal tokens that any matching URL must hold; the corpus says how often each
-token occurs in URLs, and the rule is filed under its rarest one. A URL's own tokens then fetch its candidate rules by an equality
+DataFrame operations only. Every match of a pattern rule holds certain literal tokens, which are read off the pattern; the corpus says
+how many URLs hold each, and the rule is filed under its rarest one. A URL's own tokens then fetch its candidate rules by an equality
 join, and only those run their regular expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS
 
+#: Parts that the rows of one URL are dealt to when matches go back to them.
+SALTS = 16
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The tokens [a-z0-9]+ (lower case) that every string matching the pattern holds as whole tokens: runs of letters and digits with a
+    sign, or an anchor, on either side. What may be left out, repeated or chosen gives none, so the list may be short but never wrong."""
+    border, unsure, run, found = "border", "unsure", "", []
+    items: list = [unsure]
+
+    def edge(parsed) -> bool:
+        """Whether every match of a part is one sign that is neither letter nor digit."""
+        if len(parsed) != 1:
+            return False
+        op, arg = parsed[0]
+        if str(op) == "SUBPATTERN":
+            return edge(arg[3])
+        if str(op) == "IN":
+            return all(str(o) == "LITERAL" and not chr(c).isalnum() for o, c in arg)
+        return str(op) == "LITERAL" and not chr(arg).isalnum()
+
+    def read(parsed) -> None:
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                c = chr(arg).lower()
+                items.append(c if c.isascii() and c.isalnum() else unsure if c.isalnum() else border)
+            elif name == "AT":
+                items.append(border)
+            elif name == "SUBPATTERN":
+                read(arg[3])
+            elif edge([(op, arg)]) or (name in ("MAX_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1 and edge(arg[2])):
+                items.append(border)
+            elif name == "MAX_REPEAT" and arg[0] == 0 and arg[1] == 1 and edge(list(arg[2])[-1:] if str(arg[2][0][0]) != "SUBPATTERN" else list(arg[2][0][1][3])[-1:]):
+                items.append(border if items[-1] == border else unsure)  # left out or not, a sign stands before what follows
+            else:
+                items.append(unsure)
+
+    read(_parser.parse(pattern))
+    for k, item in enumerate([*items, unsure]):
+        if len(item) == 1:
+            run, before = run + item, items[k - 1] if not run else before
+        else:
+            if run and before == item == border:
+                found.append(run)
+            run = ""
+    return tuple(dict.fromkeys(found))
+
+
 @dataclass(frozen=True)
 class PatternRule:
-    """tokens: lower-case literal tokens [a-z0-9]+ that every URL matching the pattern holds as whole tokens."""
+    """A regular expression that blocks what it matches. tokens: those it is filed under; by default all that the pattern implies. Tokens
+    that it doesn't imply are refused, since URLs without them would be lost."""
 
     rule_id: int
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        implied = literal_tokens(self.pattern)
+        if not implied or not set(self.tokens) <= set(implied):
+            raise ValueError(f"rule {self.rule_id}: a match need not hold {self.tokens or 'any literal token'}")
+        object.__setattr__(self, "tokens", self.tokens or implied)
+
+
+#: Words that block a host when a label, or a part of it between hyphens, is that word. Fixed values, by kind.
+HOST_WORDS = {
+    "gambling": "bet bets betting bingo casino casinos gambling jackpot lottery poker roulette slots sportsbook wager",
+    "adult": "adult cams escort escorts hentai milf nude nudes porn porno sex sexy xxx",
+    "pharmacy": "cialis pharmacy pills viagra xanax",
+    "advertising": "ad ads adserver adservice advert adverts banners clicktrack doubleclick popads tracker trackers",
+    "fraud": "malware payday phishing replica scam spam warez",
+}
+#: Patterns of pages that hold no text of their own.
+PAGE_PATTERNS = (r"(?i)/(wp-login|wp-admin)\.php", r"(?i)[?&]sessionid=[0-9a-f]{16,}", r"(?i)[?&]replytocom=[0-9]", r"(?i)/cgi-bin/")
+
 
+def host_word_rule(rule_id: int, word: str) -> PatternRule:
+    return PatternRule(rule_id, rf"(?i)^[a-z]+://([^/?#]*[.-])?{word}[.-]")
 
-PATTERN_RULES = [
-    PatternRule(1, r"(?i)^[a-z]+://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    PatternRule(2, r"(?i)^[a-z]+://([^/?#]*\.)?adult-x\.", ("adult", "x")),
-    PatternRule(3, r"(?i)^[a-z]+://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule(4, r"(?i)^[a-z]+://([^/?#]*\.)?ads-track\.", ("ads", "track")),
-    PatternRule(5, r"(?i)^[a-z]+://([^/?#]*[.-])?(casino)[.-]", ("casino",)),
-    PatternRule(6, r"(?i)/(wp-login|wp-admin)\.php", ("wp",)),
-    PatternRule(7, r"(?i)[?&]sessionid=[0-9a-f]{16,}", ("sessionid",)),
-]
+
+PATTERN_RULES = [host_word_rule(k, w) for k, w in enumerate(" ".join(HOST_WORDS.values()).split())]
+PATTERN_RULES += [PatternRule(1000 + k, p) for k, p in enumerate(PAGE_PATTERNS)]
+
+
+def read_rules(spark: SparkSession, path: str) -> list[PatternRule]:
+    """Rules from a text file of one pattern a line, in order; blank lines and lines that begin with # are none."""
+    lines = [r["value"] for r in spark.read.text(path, wholetext=False).collect()]
+    return [PatternRule(k, x) for k, x in enumerate(lines) if x.strip() and not x.startswith("#")]
 
 
 def host_of(url: Column) -> Column:
@@ -68,27 +138,32 @@ def rarest_token_index(urls: DataFrame, rules: list[PatternRule], url: str = "ur
         return spark.createDataFrame([], "token string, rule_id int, pattern string")
     if sum(len(r.tokens) for r in rules) > MAX_BROADCAST_ROWS:
         raise ValueError("too many rule tokens for one rule table; split the rules and union the matches")
-    if not all(r.tokens for r in rules):
-        raise ValueError("a pattern rule needs a literal token")
     held = spark.createDataFrame([(r.rule_id, r.pattern, t) for r in rules for t in r.tokens], "rule_id int, pattern string, token string")
-    seen = urls.select(F.explode(url_tokens(F.col(url))).alias("token")).join(F.broadcast(held.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    tokens = urls.select(F.explode(url_tokens(F.col(url))).alias("token"))
+    seen = tokens.join(F.broadcast(held.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     best = held.join(F.broadcast(seen), "token", "left").groupBy("rule_id", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("t"))
     return best.select(F.col("t.token").alias("token"), "rule_id", "pattern")
 
 
+def matches(urls: DataFrame, index: DataFrame, url: str = "url") -> DataFrame:
+    """(url, matched_rules): the URLs that a pattern matches, each once, and the ids of the rules in order. A URL's tokens fetch candidates
+    from the index, which is as large as the rule list (checked) and broadcast; only candidates run their expression."""
+    tokens = urls.select(F.col(url).alias("__url")).withColumn("token", F.explode(url_tokens(F.col("__url"))))
+    hit = tokens.join(F.broadcast(index), "token").filter(F.regexp_like("__url", F.col("pattern")))
+    return hit.groupBy("__url").agg(F.sort_array(F.collect_set("rule_id")).alias("matched_rules"))
+
+
 def filter_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """Judge every row's URL. Returns key, host, path, rule (null where none fits), verdict, matched_rules (ids of matching patterns).
 
     The longest host and path rule decides; where none fits, a matching pattern blocks, else the URL is allowed. Null or odd URLs have
     an empty host and path, no rule, and are allowed. Repeated rows are judged each for themselves; an empty table gives no rows; other
-    columns are ignored. Candidates come through a broadcast of the rule index, which is as large as the rule list (checked), and are
-    gathered inside each row, so no row is shuffled."""
-    index = rarest_token_index(pages, pattern_rules, url)
-    lookup = index.groupBy("token").agg(F.collect_list(F.struct("rule_id", "pattern")).alias("c")).agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("token", "c"))), F.expr("map()")).alias("__index"))
-    read = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")).crossJoin(F.broadcast(lookup))
-    fetched = F.flatten(F.transform(F.coalesce(url_tokens(F.col("__url")), F.array().cast("array<string>")), lambda t: F.coalesce(F.col("__index")[t], F.expr("array()"))))
-    read = read.select("__key", "__url", F.filter(fetched, lambda c: F.regexp_like(F.col("__url"), c["pattern"])).alias("__hits"))
-    read = read.select("__key", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), F.array_sort(F.array_distinct(F.transform("__hits", lambda c: c["rule_id"]))).alias("matched_rules"))
+    columns are ignored. Matching URLs go back to their rows once for each salt, so a URL that very many rows hold is spread over tasks."""
+    hits = matches(pages, rarest_token_index(pages, pattern_rules, url), url)
+    hits = hits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    read = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")).withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+    read = read.join(hits, ["__url", "__salt"], "left").withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     rule, verdict = _host_rule(F.col("host"), F.col("path"), host_rules)
-    method = F.when(F.size("matched_rules") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return read.select(F.col("__key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "matched_rules")
+    method = F.when(F.col("matched_rules").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    ids = F.coalesce("matched_rules", F.array().cast("array<int>")).alias("matched_rules")
+    return read.select(F.col("__key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), ids)

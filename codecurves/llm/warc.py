@@ -9,17 +9,18 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import MAX_BROADCAST_ROWS, new_path, stored
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS = 4096
+#: Most records and, by the mean payload, about the most bytes of an archive; captures of a range that one task merges.
+RECORDS, ARCHIVE_BYTES, RANGE_ROWS = 4096, 64 << 20, 200_000
 EPOCH = "2024-01-01 00:00:00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 16
@@ -34,25 +35,23 @@ def base32_sha1(value: Column) -> Column:
     return F.concat(*out)
 
 
-def with_digests(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Two tables: the pages with payload, payload_bytes and payload_digest; and first_id by digest and length.
-
-    Equal payloads: equal digest and length. Their smallest page_id is found by partial sums before the shuffle; only groups of more
-    than one page go back to the pages, each once for every salt, so a payload that many pages share is spread over tasks."""
+def with_digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_bytes and payload_digest of every page."""
     read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    read = read.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    firsts = read.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return read, firsts
+    return read.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+
 
+def _revisits(meta: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, payload_digest, first_id) of the pages that revisit a response. Equal payloads: equal digest and length.
 
-def _revisits(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The pages, and (page_id, payload_digest, first_id) of those that revisit a response. A group goes to its pages once for every
-    salt, so a payload that very many pages share is spread over tasks."""
-    read, firsts = with_digests(pages, min_bytes)
-    meta = read.select("page_id", "payload_digest", "payload_bytes", F.pmod(F.hash("page_id"), F.lit(SALTS)).alias("salt"))
-    spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    again = stored(meta.join(spread, ["payload_digest", "payload_bytes", "salt"]).filter("page_id is null or page_id <> first_id").select("page_id", "payload_digest", "first_id").filter("first_id is not null").distinct(), "revisits")
-    return read, again
+    The smallest page_id is found by partial minima before the shuffle; only groups of more than one page go back to their pages, each
+    once for every salt, so a payload that very many pages share is spread over tasks."""
+    group = ["payload_digest", "payload_bytes"]
+    firsts = meta.filter(F.col("payload_bytes") >= min_bytes).groupBy(*group).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    firsts = firsts.filter("n > 1 and first_id is not null").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = meta.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
+    again = salted.join(firsts, [*group, "salt"]).filter("page_id is null or page_id <> first_id")
+    return again.select("page_id", "payload_digest", "first_id").distinct()
 
 
 def _header(name: str, value: Column) -> Column:
@@ -60,13 +59,21 @@ def _header(name: str, value: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records: int = RECORDS) -> None:
-    """Write one WARC/1.1 record for each row as gzip-compressed archives of at most `records` records under path.
-
-    Spark's text writer puts the two line ends that close a record, so archives can go to any file system that Spark writes. The table
-    has no capture time: WARC-Date is a fixed day plus page_id seconds."""
-    read, again = _revisits(pages, min_bytes)
-    small = again.count()
-    marked = read.join(F.broadcast(again) if small <= 50_000 else again, (read["page_id"].eqNullSafe(again["page_id"])) & (read["payload_digest"] == again["payload_digest"]), "left").select(read["*"], again["first_id"])
+    """Write one WARC/1.1 record for each row as gzip-compressed archives under path: at most `records` records each, fewer where the
+    mean payload says that they would be more than ARCHIVE_BYTES.
+
+    Null html is an empty payload; a null url has no target header; a null page_id an empty record name. Repeated rows give a record
+    each. An empty table gives an archive without records; other columns are ignored. Spark's text writer puts the two line ends that
+    close a record, so archives can go to any file system that Spark writes; an archive is one gzip stream. The table has no capture
+    time: WARC-Date is a fixed day plus page_id seconds."""
+    read = with_digests(pages)
+    meta = stored(read.select("page_id", "payload_digest", "payload_bytes"), "digests")
+    again = stored(_revisits(meta, min_bytes), "revisits")
+    size = meta.agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("b")).first()
+    records = max(1, min(records, ARCHIVE_BYTES * max(1, size["n"]) // max(1, int(size["b"]))))
+    few = again.count() <= MAX_BROADCAST_ROWS
+    same = read["page_id"].eqNullSafe(again["page_id"]) & (read["payload_digest"] == again["payload_digest"])
+    marked = read.join(F.broadcast(again) if few else again, same, "left").select(read["*"], again["first_id"])
     crlf, name = F.lit("\r\n"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     revisit = F.col("first_id").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -99,37 +106,44 @@ def url_key(url: str) -> str:
 
 
 def parse(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *fields = raw[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(f.split(": ", 1) for f in fields)
-        stop = end + 4 + int(head["Content-Length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield at, head, raw[end + 4 : stop]
-        at = stop + 4
+    """(offset in the uncompressed archive, headers, block) of each record of a gzip-compressed archive, decompressed as it is read."""
+    with io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)), 1 << 20) as f:
+        at = 0
+        while version := f.readline():
+            if not version.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at byte {at}")
+            head, size = {}, len(version)
+            while line := f.readline():
+                size += len(line)
+                if line == b"\r\n":
+                    break
+                name, value = line.decode().rstrip("\r\n").split(": ", 1)
+                head[name] = value
+            n = int(head["Content-Length"])
+            block = f.read(n)
+            if f.read(4) != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {at} doesn't end where it says")
+            yield at, head, block
+            at += size + n + 4
 
 
 def read_runs(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     """Each archive's captures in order of URL key, time and page: run, url_key, captured, page_id, payload_bytes, payload_digest,
     record_type, refers_to, offset. The digest of every response is computed anew and held against its header."""
+    named = kind == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = []
-                for at, head, block in parse(gzip.decompress(batch.column(1)[k].as_py())):
+                for at, head, block in parse(batch.column(1)[k].as_py()):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http.rsplit(b": ", 1)[1])
                     if head["WARC-Type"] == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != n):
                         raise ValueError("a payload doesn't match its digest")
                     refers = head.get("WARC-Refers-To", "<urn:page:>")[10:-1]
                     rows.append((url_key(head.get("WARC-Target-URI", "")), head["WARC-Date"], head["WARC-Record-ID"][10:-1] or None, n, digest, head["WARC-Type"], refers or None, at))
-                rows.sort(key=lambda r: (r[0], r[1], int(r[2] or -1)))
+                rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] if r[2] is None or named else int(r[2])))
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.string()] * 3, pa.int64(), *[pa.string()] * 3, pa.int64()], strict=True)] if rows else None
                 if cols:
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows)), *cols], names=["run", "url_key", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "offset"])
@@ -172,32 +186,39 @@ class LoserTree:
             self._play(w)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """The captures of all runs in one global order of (url_key, captured, page_id), `place` their place in it within the partition.
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The captures of all runs in one global order of (url_key, captured, page_id): range_no and place say where.
 
-    Ranges of the full key are dealt to tasks, so a URL with very many captures is cut as well; each task merges the pieces of runs
-    that fall in its range. Partitions follow each other in order."""
-    key, names = ["url_key", "captured", "page_id"], runs.columns
+    runs: as read_runs gives them, kept in shared storage. Ranges of the full key, about `range_rows` captures each, are dealt to tasks, so
+    memory stays bounded and a URL with very many captures is cut as well. Each task merges the pieces of runs in its range through a
+    loser tree; ranges follow each other in order. Null page_ids come first among equals; repeated rows follow each other in order of
+    their runs; no rows give none; a column named range_no or place would be replaced."""
+    key = ["url_key", "captured", "page_id"]
+    names = [c for c in runs.columns if c not in ("range_no", "place")]
+    runs = runs.select(*names)
+    least = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartitionByRange(max(least, -(-runs.count() // range_rows)), *key).sortWithinPartitions("run", *key)
+    dealt = dealt.withColumn("range_no", F.spark_partition_id())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(batches) or [pd.DataFrame(columns=names)], ignore_index=True)
-        if not len(got):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        ids = got["page_id"].map(lambda x: -1 if pd.isna(x) else int(x))
-        entries = list(zip(got["url_key"], got["captured"], ids, range(len(got)), strict=True))
+        got = pa.Table.from_batches(got)
+        ids = [(x is not None, x) for x in got["page_id"].to_pylist()]
         pieces: dict[str, list[tuple]] = {}
-        for entry, name in zip(entries, got["run"], strict=True):
-            pieces.setdefault(name, []).append(entry)
+        for name, *entry in zip(*(got[c].to_pylist() for c in ("run", "url_key", "captured")), ids, range(len(got)), strict=True):
+            pieces.setdefault(name, []).append(tuple(entry))
         order = [e[3] for e in LoserTree(list(pieces.values()))]
-        yield got.iloc[order].assign(place=range(len(order)))
+        yield from got.take(pa.array(order)).append_column("place", pa.array(range(len(order)), pa.int64())).combine_chunks().to_batches()
 
-    dealt = runs.repartitionByRange(*key).sortWithinPartitions("run", *key)
-    return dealt.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema) + ", place long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema) + ", range_no int, place long"
+    return dealt.mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Write pages as WARC archives (under path, or a new folder of the shared one), read them back and return the merged capture
-    index: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, run, offset.
+    index: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, run, offset, range_no, place.
 
     Null html is an empty payload; a null url has no target header and the key ''. Repeated rows give a record each; those of a
     page_id that is its payload's smallest are responses. A null page_id never is the smallest; if a payload has no other, its records
@@ -206,4 +227,4 @@ def archive(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> Da
     path = path or new_path(spark, "warc")
     write_warc(pages, path, min_bytes)
     runs = stored(read_runs(spark, path, pages.schema["page_id"].dataType.simpleString()), "runs")
-    return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "run", "offset")
+    return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "run", "offset", "range_no", "place")

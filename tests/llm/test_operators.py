@@ -262,12 +262,31 @@ def test_lines_of_fixtures_are_the_article(spark):
 
 def test_furniture_goes():
     page = "<title>t</title><header>top</header><nav>menu<ul><li>x</ul></nav><div class='side-bar sidebar'>s</div><form>f<input></form><script>var a='<p>no</p>'</script><style>p{}</style><main><p>A &lt;b&gt; &amp;\n c<br>d<p>e<div class=comments><p>rude</div></main><aside>z</aside><footer>end"
-    assert [x for x, f in html_extract.lines(page) if f] == ["A <b> & c d", "e"]
+    assert [x for x, k in html_extract.lines(page) if k != html_extract.NAMED] == ["A <b> & c d", "e"]
 
 
 def test_wrappers_named_after_furniture_keep_the_article():
     page = "<div class='layout with-sidebar'><p>lead</p><div class='promo page'><article><div class='entry-header'><h1>T</h1></div><p>x</p></article><p>buy</p></div><section id=comments><article><p>rude</p></article></section></div>"
-    assert html_extract.lines(page) == [("lead", False), ("T", True), ("x", True)]
+    got = [(x, k) for x, k in html_extract.lines(page) if k != html_extract.NAMED]
+    assert got == [("lead", html_extract.FREE), ("T", html_extract.OWN), ("x", html_extract.OWN)]
+
+
+def test_words_in_attributes_hide_nothing_of_an_article():
+    page = "<article><p title='a hidden gem'>one <span class='related'>two</span></p><section class='form'>three</section><div class='side'>four</div><div class='ad'>buy</div><p hidden>no</p><p style='display: none'>no</p><div class='comments'>rude</div><p aria-hidden=true>no</p></article>"
+    assert [x for x, k in html_extract.lines(page) if k == html_extract.OWN] == ["one two", "three", "four"]
+    assert [x for x, k in html_extract.lines(page) if k == html_extract.NAMED] == ["buy", "rude"]
+
+
+def test_neighbours_decide_outside_articles_too(spark):
+    page = lambda i: f"<div>Site of all</div><div>Teaser {i}</div><article><p>Shared passage</p><p>Own {i}</p></article><div>Imprint here</div>"
+    rows_ = [(i, f"http://h.x/{i:03d}", page(i // 5)) for i in range(40)]  # runs of five copies: a neighbour of other content is sought past them
+    d = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    for n in ("1", "8", "30"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(d).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert got == {i: f"Teaser {i // 5}\nShared passage\nOwn {i // 5}" for i in range(40)}
 
 
 def test_neighbours_tell_furniture(spark):
@@ -310,6 +329,12 @@ def test_every_row_has_its_shard(spark, docs, tmp_path):
     for d in (docs, odd(spark), none(spark)):
         got = sharding.place(d).collect()
         assert len(got) == d.count() and all(r["shard"] == names[owner[r["slot"]]] for r in got)
+    clash = odd(spark).unionByName(spark.createDataFrame([(None, f"text {i}", None, None, None, "k", 1, 2, "s") for i in range(200)], odd(spark).schema))
+    sharding.write_shards(clash, str(tmp_path / "clash"))
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert Counter((r["doc_id"], r["shard_"]) for r in back.collect()) == Counter((r["doc_id"], r["shard"]) for r in sharding.place(clash).collect())
+    assert set(back.columns) == {*clash.columns, "shard_"} and back.filter("doc_id is null").select("shard_").distinct().count() > 30
+    sharding.write_shards(none(spark), str(tmp_path / "none"))
     sharding.write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter((r["doc_id"], r["shard"]) for r in back.collect()) == Counter((r["doc_id"], r["shard"]) for r in sharding.place(docs).collect())
@@ -415,6 +440,37 @@ def test_plan_packs_every_piece_once(seed):
     assert sum(t for t, _ in plan) <= len(rooms)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_two_fit_piece_by_piece(seed):
+    rng = np.random.default_rng(seed)
+    size, pieces_ = 24 + 8 * seed, []
+    pieces_ = sorted(rng.integers(1, size + 1, 300).tolist(), reverse=True)
+    counts, bins = Counter(pieces_), []
+    while pieces_:
+        left, own, room = list(pieces_), [], size
+        while fit := [x for x in left if x <= room]:
+            own.append(fit[0])
+            left.remove(fit[0])
+            room -= fit[0]
+        if room and len(own) > 1:
+            gap = room + own[-1]
+            pairs = [left[i] + left[j] for i in range(len(left)) for j in range(i) if left[i] + left[j] <= gap]
+            if pairs and max(pairs) > own[-1]:
+                best = max(pairs)
+                a = min(x for i, x in enumerate(left) if best - x in left[:i] + left[i + 1 :])
+                own[-1:] = sorted((a, best - a), reverse=True)
+        for x in own:
+            pieces_.remove(x)
+        bins.append(tuple(own))
+    assert Counter(bins) == Counter({tuple(b): 0 for _, b in packing.plan_bins(counts, size)}) + sum((Counter({tuple(b): t}) for t, b in packing.plan_bins(counts, size)), Counter())
+
+
+def test_long_runs_are_encoded():
+    encode = packing.encoder(packing._vocabulary(None))
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, "x" + " \n" * 300_000 + "y", "a" * 1_000_000):
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.raw.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_matches_the_tokenizer(spark, docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -519,11 +575,30 @@ def test_copies_are_rows_not_ids(spark):
 
 
 def test_rule_tokens_are_whole_in_every_match(spark):
-    heads = {1: "http://cheap-pills.", 2: "http://b.adult-x.", 3: "http://spam-farm.", 4: "http://ads-track.", 5: "http://a.casino-", 6: "http://b.example.org/wp-login.php", 7: "http://b.example.org/?sessionid=0123456789abcdef"}
-    more = {60: "http://b.example.org/WP-admin.php"}
-    urls = [h + end for h in [*heads.values(), *more.values()] for end in ("", "5", "x", "7?a=b", "_", "/z")] + ["http://b.example.org/wp"] * 30
+    pages_ = {1000: "http://b.example.org/wp-login.php", 1001: "http://b.example.org/?sessionid=0123456789abcdef", 1002: "http://b.x/?a=b&replytocom=7", 1003: "http://b.x/cgi-bin/"}
+    heads = {r.rule_id: pages_.get(r.rule_id) or f"http://a-{r.tokens[0]}." for r in url_filters.PATTERN_RULES} | {-1: "http://b.example.org/WP-admin.php"}
+    urls = [h + end for h in heads.values() for end in ("", "5", "x", "7?a=b", "_", "/z")] + ["http://b.example.org/wp"] * 30 + ["http://b.example.org/wp-login.php5"]
+    urls += [u.replace("http://a-", "HTTP://") for u in urls[:300]] + [u.replace("http://a-", "http://a") for u in urls[:300]]
     got = url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()
     assert {r["page_id"]: r["matched_rules"] for r in got} == {i: sorted(r.rule_id for r in url_filters.PATTERN_RULES if re.search(r.pattern, u)) for i, u in enumerate(urls)}
     for rule in url_filters.PATTERN_RULES:
         hit = [u for u in urls if re.search(rule.pattern, u)]
         assert hit and all(set(rule.tokens) <= set(re.findall("[a-z0-9]+", u.lower())) for u in hit)
+
+
+def test_tokens_come_from_the_pattern():
+    for pattern, want in ((r"/(wp-login|wp-admin)\.php", ("wp",)), ("/abc/", ("abc",)), ("/abc", ()), ("/a+bc/", ()), ("/(abc)?/def/", ("def",)), ("/ab|/cd/", ()), ("/abc/?def/", ()), ("x/abc$", ("abc",))):
+        assert url_filters.literal_tokens(pattern) == want
+    with pytest.raises(ValueError):
+        url_filters.PatternRule(1, r"/wp-login\.php", ("php",))
+    with pytest.raises(ValueError):
+        url_filters.PatternRule(1, "/abc")
+
+
+def test_many_rules(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# hosts\n" + "\n".join(url_filters.host_word_rule(0, f"w{k}").pattern for k in range(20_000)) + "\n\n")
+    rules = url_filters.read_rules(spark, str(tmp_path / "rules.txt"))
+    urls = [f"http://x.w{k}.com/w{k + 1}" for k in range(0, 30_000, 7)] + ["http://w5.w6.com/"] * 50
+    got = url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), [], rules).collect()
+    want = lambda u: sorted({int(w[1:]) + 1 for w in re.findall(r"[a-z0-9]+", u.split("/")[2]) if w[0] == "w" and int(w[1:]) < 20_000})
+    assert len(rules) == 20_000 and {r["page_id"]: r["matched_rules"] for r in got} == {i: want(u) for i, u in enumerate(urls)}
