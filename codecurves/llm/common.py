@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import discard, new_path, shared_dir, stored  # noqa: F401  (operators take them from here)
@@ -121,15 +121,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     many neighbours is several tasks' work. Rounds are written to shared storage, and the rounds before deleted; nothing is collected but
     a count and a checksum."""
     live = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    salt = lambda c: F.pmod(F.hash(c), F.lit(STAR_SALTS)).alias("salt")
     before = None
     while True:
         # each edge (u > v) goes from v, which sends u on to the least it knows
         least = live.select(F.col("v").alias("x"), F.col("v").alias("y")).unionByName(live.select(F.col("u").alias("x"), F.col("v").alias("y"))).groupBy("x").agg(F.min("y").alias("m"))
-        by_low = live.select("u", F.col("v").alias("x"), salt("u")).join(_salted(least), ["x", "salt"])
+        by_low = live.select("u", F.col("v").alias("x"), salt_of("u")).join(_salted(least), ["x", "salt"])
         large = stored(by_low.select("u", F.col("m").alias("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        by_high = large.select("u", "v", salt("v")).join(_salted(low), ["u", "salt"])
+        by_high = large.select("u", "v", salt_of("v")).join(_salted(low), ["u", "salt"])
         small = by_high.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         last, live = live, stored(small.distinct(), "small-star")
         now = live.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
@@ -138,3 +137,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     return live.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(live.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label")))
+
+
+def salt_of(column: str) -> Column:
+    return F.pmod(F.hash(column), F.lit(STAR_SALTS)).alias("salt")
+
+
+def group_least(rows: DataFrame, node: str, own: str, label: DataFrame) -> DataFrame:
+    """(node, salt, least): the smallest `own` of all rows of a node's component, once for each salt, for nodes that several rows have or
+    that are linked; all other rows are their own least. label: (node, label) of linked nodes.
+
+    Minima are partial before each shuffle, and what goes back by node or label goes back once for each salt, so that a node or component
+    with a third of all rows is several tasks' work."""
+    nodes = stored(rows.groupBy(F.col(node).alias("node")).agg(F.min(own).alias("first"), F.count("*").alias("n")), "nodes")
+    inside = nodes.join(label, "node")
+    lowest = inside.groupBy("label").agg(F.min("first").alias("least"))
+    linked = inside.select("node", "label", salt_of("node")).join(_salted(lowest), ["label", "salt"]).select("node", "least")
+    alone = nodes.filter("n > 1").join(label, "node", "left_anti").select("node", F.col("first").alias("least"))
+    return _salted(linked.unionByName(alone))

@@ -7,7 +7,7 @@ finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import os
+import base64
 import re
 import zlib
 from array import array
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, stored
+from .common import stored
 
 SIZE = 2048
 END = 0
 #: Entries of a worker's word cache; it is emptied when full. It holds results only and changes none.
 CACHE = 400_000
+#: Longest cut, in characters, that goes through the rank file.
+SHORT = 1_000
 SPECIAL = "<|endoftext|>"
 _SPLIT = re.compile(r" (?=\S)")
 
@@ -33,30 +35,40 @@ class Encoder:
     """Token ids, as little-endian 32-bit bytes, of a `tokenizers` vocabulary file.
 
     The byte-pair vocabulary never joins characters across a space that is followed by a visible character, nor across its special
-    token, so texts are cut there, and each distinct cut is encoded once and remembered."""
+    token, so texts are cut there, and each distinct cut is encoded once and remembered. `tokenizers` encodes what is long; short cuts
+    go through the rank file of the same vocabulary, which costs a fourth and can't be given what would overflow it."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks_path: str | None, pattern: str):
         from tokenizers import Tokenizer
 
         self.raw = Tokenizer.from_file(vocabulary)
         self.special = self.raw.token_to_id(SPECIAL)
         self.known: dict[str, bytes] = {}
+        self.short = None
+        if ranks_path:
+            import tiktoken
+
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.short = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _bytes(self, cut: str) -> bytes:
+        ids = self.short(cut) if self.short and len(cut) <= SHORT else self.raw.encode(cut, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
         head, *rest = _SPLIT.split(text)
-        cuts, known = [head, *[" " + x for x in rest]], self.known
-        new = [c for c in set(cuts) if c not in known]
-        if new and len(known) > CACHE:
-            known.clear()
-            new = list(set(cuts))
-        if new:
-            for c, got in zip(new, self.raw.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = array("I", got.ids).tobytes()
-        out = b"".join([known[c] for c in cuts])
-        for c in new:
-            if len(c) > 64:
-                del known[c]
-        return out
+        known, out = self.known, [self._bytes(head)] if head else []
+        for word in rest:
+            got = known.get(word)
+            if got is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                got = self._bytes(" " + word)
+                if len(word) < 64:
+                    known[word] = got
+            out.append(got)
+        return b"".join(out)
 
     def __call__(self, text: str) -> bytes:
         if self.special is None or SPECIAL not in text:
@@ -67,29 +79,23 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """A Python worker's encoder, kept for its next task."""
-    if vocabulary not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
-
-
-def _vocabulary(path: str | None) -> str:
+def encoder(vocabulary: str | None = None) -> Encoder:
+    """A Python worker's encoder, kept for its next task. A vocabulary of the caller's own goes through `tokenizers` alone."""
     import public_tokenizers as P
 
-    return path or P.path("byte_bpe_50k.json")
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary or P.path("byte_bpe_50k.json"), None if vocabulary else P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return _encoders[vocabulary]
 
 
 def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Cut every document (ids, then id 0) into pieces of at most `size` tokens; where it is longer, the first piece takes the
     remainder. Null text is empty: one piece that holds id 0. Columns: doc_id, piece, start, length, ids_crc32, part, rank
     (counted from 0 within part and length), and ids if asked for."""
-    file = _vocabulary(vocabulary)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = encoder(file), np.zeros(size + 1, np.int64), None
+        encode, seen, part = encoder(vocabulary), np.zeros(size + 1, np.int64), None
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids, out, blobs = batch.column(0), [], []
@@ -174,8 +180,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, keep_
 
     Nulls: a null text is empty; a null doc_id is kept as it is. Repeated rows are packed as often as they occur. An empty table
     gives no rows. Other columns of docs are ignored. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
-    The pieces are written to shared storage once (texts are read and encoded once); to the driver come at most `size` counts. Counts by
-    input partition and length are broadcast where they are few (checked), so that pieces aren't shuffled; else they are joined."""
+    The pieces are written to shared storage once (texts are read and encoded once); to the driver come at most `size` counts."""
     cut = stored(token_pieces(docs, size, vocabulary, keep_ids), "pieces")
     counts = stored(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -194,5 +199,4 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, keep_
             yield got.drop(columns=["part", "rank", "before"]).assign(sequence_id=seq, offset=off)
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name not in ("part", "rank")]
-    few = counts.count() <= MAX_BROADCAST_ROWS
-    return cut.join(F.broadcast(before) if few else before, ["part", "length"]).select(*cut.columns, "before").mapInPandas(place, ", ".join([*fields, "sequence_id long", "offset long"]))
+    return cut.join(before, ["part", "length"]).select(*cut.columns, "before").mapInPandas(place, ", ".join([*fields, "sequence_id long", "offset long"]))

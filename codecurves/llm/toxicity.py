@@ -2,14 +2,16 @@
 
 A disguised word (leetspeak, letters set apart, letters repeated) is a lattice of the characters each sign may stand for; a character
 model counted over the whole corpus picks the likeliest path through it. A word without such signs has one path only and stays as it
-is. The score rests on how much more often a word, or its beginning, stands in toxic texts than in others.
+is. The score of the restored text rests on how much more often a word, or its beginning, stands in toxic texts than in others. A word
+that only looks disguised (doubled letters are common) counts as written as well.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,31 @@ SWAP_COST, SYMBOLS = 1.0, 29
 
 _RUN = re.compile(r"(.)\1*", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
-_NOISY = re.compile(r"[0-9@$!|+(€]|([^\W\d_])\1\1|^\W*\w(?:[.\-_*~]\w){2,}\W*$")
-_APART = re.compile(r"(?<!\S)(?:[^\s\x00-#%-/:-?\[-`{}~][ \t]){3,}[^\s\x00-#%-/:-?\[-`{}~](?!\S)")
-_TRIPLE, _AROUND = re.compile(r"([^\W\d_])\1\1"), ".,;:?\"'"
-_EDGE = re.compile(r"^[^\w@$|(€]+|[^\w@$€]+$")
+_NOISY = re.compile(r"[0-9@$!|+(€]|([^\W\d_])\1|^\W*\w(?:[.\-_*~/,]\w){2,}\W*$")
+_DOUBLE, _SLIM = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1+", re.S)
+#: Signs set apart: four or more, with up to three blanks or marks between any two, not part of longer words.
+_APART = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+(€])[\s.,/\-_*~]{1,3}){3,}(?:[^\W_]|[@$!|+(€])(?![^\W_])")
+_SIGN = re.compile(r"[^\W_]|[@$!|+(€]")
+_AROUND = ".,;:?\"'"
+#: Slots after which the paths of a long lattice are cut back to where they part.
+SETTLE = 2048
+
+
+def core(token: str) -> str:
+    """A token less the marks on either side of it."""
+    i, j = 0, len(token)
+    while i < j and not (token[i].isalnum() or token[i] in "_@$|(€"):
+        i += 1
+    if 0 < i < j and token[i - 1] == "!" and token[i].isalnum():
+        i -= 1  # in front of a letter it may stand for one
+    while j > i and not (token[j - 1].isalnum() or token[j - 1] in "_@$€"):
+        j -= 1
+    return token[i:j]
+
+
+def slim(word: str) -> str:
+    """A word with every run of a letter cut to one."""
+    return _SLIM.sub(r"\1", word)
 
 
 def symbol(c: str) -> int:
@@ -76,34 +99,50 @@ class Restorer:
         self.logp = np.log(three).tolist()
 
     @staticmethod
-    def lattice(word: str) -> list[list[tuple[str, float]]]:
+    def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
         """For each sign, or run of one sign, the strings it may stand for and their cost."""
-        out: list[list[tuple[str, float]]] = []
         for m in _RUN.finditer(word):
             c, n = m[1], len(m[0])
-            means = [(x, SWAP_COST) for x in LEET.get(c, "")] + [(c, 0.0)] * c.isalnum()
+            swaps = [(x, SWAP_COST) for x in LEET.get(c, "")]
+            means = swaps + [(c, 0.0)] * c.isalnum()
             if not means:
-                out.append([("", 0.0)])
-            elif n >= 3 and not c.isdigit():
-                out.append([(x * k, cost) for x, cost in means for k in (1, 2)])
+                yield [("", 0.0)]
+            elif n == 1:
+                yield means
+            elif c.isdigit():
+                yield [(x * k, cost) for x, cost in swaps for k in (1, 2)] + [(c * n, 0.0)]
             else:
-                out += [means] * n
-        return out
+                yield [(x * k, cost) for x, cost in means for k in (1, 2)]
 
     def apart(self, signs: list[str]) -> str:
-        """Signs set apart by blanks: between any two, the word may go on or end."""
-        slots = [slot for sign in signs for slot in (*self.lattice(sign), [("", 0.0), (" ", 0.0)])]
-        return self.best(slots[:-1])
+        """Signs set apart by blanks or marks: between any two, the word may go on or end."""
+
+        def slots() -> Iterator[list[tuple[str, float]]]:
+            for k, sign in enumerate(signs):
+                if k:
+                    yield [("", 0.0), (" ", 0.0)]
+                yield from self.lattice(sign)
+
+        return self.best(slots())
 
     def decode(self, word: str) -> str:
         return self.best(self.lattice(word))
 
-    def best(self, slots: list[list[tuple[str, float]]]) -> str:
-        """The likeliest path (Viterbi over the last two characters)."""
-        best = {(0, 0): (0.0, "")}
-        for slot in [*slots, [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+    def best(self, slots: Iterable[list[tuple[str, float]]]) -> str:
+        """The likeliest path (Viterbi over the last two characters). Paths are back pointers; what all of them share is settled as the
+        lattice is read, so time and memory follow its length."""
+        done: list[str] = []
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for k, slot in enumerate(chain(slots, [[(" ", 0.0)]])):
+            if len(best) == len(slot) == 1:  # nothing to choose, and nothing before it is open
+                ((x, y),), piece = best, slot[0][0]
+                for c in piece:
+                    x, y = y, symbol(c)
+                done.append(piece)
+                best = {(x, y): (0.0, None)}
+                continue
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
                 for piece, cost in slot:
                     x, y, s = a, b, score - cost
                     for c in piece:
@@ -111,29 +150,72 @@ class Restorer:
                         s += self.logp[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or s > new[x, y][0]:
-                        new[x, y] = (s, text + piece)
-            best = new
-        return max(best.values())[1].strip()
+                        new[x, y] = (s, (path, piece))
+            best = self._settled(new, done) if len(new) == 1 or k % SETTLE == SETTLE - 1 else new
+        _, path = max(best.values(), key=lambda v: v[0])
+        return ("".join(done) + "".join(_walk(path))).strip()
+
+    @staticmethod
+    def _settled(best: dict, done: list[str]) -> dict:
+        """Move what all paths share to `done`, and cut them there."""
+        chains = []
+        for _, path in best.values():
+            nodes = []
+            while path is not None:
+                nodes.append(path)
+                path = path[0]
+            chains.append(nodes[::-1])
+        shared = 0
+        while all(len(c) > shared and c[shared] is chains[0][shared] for c in chains):
+            shared += 1
+        done.extend(node[1] for node in chains[0][:shared])
+        out = {}
+        for (state, (score, _)), nodes in zip(best.items(), chains, strict=True):
+            path = None
+            for node in nodes[shared:]:
+                path = (path, node[1])
+            out[state] = (score, path)
+        return out
 
     def restore(self, token: str) -> str:
         """A token between white space, lower case. Numbers stay numbers."""
         if not _NOISY.search(token):
             return token
-        core = _EDGE.sub("", token)
-        return self.decode(core) if any(c.isalpha() for c in core) else token
+        own = core(token)
+        return self.decode(own) if any(c.isalpha() for c in own) else token
 
     def words(self, token: str) -> set[str]:
-        """The words of a token, as written and as restored."""
+        """The words of a token, as restored and as written."""
         out = set(_WORD.findall(token))
         return out | set(_WORD.findall(self.restore(token))) if _NOISY.search(token) else out
 
+    def joined(self, low: str) -> list[tuple[int, int, str]]:
+        """(start, end, restored) of the stretches of a lower-case text whose signs are set apart."""
+        return [(m.start(), m.end(), self.apart(_SIGN.findall(m[0]))) for m in _APART.finditer(low) if any(c.isalpha() for c in m[0])]
+
     def tokens(self, text: str) -> set[str]:
         low = text.lower()
         out = set(low.split())
-        for m in _APART.finditer(low):
-            out.update(self.apart(m[0].split()).split())
+        for _, _, word in self.joined(low):
+            out.update(word.split())
         return out
 
+    def text(self, text: str) -> str:
+        """The whole text, lower case, with every disguised stretch and token in its restored form."""
+        low, out, at = text.lower(), [], 0
+        for start, end, word in self.joined(low):
+            out += [low[at:start], word]
+            at = end
+        return re.sub(r"\S+", lambda m: self.restore(m[0]), "".join([*out, low[at:]]))
+
+
+def _walk(path: tuple | None) -> list[str]:
+    out = []
+    while path is not None:
+        path, piece = path
+        out.append(piece)
+    return out[::-1]
+
 
 def features(word: str) -> list[str]:
     """The word, and its beginnings of three to six letters."""
@@ -147,6 +229,7 @@ class Evidence:
         self.restorer, self.known, self.total = restorer, known, total
         self.cache: dict[str, float] = {}
         self.heads = {f[1:4] for f in known}
+        self.slim = {slim(f[1:])[:3] for f in known}
 
     def weight(self, p: int, n: int, own: int = -1) -> float:
         """own: the label of a text whose part in the counts is taken out."""
@@ -162,8 +245,8 @@ class Evidence:
         cache, heads, got = self.cache, self.heads, []
         for raw in self.restorer.tokens(text or ""):
             word = raw.strip(_AROUND).rstrip("!")
-            if word.isalpha() and word[:3] not in heads and not _TRIPLE.search(word):
-                continue  # one undisguised word that begins like no feature
+            if word.isalpha() and word[:3] not in heads and not (_DOUBLE.search(word) and slim(word)[:3] in self.slim):
+                continue  # one word that begins like no feature, doubled letters or not
             if own >= 0:
                 got.append(self.token(raw, own))
                 continue
@@ -181,6 +264,7 @@ class Evidence:
 def _feature_counts(sample: DataFrame, restorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
+        known: dict[str, list[str]] = {}
 
         def flush():
             p, n = ([v[i] for v in counts.values()] for i in (0, 1))
@@ -192,8 +276,11 @@ def _feature_counts(sample: DataFrame, restorer) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = {""}
                 for raw in restorer.value.tokens(text or ""):
-                    for w in restorer.value.words(raw):
-                        held.update(features(w))
+                    if raw not in known:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        known[raw] = [f for w in restorer.value.words(raw) for f in features(w)]
+                    held.update(known[raw])
                 for f in held:
                     counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
                 if len(counts) > 150_000:
@@ -277,7 +364,10 @@ def score(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of docs, with all their columns, that score under 0.5."""
+    """The rows of docs, with all their columns, that score under 0.5.
+
+    Null and empty texts hold no words and stay. Repeated rows stay or go each for themselves, and alike. Without labelled rows, or toxic
+    ones, all rows stay. An empty table gives no rows; columns of any other name, labels' among them, are neither read nor changed."""
     make, rate = _scorer(fit(docs, labelled, max_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,3 +379,17 @@ def drop_toxic(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LAB
         release()
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def restored(docs: DataFrame) -> DataFrame:
+    """doc_id, restored (the whole text, lower case, decoded under the corpus's character model), one row for each row of docs. A null
+    text stays null; an empty table gives no rows."""
+    restorer = docs.sparkSession.sparkContext.broadcast(Restorer(char_counts(docs)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [None if t is None else restorer.value.text(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc_id", "restored"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, restored string")

@@ -75,7 +75,7 @@ def test_toxicity_held_out(spark):
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     r = toxicity.Restorer(rng.integers(0, 50, (29, 29, 29)).astype(float))
-    for word in ("1d0", "a55b", "t00l", "x4y3"):
+    for word in ("1d0", "a55b", "t00l", "x4y3", "ab1d00cd5", "aabb11", "x1100y@@"):
         paths = [("", 0.0)]
         for slot in r.lattice(word):
             paths = [(t + p, c + cost) for t, c in paths for p, cost in slot]
@@ -90,6 +90,66 @@ def test_viterbi_is_the_best_path():
         assert r.decode(word) == max((score(*p), p[0]) for p in paths)[1]
 
 
+@pytest.mark.parametrize("disguise", ["iiddiioott", "idiioott", "i d i o t", "i d ! o t", "i  d  i  o  t", "i\nd\ni\no\nt", "you-i.d.i.o.t", "i/d/i/o/t", "i, d, i, o, t", "1d10t", "1d1000t", "iiidiooot", "!d!ot", "mor0n", "m0000ron", "moorroonn", "m-o-r-o-n"])
+def test_every_disguise_is_seen_through(spark, disguise):
+    clean = [f"the weather in town {i} was mild and the river ran slow into a better morning" for i in range(60)]
+    bad = [f"the weather in town {i} was mild you idiot moron" for i in range(30)]
+    labels = {i: int(i >= 60) for i in range(90)}
+    global _disguised
+    if _disguised is None:
+        d = spark.createDataFrame([(i, t) for i, t in enumerate(clean + bad)], "doc_id long, text string")
+        restorer, model, w = toxicity.fit(d, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+        _disguised = toxicity.Evidence(restorer.value, *model.value), w
+    see, w = _disguised
+    rate = lambda t: float(np.dot([*see.text(t), 1], w))
+    assert rate(f"such a mild {disguise} in the town") > 0 > rate("a mild letter, a b c d in the 2000 towns")
+
+
+_disguised = None
+
+
+def test_long_tokens_take_time_by_length():
+    rng = np.random.default_rng(0)
+    r = toxicity.Restorer(rng.integers(0, 50, (29, 29, 29)).astype(float))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    token = "".join(letters[rng.integers(0, 36, 1_000_000)])
+    parts = "".join(r.decode(token[:40_000]))
+    assert r.decode(token).startswith(parts[:30_000]) and len(r.decode("a" + "01" * 50_000)) > 50_000
+    assert r.words("!" * 1_000_000 + "a" + "!" * 1_000_000 + "b") and len(r.tokens(" ".join(letters[rng.integers(0, 26, 50_000)]))) > 20
+
+
+def test_scores_match_a_plain_version(spark):
+    clean = [f"the weather in town {i} was mild and the river ran slow" for i in range(40)]
+    bad = [f"the weather in town {i} was mild you {chr(49) if i % 2 else chr(105)}diot moron" for i in range(20)]
+    docs = list(enumerate([*clean, *bad, "you id10t", "an iiddiott", None, ""]))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = {i: int(i >= 40) for i in range(60)}
+    fitted = toxicity.fit(d, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    r = toxicity.Restorer(toxicity.char_counts(d))
+    hold = {i: {f for t in r.tokens(x or "") for w in r.words(t) for f in ["=" + w, *["^" + w[:k] for k in (3, 4, 5, 6) if k <= len(w)]]} for i, x in docs}
+    total = [sum(v == y for v in labels.values()) for y in (1, 0)]
+    n = {f: [sum(f in hold[i] and labels[i] == y for i in labels) for y in (1, 0)] for h in hold.values() for f in h}
+    strong = {f: v for f, v in n.items() if v[0] >= 3 and v[0] / (total[0] + 1) / ((v[1] + 0.5) / (total[1] + 1)) > 4}
+    assert fitted[1].value == ({f: tuple(v) for f, v in strong.items()}, tuple(total))
+
+    def two(x, own=-1):
+        best = []
+        for t in r.tokens(x or ""):
+            got = [strong[f] for w in r.words(t) for f in ["=" + w, *["^" + w[:k] for k in (3, 4, 5, 6) if k <= len(w)]] if f in strong]
+            p, q = total[0] - (own == 1), total[1] - (own == 0)
+            best.append(max([0.0, *[np.log((a - (own == 1) + 0.5) / (p + 1)) - np.log((b - (own == 0) + 0.5) / (q + 1)) for a, b in got if a - (own == 1) > 0]]))
+        return ([0.0, 0.0] + sorted(best))[:1:-1][:2] if best else [0.0, 0.0]
+
+    x = np.array([[*two(docs[i][1], labels[i]), 1.0] for i in labels])
+    w = toxicity._logistic(x, np.array([float(labels[i]) for i in labels]))
+    want = {i: 1 / (1 + np.exp(-np.clip(np.dot([*two(t), 1.0], w), -30, 30))) for i, t in docs}
+    got = {q["doc_id"]: q["score"] for q in toxicity.score(d, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+    assert got[60] > 0.5 and got[61] > 0.5 and got[62] < 0.5
+    text = {q["doc_id"]: q["restored"] for q in toxicity.restored(d).collect()}
+    assert text[60] == "you idiot" and text[62] is None and text[63] == ""
+
+
 # 2 decontamination
 
 
@@ -466,8 +526,21 @@ def test_plan_is_best_two_fit_piece_by_piece(seed):
 
 
 def test_long_runs_are_encoded():
-    encode = packing.encoder(packing._vocabulary(None))
-    for text in (" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, "x" + " \n" * 300_000 + "y", "a" * 1_000_000):
+    encode = packing.encoder()
+    long = [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, "x" + " \n" * 300_000 + "y", "a" * 1_000_000]
+    edge = [c * n for c in (" ", "\n", "ab", "é", "1 ", "<|endoftext|>") for n in (packing.SHORT - 1, packing.SHORT, packing.SHORT + 1)]
+    for text in [*long, *edge]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.raw.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_tokenizer_on_a_whole_table(spark):
+    encode = packing.encoder()
+    for (text,) in table(spark, f"{DATA}/sf0.1", "documents").select("text").distinct().filter("text is not null").toLocalIterator():
+        assert encode(text) == np.array(encode.raw.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    signs = ["  ", " ", "\n", "\t", "ab", "C", ".", ",", "'s", "'ll", "\x1c", "\x85", "\u3000", "\u200b", "é", "e\u0301", "1", "\U0001f600", "<|endoftext|>", "\n\n", "_", "ß"]
+    rng = np.random.default_rng(1)
+    for _ in range(5_000):
+        text = "".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 14)))
         assert np.frombuffer(encode(text), "<u4").tolist() == encode.raw.encode(text, add_special_tokens=False).ids
 
 
