@@ -109,7 +109,8 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 STAR_SALTS = 8
 
 
-def _salted(nodes: DataFrame) -> DataFrame:
+def salted(nodes: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
     return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
 
 
@@ -125,10 +126,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # each edge (u > v) goes from v, which sends u on to the least it knows
         least = live.select(F.col("v").alias("x"), F.col("v").alias("y")).unionByName(live.select(F.col("u").alias("x"), F.col("v").alias("y"))).groupBy("x").agg(F.min("y").alias("m"))
-        by_low = live.select("u", F.col("v").alias("x"), salt_of("u")).join(_salted(least), ["x", "salt"])
+        by_low = live.select("u", F.col("v").alias("x"), salt_of("u")).join(salted(least), ["x", "salt"])
         large = stored(by_low.select("u", F.col("m").alias("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        by_high = large.select("u", "v", salt_of("v")).join(_salted(low), ["u", "salt"])
+        by_high = large.select("u", "v", salt_of("v")).join(salted(low), ["u", "salt"])
         small = by_high.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         last, live = live, stored(small.distinct(), "small-star")
         now = live.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
@@ -152,6 +153,6 @@ def group_least(rows: DataFrame, node: str, own: str, label: DataFrame) -> DataF
     nodes = stored(rows.groupBy(F.col(node).alias("node")).agg(F.min(own).alias("first"), F.count("*").alias("n")), "nodes")
     inside = nodes.join(label, "node")
     lowest = inside.groupBy("label").agg(F.min("first").alias("least"))
-    linked = inside.select("node", "label", salt_of("node")).join(_salted(lowest), ["label", "salt"]).select("node", "least")
+    linked = inside.select("node", "label", salt_of("node")).join(salted(lowest), ["label", "salt"]).select("node", "least")
     alone = nodes.filter("n > 1").join(label, "node", "left_anti").select("node", F.col("first").alias("least"))
-    return _salted(linked.unionByName(alone))
+    return salted(linked.unionByName(alone))

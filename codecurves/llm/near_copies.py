@@ -1,8 +1,9 @@
-"""Near copies of whole texts: five-word Jaccard of at least 0.8, each link verified on the sets themselves.
+"""Near copies of whole texts: SimHash near-dedup with links of a five-word Jaccard of at least 0.8, verified on the sets themselves.
 
-At 0.8, SimHash fingerprints differ in about ten of 64 bits, too many for segments with one bit wiped out. So texts meet under 16 of their
-64 min-hashes instead. Under an equal min-hash, texts whose 64 min-hashes agree loosely are joined into loose groups; a pair of 0.8 shares
-no key with a chance of 0.2^16 and agrees too rarely with one below 1e-7. Inside a loose group, the sets decide.
+Fingerprints of five-word sets link within four bits by deletion variants (simhash.links). At 0.8 they differ in about ten of 64 bits, too
+many for segments with one bit wiped out, so texts meet under 16 of their 64 min-hashes as well: under an equal one, texts whose 64
+min-hashes agree loosely are joined. A pair of 0.8 shares no key with a chance of 0.2^16 and agrees too rarely with one below 1e-7. Both
+kinds of candidates make loose groups; inside a loose group, the sets decide.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, group_least, salt_of, salted, stored
+from .simhash import links as fingerprint_links
+from .simhash import majority
 
 SHINGLE, LEAST = 5, (4, 5)
 #: Min-hashes of a text, those of them that are keys, and how many must agree loosely.
@@ -53,22 +56,25 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text: with doc_id, it names a row), node (of the set: equal sets are one node), mins and sketch (empty for
-    texts without words)."""
+    """doc_id, hash (of the text: with doc_id, it names a row), node (of the set: equal sets are one node), fp (the set's SimHash), mins and
+    sketch (empty for texts without words)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, mins, sketch = [], [], []
+            node, fp, mins, sketch = [], [], [], []
             for text in batch.column(2):
                 own = shingles(text.as_py())
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                fp.append(majority(own))
                 h = min_hashes(own) if len(own) else own
                 mins.append(h[:KEYS].view(np.int64))
                 sketch.append((h & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "hash", "node", "mins", "sketch"])
+            made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            made += [pa.array(mins, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "hash", "node", "fp", "mins", "sketch"])
 
-    return docs.select("doc_id", _hash(), "text").mapInArrow(run, f"doc_id {kind}, hash long, node long, mins array<long>, sketch binary")
+    return docs.select("doc_id", _hash(), "text").mapInArrow(run, f"doc_id {kind}, hash long, node long, fp long, mins array<long>, sketch binary")
 
 
 def _hash():
@@ -163,42 +169,90 @@ def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return _reach(len(sets), near)
 
 
-def links(docs: DataFrame, prints: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) between nodes. A loose group of many members is cut into blocks, and every two blocks are one task's."""
-    nodes = stored(prints.filter(F.size("mins") > 0).groupBy("node").agg(F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "nodes")
-    label = components(_loose_links(nodes, hot))
+def _candidates(nodes: DataFrame, hot: int) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints or min-hashes are near."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "by-print")
+    same = nodes.select("node", "fp").join(first, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    near = fingerprint_links(first.select("fp"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    return _loose_links(nodes, hot).unionByName(same).unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
+def _sets(docs: DataFrame, prints: DataFrame, label: DataFrame) -> DataFrame:
+    """node, label, n and own (the set's hashes) of every node in a loose group, from one of its rows."""
     row = F.min(F.struct("doc_id", "hash"))
-    chosen = prints.join(label.select("node", "label"), "node").groupBy("node", "label").agg(row.alias("r")).select("node", "label", F.col("r.doc_id").alias("__id"), F.col("r.hash").alias("__hash"))
+    chosen = prints.join(label, "node").groupBy("node", "label").agg(row.alias("r")).select("node", "label", F.col("r.doc_id").alias("__id"), F.col("r.hash").alias("__hash"))
     texts = docs.select("doc_id", _hash(), "text")
     found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("node", "label", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "label", "n", "own"])
+            made = [pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["node", "label", "n", "own"])
+
+    return found.mapInArrow(sets, "node long, label long, n long, own binary").dropDuplicates(["node"])
+
+
+def _near_hub(own: DataFrame, large: DataFrame) -> DataFrame:
+    """node, label, n, own, hub, linked: the members of large groups, and whether each links to its group's hub (the member of most
+    words). A group of near copies is so done in one pass over it; the hub goes to its members once for each salt."""
+    hub = own.join(large.select("label"), "label").groupBy("label").agg(F.max_by(F.struct("node", "own"), F.struct("n", "node")).alias("h"))
+    hub = salted(hub.select("label", F.col("h.node").alias("hub"), F.col("h.own").alias("set")))
+    both = own.withColumn("salt", salt_of("node")).join(hub, ["label", "salt"]).drop("salt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for a, b in zip(batch.column(3), batch.column(5), strict=True):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(linked, pa.bool_())], names=["label", "node", "n", "own", "hub", "linked"])
+
+    return both.select("label", "node", "n", "own", "hub", "set").mapInArrow(run, "label long, node long, n long, own binary, hub long, linked boolean")
+
+
+def links(docs: DataFrame, prints: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) between nodes.
 
-    own = stored(found.mapInArrow(sets, "node long, label long, n long, own binary").dropDuplicates(["node"]), "shingles")
-    blocks = own.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    cut = own.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or i <> j")
-    cut = cut.select("label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "own")
+    A loose group that fits a block is one task's. Of a larger one, the members that link to its hub are told in a pass; the others, in
+    blocks, meet each other and those members, each two blocks in one task, so that no link between different components is lost."""
+    nodes = stored(prints.filter(F.size("mins") > 0).groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "mins", "sketch"))), "nodes")
+    label = components(_candidates(nodes, hot))
+    own = stored(_sets(docs, prints, label), "shingles")
+    blocks = lambda count, size: F.greatest(F.ceil(count / F.lit(block)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
 
     def decide(t: pa.Table) -> pa.Table:
         node = t["node"].to_numpy()
         e = np.array(verified([np.frombuffer(b, np.uint64) for b in t["own"].to_pylist()]), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[e[:, 0]], pa.int64()), "b": pa.array(node[e[:, 1]], pa.int64())})
 
-    return cut.groupBy("label", "i", "j").applyInArrow(decide, "a long, b long")
+    sizes = stored(own.groupBy("label").agg(blocks(F.count("*"), F.sum("n")).alias("blocks")), "groups")
+    large = sizes.filter("blocks > 1")
+    small = own.join(large, "label", "left_anti").groupBy("label").applyInArrow(decide, "a long, b long")
+    if large.isEmpty():
+        return small
+    told = stored(_near_hub(own, large), "hubs")
+    count = told.groupBy("label").agg(*(blocks(F.count_if(c), F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))).alias(k) for k, c in (("out", ~F.col("linked")), ("in", F.col("linked")))))
+    cut = told.withColumn("salt", salt_of("node")).join(salted(count.filter("out > 0")), ["label", "salt"])
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("in")).otherwise(F.col("out"))).cast("int")
+    cut = cut.withColumn("at", at)
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("out") - 1), lambda k: k != F.col("at")), lambda k: F.struct(F.least(k, F.col("at")).alias("i"), F.greatest(k, F.col("at")).alias("j")))
+    inner = F.transform(F.sequence(F.lit(0), F.col("in") - 1), lambda k: F.struct(F.col("at").alias("i"), (F.col("out") + k).alias("j")))
+    outer = F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda k: F.struct(k.alias("i"), (F.col("out") + F.col("at")).alias("j")))
+    cut = cut.withColumn("task", F.explode(F.when(F.col("linked"), outer).otherwise(F.concat(others, inner))))
+    rest = cut.select("label", "task.i", "task.j", "node", "own").groupBy("label", "i", "j").applyInArrow(decide, "a long, b long")
+    direct = told.filter("linked and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return small.unionByName(direct).unionByName(rest)
 
 
 def drop_near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """The rows of docs, with all their columns, less those whose text links, over links of five-word Jaccard >= 0.8, to one of a smaller
     doc_id. Texts without words (null among them) are copies of each other. Rows with a null doc_id stay. Rows are told by doc_id and
-    text, so another text under a repeated id stays or goes by itself."""
+    text, so another text under a repeated id stays or goes by itself. An empty table gives no rows."""
     prints = stored(_prints(docs), "prints")
-    label = components(links(docs, prints, hot, block))
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = first.groupBy("label").agg(F.min("first").alias("least"))
-    by_node = first.join(least, "label").filter("first is not null").select("node", "least")
-    gone = prints.select("doc_id", "hash", "node").distinct().join(by_node, "node").filter("doc_id <> least").select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash"))
+    least = group_least(prints, "node", "doc_id", components(links(docs, prints, hot, block)))
+    gone = prints.select("doc_id", "hash", "node", salt_of("doc_id")).join(least, ["node", "salt"]).filter("doc_id <> least")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct()
     return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__hash"]), "left_anti")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_least, salt_of, stored
+from .common import components, group_least, salt_of, salted, stored
 
 #: Differing bits up to which fingerprints link, and words of a shingle.
 BITS, SHINGLE = 4, 4
@@ -82,97 +82,85 @@ def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _free_bits(key: np.ndarray) -> np.ndarray:
-    """By key of `variants`: the bits of a fingerprint that the key's segment doesn't hold."""
-    v, out = key >> 32, np.zeros(len(key), np.uint64)
-    for shift, width in SEGMENTS:
-        out[(v >= shift) & (v < shift + width)] = np.uint64((2**64 - 1) ^ (((1 << width) - 1) << shift))
-    return out
-
-
 def _finer(hot: DataFrame) -> DataFrame:
-    """(key, fp, free): members of a large key by fifths of the bits that are free yet. BITS differing bits leave one of BITS + 1 parts
-    equal, so two linked members meet again, and fewer bits are free."""
+    """(key, fp): members of a large key by fifths of their other bits. BITS differing bits leave one of BITS + 1 parts equal, so two
+    linked members meet again."""
+    shift = "CASE " + " ".join(f"WHEN v < {s + w} THEN {s}" for s, w in SEGMENTS) + " END"
+    width = "CASE " + " ".join(f"WHEN v < {s + w} THEN {w}" for s, w in SEGMENTS) + " END"
+    cut = hot.withColumn("v", F.expr("CAST(shiftrightunsigned(key, 32) AS INT)")).withColumn("shift", F.expr(shift)).withColumn("width", F.expr(width))
+    low, high = "(fp & (shiftleft(1L, shift) - 1L))", "CASE WHEN shift + width >= 64 THEN 0L ELSE shiftrightunsigned(fp, shift + width) END"
+    rest = cut.select("key", "fp", F.expr(f"shiftleft({high}, shift) | {low}").alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("p"))
+    size = -(-(64 - min(w for _, w in SEGMENTS)) // (BITS + 1))
+    part = F.expr(f"shiftrightunsigned(rest, {size} * p) & {(1 << size) - 1}L")
+    return rest.select(F.xxhash64("key", "p", part).alias("key"), "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, fp, free = (batch.column(k).to_numpy() for k in range(3))
-            fp, free, out = fp.view(np.uint64), free.view(np.uint64), []
-            for mask in np.unique(free):
-                at = np.flatnonzero(free == mask)
-                bits = [b for b in range(64) if int(mask) >> b & 1]
-                for p in range(BITS + 1):
-                    part = np.uint64(sum(1 << b for b in bits[p :: BITS + 1]))
-                    h = (key[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(p)) ^ (fp[at] & part) * np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(31)
-                    h *= np.uint64(0x94D049BB133111EB)
-                    h ^= h >> np.uint64(29)
-                    out.append((h, fp[at], np.full(len(at), mask & ~part)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out, strict=True)], names=["key", "fp", "free"])
-
-    return hot.mapInArrow(run, "key long, fp long, free long")
+
+def _blocks(hot: DataFrame, size: int) -> DataFrame:
+    """(key, fp): members of a key that is large even so, in blocks of about `size`, every two blocks under a key of their own."""
+    n = stored(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks")), "large-keys")
+    cut = hot.withColumn("salt", salt_of("fp")).join(salted(n), ["key", "salt"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or i <> j")
+    return cut.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
 
 
 def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints that connect all that lie within `bits` of each other.
 
     Keys are dealt out by hash and read in order, in batches. Members of a key that has more than `hot` of them are passed on unread and
-    meet again under finer keys, as often as it takes (at most some hundred members can agree on all but a few bits), so no task gathers a
-    large key."""
+    meet again under finer keys; if one is as large even so, in pairs of blocks. So no task gathers more than two blocks of a key."""
     if bits > BITS:
         raise ValueError(f"segments are cut for {BITS} differing bits at most")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, free: np.ndarray | None = None) -> pa.RecordBatch:
-            made = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), np.int64) if free is None else free.view(np.int64))]
-            return pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(a), free is not None))], names=["a", "b", "free", "hot"])
-
-        old, passed = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)], None
-        for batch in _with_end(batches):
-            if batch is None:
-                key, fp, free = old
-                done = len(key)
-            else:
-                k = batch.column(0).to_numpy()
-                m = batch.column(2).to_numpy().view(np.uint64) if batch.num_columns > 2 else _free_bits(k)
-                key, fp, free = (np.concatenate(x) for x in zip(old, (k, batch.column(1).to_numpy().view(np.uint64), m), strict=True))
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
-            if len(key):
+    def run(limit: int | None):
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            old_k, old_f, passed = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+            for batch in _with_end(batches):
+                if batch is None:
+                    key, fp, done = old_k, old_f, len(old_k)
+                else:
+                    key = np.concatenate([old_k, batch.column(0).to_numpy()])
+                    fp = np.concatenate([old_f, batch.column(1).to_numpy().view(np.uint64)])
+                    done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
+                if limit and len(key):
+                    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    size = np.diff(np.append(begin, len(key)))
+                    large = np.repeat((size > limit) | (key[begin] == passed), size)
+                    if large.any():
+                        passed = key[-1] if large[-1] else passed
+                        yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(fp[large].view(np.int64)), pa.array(np.ones(int(large.sum()), bool))], names=["a", "b", "hot"])
+                        done -= int(large[:done].sum())
+                        key, fp = key[~large], fp[~large]
+                old_k, old_f = key[done:], fp[done:]
+                key, fp = key[:done], fp[:done]
+                if not done:
+                    continue
                 begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                size = np.diff(np.append(begin, len(key)))
-                large = np.repeat(((size > hot) & (np.bitwise_count(free[begin]) > BITS + 1)) | (key[begin] == passed), size)
-                if large.any():
-                    passed = key[-1] if large[-1] else passed
-                    yield out(key[large], fp[large], free[large])
-                    done -= int(large[:done].sum())
-                    key, fp, free = key[~large], fp[~large], free[~large]
-            old = [key[done:], fp[done:], free[done:]]
-            key, fp = key[:done], fp[:done]
-            if not done:
-                continue
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(begin, done))
-            two = begin[size == 2]
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            a, b = [fp[near]], [fp[near + 1]]
-            for at, n in zip(begin[size > 2], size[size > 2], strict=True):
-                if found := _forest(own := fp[at : at + n], bits):
-                    i = np.array(found)
-                    a.append(own[i[:, 0]])
-                    b.append(own[i[:, 1]])
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            yield out(np.minimum(a, b), np.maximum(a, b))
-
-    level, found = variants(prints), None
-    while True:
-        got = stored(level.repartition("key").sortWithinPartitions("key").mapInArrow(read, "a long, b long, free long, hot boolean"), "links")
-        own = got.filter("not hot").select("a", "b")
-        found = own if found is None else found.unionByName(own)
-        left = got.filter("hot")
-        if left.isEmpty():
-            return found.distinct()
-        level = _finer(left.select(F.col("a").alias("key"), F.col("b").alias("fp"), "free"))
+                size = np.diff(np.append(begin, done))
+                two = begin[size == 2]
+                near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
+                a, b = [fp[near]], [fp[near + 1]]
+                for at, n in zip(begin[size > 2], size[size > 2], strict=True):
+                    if found := _forest(own := fp[at : at + n], bits):
+                        i = np.array(found)
+                        a.append(own[i[:, 0]])
+                        b.append(own[i[:, 1]])
+                a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), bool))], names=["a", "b", "hot"])
+
+        return read
+
+    def found(level: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+        got = level.repartition("key").sortWithinPartitions("key").mapInArrow(run(limit), "a long, b long, hot boolean")
+        got = stored(got, "links") if limit else got
+        return got.filter("not hot").select("a", "b"), got.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+
+    out, left = found(variants(prints), hot)
+    if not left.isEmpty():
+        more, left = found(_finer(left), hot)
+        out = out.unionByName(more)
+        if not left.isEmpty():
+            out = out.unionByName(found(_blocks(left, hot), None)[0])
+    return out.distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
