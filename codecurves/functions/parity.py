@@ -31,3 +31,14 @@ def total(x) -> Column:
 def words(text: Column) -> Column:
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\r\n]+", " "))
     return F.filter(F.split(flat, " "), lambda w: w != "")
+
+
+def whole_mean(s: str, n: str) -> Column:
+    """s / n of whole millionths, rounded half away from zero to a millionth without any division of doubles, then in ones."""
+    return F.expr(f"CAST(sign({s}) * ((2 * abs({s}) + {n}) div (2 * {n})) AS DOUBLE) / 1e6D")
+
+
+def whole_t(n: str, s: str, q: str) -> Column:
+    """Student's t of n whole numbers with sum s and sum of squares q (a decimal), exact up to the last step; null without variance."""
+    v = f"(CAST({n} AS DECIMAL(10,0)) * CAST({q} AS DECIMAL(27,0)) - CAST({s} AS DECIMAL(18,0)) * CAST({s} AS DECIMAL(18,0)))"
+    return F.expr(f"CASE WHEN {v} > 0 THEN round(CAST({s} AS DOUBLE) * sqrt(CAST({n} - 1 AS DOUBLE)) / sqrt(CAST({v} AS DOUBLE)), 4) END")

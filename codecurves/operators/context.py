@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parity import bucket, r6, total, u32, words
+from ..functions.parity import bucket, r6, total, u32, whole_mean, whole_t, words
 from ..functions.storage import stored
 from .predictors import score_frozen, train_ngram
 
 
-def rare_terms(tokens: DataFrame, most: int = 8) -> DataFrame:
-    """Terms of each file that stand in 2 to `most` files of the codebase, weighted by bits of rarity. Rarity is what makes a term tell
-    one context from another; commoner terms are explained by any context and say nothing of which to read."""
+def rare_terms(tokens: DataFrame) -> DataFrame:
+    """Terms of each file that stand in two files of the codebase or more but not in all, weighted by bits of rarity: log2(files / files
+    with the term), in millionths. Rarity is what makes a term tell one context from another; common terms weigh little, none is cut."""
     f = tokens.select("language", "codebase", "file_id", "token").distinct()
     n = f.groupBy("codebase").agg(F.count_distinct("file_id").alias("n_files"))
-    df = f.groupBy("codebase", "token").agg(F.count("*").alias("df")).filter(f"df between 2 and {most}")
-    t = f.join(df, ["codebase", "token"]).join(n, "codebase")
+    df = f.groupBy("codebase", "token").agg(F.count("*").alias("df")).filter("df >= 2")
+    t = f.join(df, ["codebase", "token"]).join(n, "codebase").filter("df < n_files")
     return t.select("language", "codebase", "file_id", "token", F.round(F.log2(F.col("n_files") / F.col("df")) * F.lit(1e6)).cast("long").alias("ubits"))
 
 
@@ -27,31 +29,97 @@ def _pairs(terms: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("b.language").alias("language"), F.col("b.codebase").alias("codebase"), F.col("b.file_id").alias("target"), F.col("a.file_id").alias("context"), F.col("b.token").alias("token"), F.col("b.ubits").alias("ubits"))
 
 
-def context_contribution(terms: DataFrame) -> DataFrame:
-    """For each file, what each earlier file of the codebase explains of its rare terms."""
-    return _pairs(terms).groupBy("codebase", "target", "context").agg(F.count("*").alias("n_terms"), total("ubits").alias("ubits"))
-
-
-def greedy_coreset(terms: DataFrame, eps: float = 0.1, max_files: int = 20) -> DataFrame:
-    """Few earlier files that together explain (1 - eps) of what all of them do, picked greedily: codebase, target, n_files, n_picked,
-    ubits_all, ubits_picked, first_pick. A group holds the terms of one file, each in at most a few others."""
+def in_block_pairs(rows: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
+    """rows once for each task (i, j) of their group: members are dealt to blocks of about `size`, and every two blocks of a group are one
+    task, so that all pairs of members meet and a task holds two blocks at most. own: the row's block."""
+    blocks = rows.select(*group, member).distinct().groupBy(*group).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
+    cut = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def context_contribution(terms: DataFrame, block: int = 512) -> DataFrame:
+    """For each file, what each earlier file of the codebase explains of its terms: number and bits of the terms that both have.
+
+    Files meet in pairs of blocks; inside a task the sums are products of file-by-term matrices, a slice of terms at a time, in whole
+    numbers. So terms of any frequency count, and pairs of files are never shuffled term by term."""
+
+    def sums(got: pa.Table) -> pa.Table:
+        i, j = got["i"][0].as_py(), got["j"][0].as_py()
+        own, file = got["own"].to_numpy(), got["file_id"].to_numpy()
+        codes = got["token"].combine_chunks().dictionary_encode()
+        term = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+        weight = np.zeros(int(term.max()) + 1)
+        weight[term] = got["ubits"].to_numpy()
+        sides = []
+        for side in (i, j):
+            at = np.flatnonzero(own == side)
+            at = at[np.argsort(term[at], kind="stable")]
+            names, row = np.unique(file[at], return_inverse=True)
+            sides.append((names, row, term[at]))
+        (a, row_a, term_a), (b, row_b, term_b) = sides
+        n, bits = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+        for lo in range(0, len(weight), 4096):
+            x, y = (np.zeros((len(names), min(4096, len(weight) - lo))) for names in (a, b))
+            for m, row, own_terms in ((x, row_a, term_a), (y, row_b, term_b)):
+                s = slice(*np.searchsorted(own_terms, [lo, lo + 4096]))
+                m[row[s], own_terms[s] - lo] = 1
+            n += x @ y.T
+            bits += (x * weight[lo : lo + 4096]) @ y.T
+        x, y = np.nonzero((n > 0) & (a[:, None] != b[None]) & ((i != j) | (a[:, None] < b[None])))
+        one, two = a[x], b[y]
+        names = ["codebase", "target", "context", "n_terms", "ubits"]
+        cols = [pa.array([got["codebase"][0].as_py()] * len(x), pa.string()), pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two)), pa.array(n[x, y].astype(np.int64)), pa.array(bits[x, y].astype(np.int64))]
+        return pa.table(dict(zip(names, cols, strict=True)))
+
+    tasks = in_block_pairs(terms.select("codebase", "file_id", "token", "ubits"), ["codebase"], "file_id", block)
+    return tasks.groupBy("codebase", "i", "j").applyInArrow(sums, "codebase string, target long, context long, n_terms long, ubits long")
+
+
+def greedy_coreset(terms: DataFrame, sizes: DataFrame | None = None, eps: float = 0.1) -> DataFrame:
+    """Few earlier files that together explain (1 - eps) of what all of them do, picked greedily until they do: codebase, target, n_files,
+    n_picked, bytes_picked, ubits_all, ubits_picked, first_pick. sizes: codebase, file_id, n_bytes of files (bytes are null without).
+
+    A group holds the terms of one file with the files that share them."""
 
     def cover(got: pd.DataFrame) -> pd.DataFrame:
-        value = got.drop_duplicates("token").set_index("token")["ubits"]
-        left, whole, picked, first = dict(value), int(value.sum()), [], None
-        by_file = {c: set(g["token"]) for c, g in got.groupby("context")}
-        while left and len(picked) < max_files and sum(left.values()) > eps * whole:
-            best = min(by_file, key=lambda c: (-sum(left.get(t, 0) for t in by_file[c]), c))
-            gain = [t for t in by_file.pop(best) if t in left]
-            if not gain:
+        term, token = pd.factorize(got["token"])
+        value = np.zeros(len(token), np.int64)
+        value[term] = got["ubits"].to_numpy()
+        names, ctx = np.unique(got["context"].to_numpy(), return_inverse=True)
+        order = np.argsort(ctx, kind="stable")
+        held = np.split(term[order], np.searchsorted(ctx[order], np.arange(1, len(names))))
+        left, whole, picked = value.copy(), int(value.sum()), []
+        bound = np.array([int(value[h].sum()) for h in held])  # what a file adds never grows, so an old figure bounds it
+        while left.sum() > eps * whole:
+            while True:
+                best = int(np.argmax(bound))
+                now = int(left[held[best]].sum())
+                if now == bound[best]:
+                    break
+                bound[best] = now
+            if not now:
                 break
-            for t in gain:
-                del left[t]
-            picked.append(best)
-            first = best if first is None else first
-        return pd.DataFrame({"codebase": [got["codebase"].iloc[0]], "target": [got["target"].iloc[0]], "n_files": [got["context"].nunique()], "n_picked": [len(picked)], "ubits_all": [whole], "ubits_picked": [whole - int(sum(left.values()))], "first_pick": [first]})
+            picked.append(int(names[best]))
+            left[held[best]] = 0
+            bound[best] = 0
+        return pd.DataFrame({"codebase": [got["codebase"].iloc[0]], "target": [got["target"].iloc[0]], "n_files": [len(names)], "picks": [picked], "ubits_all": [whole], "ubits_picked": [whole - int(left.sum())]})
+
+    out = _pairs(terms).groupBy("codebase", "target").applyInPandas(cover, "codebase string, target long, n_files long, picks array<long>, ubits_all long, ubits_picked long")
+    out = out.select("codebase", "target", "n_files", F.size("picks").cast("long").alias("n_picked"), "ubits_all", "ubits_picked", F.get("picks", F.lit(0)).alias("first_pick"), "picks")
+    if sizes is None:
+        return out.withColumn("bytes_picked", F.lit(None).cast("long")).drop("picks")
+    out = stored(out, "coresets")
+    read = out.select("codebase", "target", F.explode("picks").alias("file_id")).join(sizes.select("codebase", "file_id", "n_bytes"), ["codebase", "file_id"]).groupBy("codebase", "target").agg(total("n_bytes").alias("bytes_picked"))
+    return out.drop("picks").join(read, ["codebase", "target"], "left").fillna(0, ["bytes_picked"])
+
 
-    return _pairs(terms).groupBy("codebase", "target").applyInPandas(cover, "codebase string, target long, n_files long, n_picked long, ubits_all long, ubits_picked long, first_pick long")
+def coreset_growth(coresets: DataFrame) -> DataFrame:
+    """How the context that a file needs grows with what there is: slope of ln(files to read) and ln(bytes to read) on ln(earlier files
+    that share a term), over all targets that need a file."""
+    x = F.ln(F.col("n_files").cast("double"))
+    got = coresets.filter("n_picked > 0")
+    return got.agg(F.count("*").alias("n_targets"), r6(F.regr_slope(F.ln(F.col("n_picked").cast("double")), x)).alias("files_exponent"), r6(F.regr_slope(F.ln(F.greatest("bytes_picked", F.lit(1)).cast("double")), x)).alias("bytes_exponent"))
 
 
 def signature_context_gap(tokens: DataFrame, signature_tokens: DataFrame, is_train) -> DataFrame:
@@ -128,24 +196,55 @@ def fit_topics(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("vec_id", F.col("prediction").alias("topic"))
 
 
-def match_topic_pairs(items: DataFrame, planes: int = 3) -> DataFrame:
-    """items: language, codebase, file_id, topic, embedding. Mutual nearest neighbours of two languages inside a topic and a block of it
-    (signs of the first coordinates, so that a block stays small however large the topic)."""
-    block = F.transform(F.slice("embedding", 1, planes), lambda x: F.when(x >= 0, 1).otherwise(0))
-    i = items.withColumn("block", F.array_join(block.cast("array<string>"), ""))
-    a, b = i.alias("a"), i.alias("b")
-    on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.language") < F.col("b.language"))
-    p = a.join(b, on).select(F.col("a.topic").alias("topic"), F.col("a.language").alias("lang_a"), F.col("b.language").alias("lang_b"), F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"), _distance(F.col("a.embedding"), F.col("b.embedding")).alias("distance"))
-    first = lambda x, y: F.row_number().over(Window.partitionBy(x, "lang_a", "lang_b").orderBy("distance", y))
-    return p.withColumn("ra", first("file_a", "file_b")).withColumn("rb", first("file_b", "file_a")).filter("ra = 1 and rb = 1").drop("ra", "rb")
+def match_topic_pairs(items: DataFrame, planes: int = 0, block: int = 2048) -> DataFrame:
+    """items: language, codebase, file_id, topic, embedding. Mutual nearest neighbours of two languages inside a topic; of equally near
+    ones the smallest file_id counts.
+
+    Every item meets every item of its topic, in pairs of blocks (distances in numpy inside tasks), and only the least distance of each
+    item to each other language leaves a task, so no pairs are shuffled. The work grows with the square of a topic. planes: seek only among items
+    that agree in the signs of that many first coordinates, which is faster and loses pairs (on the test tables three planes keep a
+    fifth of the true ones)."""
+    signs = F.array_join(F.transform(F.slice("embedding", 1, max(planes, 1)), lambda x: F.when(x >= 0, "1").otherwise("0")), "") if planes else F.lit("")
+    i = items.select("topic", signs.alias("signs"), "language", "file_id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def nearest(got: pa.Table) -> pa.Table:
+        i, j = got["i"][0].as_py(), got["j"][0].as_py()
+        own, file, lang = got["own"].to_numpy(), got["file_id"].to_numpy(), np.array(got["language"].to_pylist())
+        v = np.array(got["v"].to_pylist())
+        out = []
+        for one, two in {(i, j), (j, i)}:
+            for other in np.unique(lang):
+                b = np.flatnonzero((own == two) & (lang == other))
+                b = b[np.argsort(file[b], kind="stable")]
+                for a in np.flatnonzero((own == one) & (lang != other)) if len(b) else ():
+                    d = np.round(((v[b] - v[a]) ** 2).sum(1), 6)
+                    k = int(np.argmin(d))
+                    out.append((lang[a], int(file[a]), other, float(d[k]), int(file[b[k]])))
+        cols = zip(*out, strict=True) if out else [[]] * 5
+        types = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64())
+        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("lang", "file", "other", "d", "near"), cols, types, strict=True)})
+
+    tasks = in_block_pairs(i.filter("topic is not null and v is not null"), ["topic", "signs"], "file_id", block)
+    kind = items.schema["topic"].dataType.simpleString()
+
+    def with_topic(got: pa.Table) -> pa.Table:
+        out = nearest(got)
+        return out.add_column(0, "topic", pa.array([got["topic"][0].as_py()] * len(out), got["topic"].type))
+
+    near = tasks.groupBy("topic", "signs", "i", "j").applyInArrow(with_topic, f"topic {kind}, lang string, file long, other string, d double, near long")
+    best = stored(near.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near"), "nearest")
+    a, b = best.filter("lang < other").alias("a"), best.filter("lang > other").alias("b")
+    on = [F.col(f"a.{x}") == F.col(f"b.{y}") for x, y in (("topic", "topic"), ("lang", "other"), ("other", "lang"), ("near", "file"), ("file", "near"))]
+    return a.join(b, on).select("a.topic", F.col("a.lang").alias("lang_a"), F.col("a.other").alias("lang_b"), F.col("a.file").alias("file_a"), F.col("a.near").alias("file_b"), F.col("a.d").alias("distance"))
 
 
 def paired_contrast(pairs: DataFrame, file_losses: DataFrame) -> DataFrame:
-    """pairs: lang_a, lang_b, file_a, file_b. Difference of bits per byte inside pairs: mean, t, and how often a is lower."""
-    l = lambda s: file_losses.select(F.col("file_id").alias(f"file_{s}"), F.col("bpb").alias(f"bpb_{s}"))
-    d = pairs.join(l("a"), "file_a").join(l("b"), "file_b").withColumn("d", F.col("bpb_a") - F.col("bpb_b"))
-    s = d.groupBy("lang_a", "lang_b").agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"), F.count_if(F.col("d") < 0).alias("n_a_lower"))
-    return s.select("lang_a", "lang_b", "n", r6("m").alias("mean_difference"), F.when(F.col("sd") > 1e-9, F.round(F.col("m") / F.col("sd") * F.sqrt("n"), 4)).alias("t"), "n_a_lower")
+    """pairs: lang_a, lang_b, file_a, file_b. Difference of bits per byte inside pairs: mean, t, and how often a is lower. Bits per byte
+    are counted in whole millionths, so that sums don't depend on order."""
+    l = lambda s: file_losses.select(F.col("file_id").alias(f"file_{s}"), F.round(F.col("bpb") * 1e6).cast("long").alias(f"u_{s}"))
+    d = pairs.join(l("a"), "file_a").join(l("b"), "file_b").withColumn("d", F.col("u_a") - F.col("u_b"))
+    s = d.groupBy("lang_a", "lang_b").agg(F.count("*").alias("n"), total("d").alias("s"), F.sum((F.col("d") * F.col("d")).cast("decimal(38,0)")).alias("q"), F.count_if(F.col("d") < 0).alias("n_a_lower"))
+    return s.select("lang_a", "lang_b", "n", whole_mean("s", "n").alias("mean_difference"), whole_t("n", "s", "q").alias("t"), "n_a_lower")
 
 
 def quality_matched(specs: DataFrame) -> DataFrame:

@@ -88,26 +88,94 @@ def code_edges(files: DataFrame, rules: dict[str, tuple[str, str]] | None = None
     return defs.join(uses, ["codebase", "symbol"]).filter("src <> dst").select("codebase", "src", "dst", "symbol")
 
 
-def order_dependency(files: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Files after what they use: level = longest path from a root. Each round moves the frontier only (files whose level rose) and is
-    written to shared storage. A file whose level still rises after max_rounds, or that hangs on such a file, is on or behind a cycle and
-    takes the last level."""
-    names, e = files.select("codebase", "file_id").distinct(), stored(edges.select("codebase", "src", "dst").distinct(), "edges")
-    level = stored(e.select("codebase", F.col("dst").alias("file_id")).distinct().withColumn("level", F.lit(1)), "levels")
-    front, rounds = level, 1
-    while rounds < max_rounds:
-        up = front.join(e, (front["codebase"] == e["codebase"]) & (front["file_id"] == e["src"])).select(e["codebase"], F.col("dst").alias("file_id"), (F.col("level") + 1).alias("new")).groupBy("codebase", "file_id").agg(F.max("new").alias("new"))
-        front = stored(up.join(level, ["codebase", "file_id"]).filter("new > level").select("codebase", "file_id", F.col("new").alias("level")), "front")
-        if front.isEmpty():
-            break
-        level = stored(level.join(front.withColumnRenamed("level", "new"), ["codebase", "file_id"], "left").select("codebase", "file_id", F.coalesce("new", "level").alias("level")), "levels")
-        rounds += 1
-    cyclic = front.select("codebase", "file_id").withColumn("in_cycle", F.lit(True))
-    out = names.join(level, ["codebase", "file_id"], "left").join(cyclic, ["codebase", "file_id"], "left").select("codebase", "file_id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+def _peel(edges: DataFrame, front: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Take away files in rounds, first those of `front` (a table of node), then ever those whose last incoming edge (src to dst) went.
+    Returns the rounds, and the edges between files that never go. A round shuffles the edges of its front and the files they reach."""
+    e, rounds = stored(edges, "peel"), []
+    left = stored(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "need")
+    while not front.isEmpty():
+        rounds.append(front)
+        fewer = e.join(front, e["src"] == front["node"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("gone"))
+        after = stored(left.join(fewer, "node", "left").select("node", (F.col("need") - F.coalesce("gone", F.lit(0))).alias("need")), "need")
+        front, left = after.filter("need = 0").select("node"), after.filter("need > 0")
+    stay = left.select("node")
+    return rounds, e.join(stay, e["dst"] == stay["node"], "left_semi").join(stay, e["src"] == stay["node"], "left_semi")
+
+
+def _sources(edges: DataFrame) -> DataFrame:
+    return stored(edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti"), "front")
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """node of every file on a cycle of edges (src, dst). What hangs in front of or behind cycles is peeled away from both ends; of the
+    rest, the greatest name that reaches a file colours it, and the files of a colour that reach the file of that name are on a cycle with
+    it. They go, and the rest is done again."""
+    found, e = None, edges
+    while True:
+        for _ in range(2):
+            e = stored(_turned(_peel(e, _sources(e))[1]), "core")
+        if e.isEmpty():
+            return found if found is not None else e.select(F.col("src").alias("node"))
+        colour = stored(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().select("node", F.col("node").alias("c")), "colours")
+        while True:
+            new = e.join(colour, e["src"] == colour["node"]).select(F.col("dst").alias("node"), "c").unionByName(colour).groupBy("node").agg(F.max("c").alias("c"))
+            old, colour = colour, stored(new, "colours")
+            if old.exceptAll(colour).isEmpty():
+                break
+        own = stored(e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), "c"), "dst").filter("cs = c").select("src", "dst", "c"), "coloured")
+        reached = stored(own.filter("dst = c").select(F.col("src").alias("node")).unionByName(own.filter("dst = c").select(F.col("dst").alias("node"))).distinct(), "reached")
+        while True:
+            more = own.join(reached, own["dst"] == reached["node"]).select(F.col("src").alias("node")).unionByName(reached).distinct()
+            old, reached = reached, stored(more, "reached")
+            if reached.count() == old.count():
+                break
+        found = reached if found is None else found.unionByName(reached)
+        e = stored(e.join(reached, e["src"] == reached["node"], "left_anti").join(reached, e["dst"] == reached["node"], "left_anti"), "core")
+
+
+def order_dependency(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Files after what they use: codebase, file_id, seq, level, in_cycle. level is the longest path from a file that uses nothing.
+
+    Files are peeled off in rounds, as many as the longest path is long, each round written to shared storage and no larger than its front
+    and what that reaches. Files on a cycle have no such path: they follow all that was peeled, at the next level of their codebase, and
+    what hangs behind them is peeled on from there. Edges to files that aren't there are ignored."""
+    names = files.select("codebase", "file_id").distinct()
+    node = lambda c: F.struct("codebase", F.col(c).alias("file_id"))
+    e = edges.filter("src <> dst").select(node("src").alias("src"), node("dst").alias("dst")).distinct()
+    e = stored(e, "edges")
+    rounds, stuck = _peel(e, _sources(e))
+    stuck = stored(stuck, "stuck")
+    at = lambda fronts, base: [f.select("node", F.lit(base + k).alias("level")) for k, f in enumerate(fronts)]
+    level = _union(at(rounds, 0), names)
+    if not stuck.isEmpty():
+        cyclic = stored(in_cycles(stuck).distinct(), "cyclic")
+        behind = e.join(cyclic, e["dst"] == cyclic["node"], "left_anti")  # edges into cycles no longer count
+        peeled = level.select("node")
+        behind = behind.join(peeled, behind["src"] == peeled["node"], "left_anti")
+        more, _ = _peel(behind, cyclic.unionByName(_sources(behind).join(cyclic, "node", "left_anti")))
+        deep = names.join(level.select("node.*", "level"), ["codebase", "file_id"], "left").groupBy("codebase").agg(F.coalesce(F.max("level"), F.lit(0)).alias("deepest"))
+        later = _union(at(more, 1), names).select("node.*", F.col("level").alias("above")).join(deep, "codebase").select(F.struct("codebase", "file_id").alias("node"), (F.col("deepest") + F.col("above")).alias("level"))
+        level = level.unionByName(later)
+        in_cycle = cyclic.select("node.*", F.lit(True).alias("in_cycle"))
+    else:
+        in_cycle = names.limit(0).withColumn("in_cycle", F.lit(True))
+    out = names.join(level.select("node.*", "level"), ["codebase", "file_id"], "left").join(in_cycle, ["codebase", "file_id"], "left")
+    out = out.select("codebase", "file_id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
     w = Window.partitionBy("codebase").orderBy("level", "file_id")
     return out.select("codebase", "file_id", F.row_number().over(w).alias("seq"), "level", "in_cycle")
 
 
+def _union(levels: list[DataFrame], names: DataFrame) -> DataFrame:
+    out = names.limit(0).select(F.struct("codebase", "file_id").alias("node"), F.lit(0).alias("level"))
+    for x in levels:
+        out = out.unionByName(x)
+    return out
+
+
 def pack_corpus(files: DataFrame, order: DataFrame) -> DataFrame:
     """Header and body of each file with running byte offsets; rows, never one giant text. Offsets are summed over sizes alone."""
     header = F.format_string("=== %s %s %d\n", F.col("path"), F.col("language"), F.octet_length("content"))

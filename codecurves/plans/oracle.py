@@ -98,21 +98,23 @@ FLOSS = f"floss AS (SELECT language, file_id, round(sum(ubits) / 1e6 / sum(n_byt
 TERMS = [
     "tf AS (SELECT DISTINCT language, codebase, file_id, token FROM tok)",
     "nf AS (SELECT codebase, count(DISTINCT file_id) AS n_files FROM tf GROUP BY ALL)",
-    "df AS (SELECT codebase, token, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8)",
-    "terms AS (SELECT codebase, file_id, token, CAST(round(log2(n_files / df) * 1e6) AS BIGINT) AS ubits FROM tf JOIN df USING (codebase, token) JOIN nf USING (codebase))",
+    "df AS (SELECT codebase, token, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) >= 2)",
+    "terms AS (SELECT codebase, file_id, token, CAST(round(log2(n_files / df) * 1e6) AS BIGINT) AS ubits FROM tf JOIN df USING (codebase, token) JOIN nf USING (codebase) WHERE df < n_files)",
 ]
 VEC = "vec AS (SELECT vec_id, label, CAST(unnest(range(64)) AS INTEGER) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 PAIRS = [
-    "items AS (SELECT language, codebase, file_id, label AS topic, embedding, (embedding[1] >= 0) || '' || (embedding[2] >= 0) || '' || (embedding[3] >= 0) AS block FROM files JOIN embeddings ON vec_id = file_id)",
+    "items AS (SELECT language, codebase, file_id, label AS topic, embedding FROM files JOIN embeddings ON vec_id = file_id)",
     """cand AS (SELECT a.topic, a.language AS lang_a, b.language AS lang_b, a.file_id AS file_a, b.file_id AS file_b,
   round(list_sum(list_transform(range(1, 65), lambda k: (CAST(a.embedding[k] AS DOUBLE) - CAST(b.embedding[k] AS DOUBLE)) * (CAST(a.embedding[k] AS DOUBLE) - CAST(b.embedding[k] AS DOUBLE)))), 6) AS distance
-  FROM items a JOIN items b ON a.topic = b.topic AND a.block = b.block AND a.language < b.language)""",
+  FROM items a JOIN items b ON a.topic = b.topic AND a.language < b.language)""",
     """pairs AS (SELECT topic, lang_a, lang_b, file_a, file_b, distance FROM (SELECT *, row_number() OVER (PARTITION BY file_a, lang_a, lang_b ORDER BY distance, file_b) AS ra,
   row_number() OVER (PARTITION BY file_b, lang_a, lang_b ORDER BY distance, file_a) AS rb FROM cand) WHERE ra = 1 AND rb = 1)""",
 ]
-CONTRAST = """SELECT lang_a, lang_b, n, round(m, 6) AS mean_difference, CASE WHEN sd > 1e-9 THEN round(m / sd * sqrt(n), 4) END AS t, n_a_lower FROM (
-  SELECT lang_a, lang_b, count(*) AS n, avg(x.bpb - y.bpb) AS m, stddev_samp(x.bpb - y.bpb) AS sd, CAST(count_if(x.bpb < y.bpb) AS BIGINT) AS n_a_lower
-  FROM {pairs} JOIN floss x ON x.file_id = file_a JOIN floss y ON y.file_id = file_b GROUP BY ALL)"""
+CONTRAST = """SELECT lang_a, lang_b, n, CAST(sign(s) * ((2 * abs(s) + n) // (2 * n)) AS DOUBLE) / 1e6 AS mean_difference,
+  CASE WHEN n * q > s * s THEN round(CAST(s AS DOUBLE) * sqrt(CAST(n - 1 AS DOUBLE)) / sqrt(CAST(n * q - s * s AS DOUBLE)), 4) END AS t, n_a_lower FROM (
+  SELECT lang_a, lang_b, count(*) AS n, CAST(sum(d) AS HUGEINT) AS s, sum(CAST(d AS HUGEINT) * d) :: HUGEINT AS q, CAST(count_if(d < 0) AS BIGINT) AS n_a_lower FROM (
+    SELECT lang_a, lang_b, CAST(round(x.bpb * 1e6) AS BIGINT) - CAST(round(y.bpb * 1e6) AS BIGINT) AS d
+    FROM {pairs} JOIN floss x ON x.file_id = file_a JOIN floss y ON y.file_id = file_b) GROUP BY ALL)"""
 
 
 def sql(*parts: str) -> str:

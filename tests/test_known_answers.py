@@ -60,10 +60,24 @@ def test_dependency_levels(spark, edges, levels, cycle):
     assert all(seq[a] < seq[b] for a, b in edges)
 
 
-def test_cycle_is_told(spark):
-    e = spark.createDataFrame([("c", 0, 1, "s"), ("c", 1, 0, "s")], "codebase string, src long, dst long, symbol string")
-    got = {r["file_id"]: r["in_cycle"] for r in corpus.order_dependency(files(spark, "a", "b", "z"), e, max_rounds=4).collect()}
-    assert got[2] is False and any(got.values())
+def ordered(spark, n, edges):
+    e = spark.createDataFrame([("c", a, b, "s") for a, b in edges], "codebase string, src long, dst long, symbol string")
+    return {r["file_id"]: (r["level"], r["in_cycle"]) for r in corpus.order_dependency(files(spark, *["t"] * n), e).collect()}
+
+
+def test_cycles_are_told_from_what_hangs_on_them(spark):
+    # 0 before a cycle 1-2-3, 4 and 5 behind it, 6 between it and the cycle 7-8, 9 alone
+    got = ordered(spark, 10, [(0, 1), (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (2, 6), (6, 7), (7, 8), (8, 7)])
+    assert {k for k, v in got.items() if v[1]} == {1, 2, 3, 7, 8}
+    assert got[0] == got[9] == (0, False) and got[1][0] == got[7][0] == 1 and got[4] == (2, False) and got[5] == (3, False) and got[6] == (2, False)
+
+
+def test_long_chains_have_levels_to_the_end(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = ordered(spark, 61, [(k, k + 1) for k in range(60)])
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {k: (k, False) for k in range(61)}
 
 
 def curve(spark, law):
