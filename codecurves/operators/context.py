@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parity import bucket, r6, total, u32, whole_mean, whole_t, words
 from ..functions.storage import stored
-from .predictors import score_frozen, train_ngram
+from .predictors import frozen_pairs, train_ngram
 
 
 def rare_terms(tokens: DataFrame) -> DataFrame:
@@ -129,8 +129,9 @@ def signature_context_gap(tokens: DataFrame, signature_tokens: DataFrame, is_tra
     by = ["context", "language"]
     counts = train_ngram(part, by)
     none = counts[2].filter("context = 'full'").select(F.lit("none").alias("context"), "language", F.lit(0).cast("long").alias("n_train"))
-    losses = score_frozen(test, (counts[0], counts[1], counts[2].unionByName(none)), by)
-    s = losses.groupBy("language").pivot("context", ["none", "signatures", "full"]).agg(r6(total("ubits") / F.lit(1e6) / F.sum("n_bytes")))
+    losses = frozen_pairs(test, (counts[0], counts[1], counts[2].unionByName(none)), by)
+    bits, size = total(F.col("ubits") * F.col("n")), F.sum(F.col("n_bytes") * F.col("n"))
+    s = losses.groupBy("language").pivot("context", ["none", "signatures", "full"]).agg(r6(bits / F.lit(1e6) / size))
     return s.withColumn("share", r6((F.col("none") - F.col("signatures")) / (F.col("none") - F.col("full"))))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +49,47 @@ def score_adaptive(tokens: DataFrame, alpha: float = 1.0, beta: float = 1.0, by:
     return t.select(*(by or []), *KEYS, "ctx", ubits(bits).alias("ubits"))
 
 
+def _counts_within(t: DataFrame, keys: list[str], rungs: list[int], name: str) -> DataFrame:
+    """t with how often its keys occur among the last W positions before each row, for each W: columns name_W.
+
+    Rows are dealt by key and read in order of position, in batches; a batch keeps the last max(W) positions of its last key, whatever
+    the key's size, and one search in sorted places counts all windows."""
+    cols, wide = [f"{name}_{r}" for r in rungs], max(rungs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            new = np.zeros(n, bool)
+            for c in own:
+                new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+            first = tuple(c[0].as_py() for c in own)
+            pos = batch.column(batch.schema.get_field_index("pos")).to_numpy()
+            place = (np.cumsum(new) << 44) + pos  # windows never reach into the key before
+            before = held[held >= pos[0] - wide] if first == last else held[:0]
+            every = np.concatenate([before, place])
+            at = np.arange(len(before), len(every))
+            made = [pa.array((at - np.searchsorted(every, place - r)).astype(np.int64)) for r in rungs]
+            tail = every[every >> 44 == every[-1] >> 44] & ((1 << 44) - 1)
+            last, held = tuple(c[n - 1].as_py() for c in own), tail[tail > tail[-1] - wide]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *cols])
+
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in t.schema] + [f"{c} long" for c in cols])
+    return t.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(run, schema)
+
+
 def score_limited_context(tokens: DataFrame, rungs: list[int]) -> DataFrame:
-    """Losses of the same tokens when only the last W positions are visible, for each W of rungs."""
-    t = _with_context(tokens, ["codebase"]).withColumn("rung", F.explode(F.array(*[F.lit(r) for r in rungs])))
-    out = None
-    for r in rungs:
-        own = t.filter(F.col("rung") == r)
-        seen = lambda *cols, r=r: F.count("*").over(Window.partitionBy("codebase", *cols).orderBy("pos").rangeBetween(-r, -1)).cast("double")
-        own = own.withColumns({"cw": seen("token"), "cc": seen("ctx"), "ccw": seen("ctx", "token")})
-        bits = code_length(F.least(F.col("pos") - 1, F.lit(r)).cast("double"), F.col("cw"), F.col("cc"), F.col("ccw"), F.col("n_bytes"))
-        own = own.select("rung", *KEYS, ubits(bits).alias("ubits"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Losses of the same tokens when only the last W positions are visible, for each W of rungs (columns KEYS, rung, ubits)."""
+    t = _with_context(tokens, ["codebase"]).select(*KEYS, "ctx")
+    for name, keys in (("cw", ["codebase", "token"]), ("cc", ["codebase", "ctx"]), ("ccw", ["codebase", "ctx", "token"])):
+        t = _counts_within(t, keys, rungs, name)
+    seen = F.array(*[F.struct(F.lit(r).alias("rung"), *[F.col(f"{n}_{r}").cast("double").alias(n) for n in ("cw", "cc", "ccw")]) for r in rungs])
+    own = t.select(*KEYS, F.explode(seen).alias("w")).select(*KEYS, "w.*")
+    bits = code_length(F.least(F.col("pos") - 1, F.col("rung")).cast("double"), F.col("cw"), F.col("cc"), F.col("ccw"), F.col("n_bytes"))
+    return own.select("rung", *KEYS, ubits(bits).alias("ubits"))
 
 
 def train_ngram(tokens: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -69,19 +101,35 @@ def train_ngram(tokens: DataFrame, by: list[str] | None = None) -> tuple[DataFra
     return two, one, one.groupBy(*by).agg(total("cw").alias("n_train"))
 
 
-def score_frozen(tokens: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame], by: list[str] | None = None, contexts: DataFrame | None = None) -> DataFrame:
-    """Losses under frozen counts; what training never saw backs off. by: columns of the counts that name the model (all models score all
-    tokens of their language, or all tokens if by has no language)."""
+def frozen_pairs(tokens: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame], by: list[str] | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Losses under frozen counts of each distinct (language, ctx, token): the model's columns of by, language, keep, ctx, token, n_bytes,
+    n (how often it occurs) and ubits. keep: more columns to tell occurrences by.
+
+    A loss depends on nothing but the pair, so tokens are first counted (partly before the shuffle) and only distinct pairs meet the
+    models: a common word costs as many rows as it has contexts, not as it has occurrences."""
     two, one, all_ = counts
     by = by or ["language"]
-    t = _with_context(tokens, ["codebase"])
-    on = [c for c in by if c in t.columns]
+    pair, keep = ["language", "ctx", "token"], keep or {}
+    t = _with_context(tokens, ["codebase"]).withColumns(keep).groupBy(*pair, *keep, "n_bytes").agg(F.count("*").alias("n"))
+    on = [c for c in by if c == "language"]
     extra = [c for c in by if c not in on]
     t = t.join(F.broadcast(all_), on) if on else t.crossJoin(F.broadcast(all_))  # one row a model
     ctx = two.groupBy(*by, "ctx").agg(total("ccw").alias("cc"))
     t = t.join(one, [*by, "token"], "left").join(ctx, [*by, "ctx"], "left").join(two, [*by, "ctx", "token"], "left")
     num = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    return t.select(*extra, *KEYS, ubits(code_length(F.col("n_train").cast("double"), num("cw"), num("cc"), num("ccw"), F.col("n_bytes"))).alias("ubits"))
+    bits = code_length(F.col("n_train").cast("double"), num("cw"), num("cc"), num("ccw"), F.col("n_bytes"))
+    return t.select(*extra, *pair, *keep, "n_bytes", "n", ubits(bits).alias("ubits"))
+
+
+def score_frozen(tokens: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame], by: list[str] | None = None) -> DataFrame:
+    """Losses under frozen counts; what training never saw backs off. by: columns of the counts that name the model (all models score all
+    tokens of their language, or all tokens if by has no language). The losses of distinct pairs, one row a pair with all its models, meet
+    the tokens in one join."""
+    pair = ["language", "ctx", "token"]
+    extra = [c for c in by or ["language"] if c != "language"]
+    each = frozen_pairs(tokens, counts, by).groupBy(*pair).agg(F.collect_list(F.struct(*extra, "ubits")).alias("m"))
+    t = _with_context(tokens, ["codebase"]).join(each, pair)
+    return t.withColumn("m", F.explode("m")).select(*[F.col(f"m.{c}").alias(c) for c in extra], *KEYS, F.col("m.ubits").alias("ubits"))
 
 
 def score_with_model(windows: DataFrame, load: Callable[[], Callable[[list[str]], list[float]]]) -> DataFrame:

@@ -30,10 +30,15 @@ def ablate(files: DataFrame, variants=VARIANTS) -> DataFrame:
 
 
 def variant_losses(lines: DataFrame, order: DataFrame) -> DataFrame:
-    """Adaptive losses of each variant: variant, line_no, k (place in the line), and the usual columns."""
-    t = lines.select("variant", "language", "codebase", "file_id", "line_no", F.posexplode(words(F.col("line"))).alias("k", "token")).join(order.select("codebase", "file_id", "seq"), ["codebase", "file_id"])
-    t = t.withColumn("pos", F.row_number().over(Window.partitionBy("variant", "codebase").orderBy("seq", "line_no", "k")).cast("long"))
-    t = t.select("variant", "language", "codebase", "file_id", (F.col("line_no").cast("long") * 1_000_000 + F.col("k")).alias("i"), "pos", "token", (F.octet_length("token") + 1).cast("int").alias("n_bytes"), (F.length("token") + 1).cast("int").alias("n_chars"))
+    """Adaptive losses of each variant: variant, line_no, k (place in the line), and the usual columns. Words are counted by line, lines
+    summed up in their file and files in order, and the offsets joined back, so no task sorts the tokens of a codebase."""
+    own = ["variant", "codebase", "file_id"]
+    l = lines.select("variant", "language", "codebase", "file_id", "line_no", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")  # noqa: E741
+    n = l.groupBy(*own).agg(F.sum("n").alias("size")).join(order.select("codebase", "file_id", "seq"), ["codebase", "file_id"])
+    n = n.select(*own, (F.sum("size").over(Window.partitionBy("variant", "codebase").orderBy("seq")) - F.col("size")).alias("offset"))
+    within = F.sum("n").over(Window.partitionBy(*own).orderBy("line_no")) - F.col("n")
+    t = l.withColumn("within", within).join(n, own).select("variant", "language", "codebase", "file_id", "line_no", (F.col("offset") + F.col("within")).alias("start"), F.posexplode("w").alias("k", "token"))
+    t = t.select("variant", "language", "codebase", "file_id", (F.col("line_no").cast("long") * 1_000_000 + F.col("k")).alias("i"), (F.col("start") + F.col("k") + 1).cast("long").alias("pos"), "token", (F.octet_length("token") + 1).cast("int").alias("n_bytes"), (F.length("token") + 1).cast("int").alias("n_chars"))
     return score_adaptive(t, by=["variant"])
 
 
@@ -69,8 +74,18 @@ def code_class(rules=CODE_CLASSES):
 
 def component_loss(losses: DataFrame, cls=None) -> DataFrame:
     """Loss by class of token: mean, quartiles and share of the language's bits."""
-    q = lambda p: F.percentile("ubits", F.lit(p))
-    s = losses.withColumn("class", cls if cls is not None else token_class()).groupBy("language", "class").agg(F.count("*").alias("n"), total("ubits").alias("ubits"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    by = ["language", "class"]
+    h = losses.withColumn("class", cls if cls is not None else token_class()).groupBy(*by, "ubits").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by)
+    h = h.withColumns({"upto": F.sum("c").over(w.orderBy("ubits")), "all": F.sum("c").over(w)})  # distinct losses only
+
+    def q(p: float) -> F.Column:
+        place = F.lit(p) * (F.col("all") - 1)
+        value = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("ubits")))
+        low, part = value(F.floor(place)), F.max(place - F.floor(place))
+        return F.when(part > 0, (1 - part) * low + part * value(F.ceil(place))).otherwise(low.cast("double"))
+
+    s = h.groupBy(*by).agg(total("c").alias("n"), total(F.col("ubits") * F.col("c")).alias("ubits"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
     share = F.col("ubits") / F.sum("ubits").over(Window.partitionBy("language"))
     return s.select("language", "class", "n", "ubits", "q1", "q2", "q3", r6(share).alias("share"))
 
