@@ -80,7 +80,7 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 

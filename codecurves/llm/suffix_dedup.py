@@ -1,6 +1,6 @@
 """Exact substring dedup: every byte goes that a 50-byte string covers which also starts in a document of a smaller id.
 
-Documents are cut into shards by ranges of doc_id. Within a shard, a suffix array (Larsson-Sadakane) and its common prefixes (Kasai) put
+Documents are cut into shards by ranges of doc_id, of about equal bytes. Within a shard, a suffix array (Larsson-Sadakane) and its common prefixes (Kasai) put
 equal strings side by side. Across shards, sorted runs of keys are merged by binary search to tell each shard which of its strings a
 smaller shard has. Keys of all strings would be many times the text, so three merges follow each other. Anchors: 20-byte strings picked so
 that equal 50-byte strings have an equal anchor; text whose anchors repeat nowhere is done with. Covers: all the bytes of a run of strings
@@ -10,11 +10,12 @@ with one anchor; where they are equal so are the strings. Strings themselves: on
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
@@ -28,7 +29,8 @@ LENGTH, ANCHOR = 50, 20
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 BLOCK = 1 << 18
 SALTS = 16
-_LAST = 2**63 - 1
+#: Most ranges of doc_id; what they begin with is all that the driver holds and sends out. Beyond MAX_RANGES * SHARD_BYTES of text, shards grow.
+MAX_RANGES = 1 << 20
 #: What the rows that reach a shard beside its documents are: exact copies; anchors that a smaller shard has, or only a larger one; covers
 #: (runs of strings with one anchor) that a smaller shard has, or whose strings are asked for; strings that a smaller shard has.
 COPY, ANCHOR_BEFORE, ANCHOR_AFTER, COVER_BEFORE, COVER_SPLIT, STRING_BEFORE = range(6)
@@ -84,15 +86,21 @@ class Shard:
         self.length, self.buckets = length, buckets
         kind = side["kind"].to_numpy()
         self.side = {k: side.filter(pa.array(kind == k)) for k in range(6)}
-        order = np.argsort(table["doc"].to_numpy(), kind="stable")
+        void = table["doc"].is_null().to_numpy()
+        ids = table["doc"].fill_null(0).to_numpy()
+        order = np.lexsort((ids, void))
+        ids, void = ids[order], void[order]
         self.table = table.take(pa.array(order))
-        self.doc = self.table["doc"].to_numpy()
+        self.ids = self.table["doc"].to_pylist()
+        #: Numbers of the shard's documents in order of doc_id, null last.
+        self.doc = np.cumsum(np.concatenate([[False], (ids[1:] != ids[:-1]) | (void[1:] != void[:-1])])[: len(ids)])
         data, offs = utf8(self.table["text"])
         self.sizes = np.diff(offs)
         told = set(zip(self.side[COPY]["doc"].to_pylist(), self.side[COPY]["blob"].to_pylist(), strict=True))
-        self.copy = np.isin(self.doc, self.side[COPY]["doc"].to_numpy()) & (self.sizes >= length)
+        some = {d for d, _ in told}
+        self.copy = np.array([d in some for d in self.ids], bool) & (self.sizes >= length)
         for r in np.flatnonzero(self.copy).tolist():  # rows of one id (or of none) may hold several texts
-            self.copy[r] = (int(self.doc[r]), hashlib.sha256(data[offs[r] : offs[r + 1]]).digest()) in told
+            self.copy[r] = (self.ids[r], hashlib.sha256(data[offs[r] : offs[r + 1]]).digest()) in told
         self.data, self.offs = data, offs
         keep = ~self.copy
         self.own = np.flatnonzero(keep)
@@ -274,8 +282,8 @@ def merge_runs(runs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     return level[0]
 
 
-def _answers(runs: DataFrame, kinds: tuple[int, ...], narrow: bool = False, grouped: bool = False) -> DataFrame:
-    """What shards are told about the keys they sent. First of kinds: those that a smaller shard has. Second: those that only a larger
+def _answers(runs: DataFrame, cuts: "Cuts", kinds: tuple[int, ...], narrow: bool = False, grouped: bool = False) -> DataFrame:
+    """What shards are told about the keys they sent. A smaller shard is one of a smaller range. First of kinds: those that a smaller shard has. Second: those that only a larger
     one has; or, if keys come grouped (covers by anchor), first holders of one of several covers of an anchor, whose strings must be
     compared one by one."""
 
@@ -287,7 +295,8 @@ def _answers(runs: DataFrame, kinds: tuple[int, ...], narrow: bool = False, grou
             keys = [np.frombuffer(b[:n], np.uint64) for b, n in zip(blobs, cut, strict=True)]
         else:
             keys = [np.frombuffer(b, np.uint32 if narrow else np.uint64) for b in blobs]
-        every, first, last = merge_runs(list(zip(shards, keys, strict=True)))
+        ranges = cuts.range_of(np.array(shards)).tolist()
+        every, first, last = merge_runs(list(zip(ranges, keys, strict=True)))
         if grouped:
             group = np.zeros(len(every), np.uint32)
             for b, n, k in zip(blobs, cut, keys, strict=True):
@@ -295,10 +304,10 @@ def _answers(runs: DataFrame, kinds: tuple[int, ...], narrow: bool = False, grou
             _, which, size = np.unique(group, return_inverse=True, return_counts=True)
             split = size[which] > 1
         rows = []
-        for s, k, bucket in zip(shards, keys, table["bucket"].to_pylist(), strict=True):
+        for s, own, k, bucket in zip(shards, ranges, keys, table["bucket"].to_pylist(), strict=True):
             at = np.searchsorted(every, k)
-            before = first[at] < s
-            other = split[at] & ~before if grouped else (last[at] > s) & ~before
+            before = first[at] < own
+            other = split[at] & ~before if grouped else (last[at] > own) & ~before
             for kind, told in zip(kinds, (k[before], k[other]), strict=False):
                 if len(told):
                     rows.append((s, kind, bucket, 0, told.tobytes()))
@@ -310,26 +319,56 @@ def _answers(runs: DataFrame, kinds: tuple[int, ...], narrow: bool = False, grou
     return runs.groupBy("bucket").applyInArrow(answer, SIDE)
 
 
-def _sharded(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """(docs as doc, text, shard, and rest as a struct; the exact copies; bytes)."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    shards = max(1, -(-int(size) // SHARD_BYTES))
-    step = [k / shards for k in range(1, shards)]
-    cuts = np.array(docs.filter("doc_id is not null").approxQuantile("doc_id", step, min(0.001, 0.1 / shards)) if step else [], np.float64)
-    cuts = np.unique(np.floor(cuts)).astype(np.int64)
+@dataclass(frozen=True)
+class Cuts:
+    """Ranges of doc_id in order: what each begins with, and the number of its first shard. A range is one shard, but the rows of one very
+    large doc_id, and those without any (the last range), are dealt to several by their text: they remove nothing from each other."""
+
+    begin: np.ndarray
+    first: np.ndarray  # one more than ranges but the last: shards before each, then all of them
+
+    def range_of(self, shard: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, shard, "right") - 1
+
+    def shard_of(self, doc: pd.Series, text_hash: pd.Series) -> pd.Series:
+        r = np.where(doc.isna(), len(self.begin), np.maximum(np.searchsorted(self.begin, doc.fillna(0).to_numpy(np.int64), "right") - 1, 0))
+        return pd.Series(self.first[r] + text_hash.to_numpy(np.int64) % (self.first[r + 1] - self.first[r]))
+
+
+def _cuts(docs: DataFrame, size: int) -> Cuts:
+    """Sizes are summed by doc_id and run up in ranges of doc_id on executors; the driver gets one row for each range."""
+    shard = max(SHARD_BYTES, -(-size // MAX_RANGES))
+    sizes = docs.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"))
+    ranged = common.stored(sizes.repartitionByRange("doc").withColumn("part", F.spark_partition_id()), "sizes")
+    void = ranged.filter("doc is null").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"]
+    ranged = ranged.filter("doc is not null")
+    parts = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("b")).collect())
+    offset = docs.sparkSession.createDataFrame([(p, sum(b for q, b in parts if q < p)) for p, _ in parts], "part int, offset long")
+    before = F.sum("b").over(Window.partitionBy("part").orderBy("doc")) - F.col("b") + F.col("offset")
+    at = ranged.join(F.broadcast(offset), "part").select("doc", "b", F.floor(before / F.lit(shard)).alias("r"), (F.col("b") > 2 * shard).alias("alone"))
+    rows = at.groupBy("r", "alone").agg(F.min("doc").alias("begin"), F.sum("b").alias("b")).orderBy("begin").collect()
+    split = [-(-r["b"] // shard) if r["alone"] else 1 for r in rows] + [max(1, -(-int(void) // shard))]
+    return Cuts(np.array([r["begin"] for r in rows], np.int64), np.concatenate([[0], np.cumsum(split)]).astype(np.int64))
+
+
+def _sharded(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, DataFrame, Cuts, int]:
+    """(docs as doc, text, shard, and rest as a struct; the exact copies; ranges; bytes)."""
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
+    cuts = _cuts(docs, size)
 
     @F.pandas_udf("long")
-    def shard_of(doc: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, doc.to_numpy(), "right"))
+    def place(doc: pd.Series, text_hash: pd.Series) -> pd.Series:
+        return cuts.shard_of(doc, text_hash)
 
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    doc, text = F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit(""))
+    shard = place(F.col("doc"), F.col("h")).alias("shard")
     more = [F.struct(*rest).alias("rest")] if rest else []
-    base = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("shard", shard_of("doc"))
-    prints = docs.select(doc.alias("doc"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("print"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
+    base = docs.select(doc, text.alias("text"), F.abs(F.hash(text).cast("long")).alias("h"), *more).select("doc", "text", *(["rest"] if rest else []), shard)
+    prints = docs.select(doc, F.sha2(text.cast("binary"), 256).alias("print"), F.abs(F.hash(text).cast("long")).alias("h"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
     first = prints.groupBy("print").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = prints.join(first, ["print", "salt"]).filter("doc > first").select("doc", "print").withColumn("shard", shard_of("doc"))
+    copies = prints.join(first, ["print", "salt"]).filter("doc > first or (doc is null and first is not null)").select("doc", "print", shard)
     side = copies.select("shard", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), "doc", F.unhex("print").alias("blob"))
-    return base, side, int(size)
+    return base, side, cuts, size
 
 
 def _empty(schema: pa.Schema) -> pa.Table:
@@ -341,7 +380,7 @@ _SIDE = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("bucket", pa.in
 
 def _find(docs: DataFrame, make, schema: str, length: int, anchor: int, rest: list[str]) -> DataFrame:
     """make: what to return for a shard. rest: columns of docs that it needs besides doc and text."""
-    base, copies, size = _sharded(docs, rest)
+    base, copies, cuts, size = _sharded(docs, rest)
     copies = common.stored(copies, "copies")
     buckets = max(1, -(-size // (4 * BUCKET_BYTES)))
 
@@ -379,7 +418,7 @@ def _find(docs: DataFrame, make, schema: str, length: int, anchor: int, rest: li
 
     side = copies
     for send, kinds, how in ((anchors_of, (ANCHOR_BEFORE, ANCHOR_AFTER), {"narrow": True}), (covers_of, (COVER_BEFORE, COVER_SPLIT), {"grouped": True}), (strings_of, (STRING_BEFORE,), {})):
-        side = side.unionByName(_answers(with_side(side, sender(send), SIDE), kinds, **how))
+        side = side.unionByName(_answers(with_side(side, sender(send), SIDE), cuts, kinds, **how))
     return with_side(side, finish, schema)
 
 
@@ -389,7 +428,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     A null text is empty. Rows with the same doc_id are one document's: they remove nothing from each other. Rows with a null doc_id come
     after all others and remove nothing from each other. An empty table gives no rows; other columns are ignored.
 
-    Texts are shuffled once, by ranges of doc_id, and read four times; keys of anchors, covers and strings make small shuffles each way. A string that very many documents hold is one key a shard. Copies of a whole smaller document are told by their digest
+    Texts are shuffled once, by ranges of doc_id of about SHARD_BYTES each (a longer document is a shard of its own), and read four times;
+    keys of anchors, covers and strings make small shuffles each way. A string that very many documents hold is one key a shard. Copies of a whole smaller document are told by their digest
     and skip the arrays: a smaller document holds all their strings."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -397,7 +437,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     def make(s: Shard | None, anchor: int) -> pa.Table:
         if s is None:
             return _empty(schema)
-        rows = [(int(s.doc[r]) if s.doc[r] != _LAST else None, int(s.sizes[r]), int((b - a).sum()), len(a), hashlib.sha256(s.kept(r, a, b)).hexdigest()) for r, a, b in s.removed(anchor)]
+        rows = [(s.ids[r], int(s.sizes[r]), int((b - a).sum()), len(a), hashlib.sha256(s.kept(r, a, b)).hexdigest()) for r, a, b in s.removed(anchor)]
         return pa.table({f.name: pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)})
 
     out = _find(docs, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, anchor, [])
@@ -406,7 +446,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """docs with all columns, repeated bytes cut out of text (n_chars, where it is a column, follows). No row goes. Bytes of a character
-    that a cut parted are left out, so that text stays UTF-8; a null text stays null."""
+    that a cut parted are left out, so that text stays UTF-8; a null text stays null. Repeated rows, null doc_ids and empty tables as in
+    `repeats`; columns of any name are kept."""
     rest = [c for c in docs.columns if c != "text"]
     as_null = "__text_is_null"
     wide = docs.withColumn(as_null, F.col("text").isNull())

@@ -211,11 +211,11 @@ def test_leaks_on_odd_texts(spark, monkeypatch, part):
 
 def plain_repeats(pairs, length=50):
     seen, out, order = {}, [], sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0))
-    key = lambda i: 2**62 if i is None else i
+    key = lambda i: 2**63 if i is None else i
     for i, t in order:
         b = (t or "").encode()
         for k in range(len(b) - length + 1):
-            seen[b[k : k + length]] = min(seen.get(b[k : k + length], 2**63), key(i))
+            seen[b[k : k + length]] = min(seen.get(b[k : k + length], 2**64), key(i))
     for i, t in order:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -669,6 +669,19 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r["text"] for r in cp.drop_near_duplicates(spark, twice, SMALL).collect()) == sorted([texts[0], texts[1]])
 
 
+@pytest.mark.parametrize("shard", [suffix_dedup.SHARD_BYTES, 300])
+def test_extreme_and_missing_ids_in_small_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = [text(70) for _ in range(6)]
+    ids = [-(2**63), -5, 0, 3, 3, 3, 3, 3, 3, 3, 7, 9, 2**63 - 2, 2**63 - 1, *[None] * 12]  # one id, and none at all, with more than a shard's bytes
+    rows = [(i, text(100) + shared[k % 6] + text(60) + shared[(k * 5 + 1) % 6]) for k, i in enumerate(ids)]
+    rows += [(None, rows[0][1]), (2**63 - 1, rows[3][1]), (None, None), (3, rows[13][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffix_dedup.repeats(d).collect())) == plain_repeats(rows)
+
+
 def test_copies_are_rows_not_ids(spark):
     one, two, three = "one text that a smaller document has, of fifty bytes or more", "another text that stands only once among all of the rows here", "and a third text under the id of a row that is a whole copy of another"
     rows = [(1, one), (None, one), (None, two), (7, one), (7, three)]
