@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, joined, pieces, span_hashes, spans, stored, utf8
@@ -109,54 +109,96 @@ def merged(found: list[dict]) -> list[dict]:
     return out
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The benchmark in parts of about PART_BYTES, one at most in the driver's hands for each broadcast."""
+class Part:
+    """Benchmark items of one broadcast. What travels is their text; each Python worker makes the windows of it once."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.items, self.window, self.made = items, window, None
+
+    def __getstate__(self):
+        return self.items, self.window, None
+
+    def __setstate__(self, state):
+        self.items, self.window, self.made = state
+
+    @property
+    def phrases(self) -> Phrases:
+        if self.made is None:
+            self.made = Phrases(self.items, self.window)
+        return self.made
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item, t, part): the items that have an id and a text, each once, and the number of parts of about PART_BYTES."""
     held = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).filter("item is not null and t is not null").distinct()
     total = held.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-int(total) // PART_BYTES))
-    return [[(r["item"], r["t"]) for r in held.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()] for k in range(n)]
+    return held.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(n))), n
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence of a window), items (ids with occurring windows, sorted as strings), spans
-    (merged, in words and bytes), one row for each row of docs.
+def _part(items: DataFrame, k: int, window: int) -> Part:
+    return Part([(r["item"], r["t"]) for r in items.filter(F.col("part") == k).collect()], window)
 
-    A null text has no words. Items with a null id or text, or no word, have no windows. Repeated rows are searched each for
-    themselves; an empty table gives no rows, an empty benchmark no hits; other columns are ignored. Documents aren't shuffled, unless
-    the benchmark is larger than one broadcast may be: then each part has its pass, and a document's findings are merged by key."""
-    kind, sc = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext
 
-    def search(part):
-        known = sc.broadcast(Phrases(part, window))
+def _search(known, extra: int):
+    """Rows of (text, then `extra` columns that are kept) to those columns and what is found."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in pieces(batch, "text", SHARD_BYTES):
-                    cols = list(zip(*_leaks(known.value, b.column(1)), strict=True))
-                    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, _types(), strict=True)), *([b.column(2)] if b.num_columns > 2 else [])], names=["doc_id", "n_words", "n_hit", "items", "spans", *(["key"] if b.num_columns > 2 else [])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "text", SHARD_BYTES):
+                cols = list(zip(*_leaks(known.value.phrases, b.column(0)), strict=True))
+                made = [pa.array(c, t) for c, t in zip(cols, _types(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(1 + k) for k in range(extra)), *made], names=[*b.schema.names[1 : 1 + extra], "n_words", "n_hit", "items", "spans"])
 
-        return run
+    return run
 
-    parts = _parts(benchmark)
-    if len(parts) == 1:
-        return docs.select("doc_id", "text").mapInArrow(search(parts[0]), f"doc_id {kind}, {FOUND}")
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    each = [keyed.mapInArrow(search(p), f"doc_id {kind}, {FOUND}, key long") for p in parts]
-    every = each[0]
-    for more in each[1:]:
-        every = every.unionByName(more)
-    grouped = every.groupBy("doc_id", "key").agg(
-        F.first("n_words").alias("n_words"), (F.count("*") / len(parts)).cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
-    )
 
-    def merge(batches):
-        for got in batches:
-            got["spans"] = [merged(list(s)) for s in got["spans"]]
-            got["n_hit"] = [sum(x["end_word"] - x["first_word"] for x in s) for s in got["spans"]]
-            yield got
+def _in_parts(docs: DataFrame, items: DataFrame, parts: int, window: int, key: Column) -> DataFrame:
+    """key, items and merged spans of the rows of docs in which a part of a large benchmark occurs. Parts come to the driver one after the
+    other; what each finds is stored before its broadcast is dropped."""
+    sc, found = docs.sparkSession.sparkContext, None
+    keyed = docs.select("text", key.alias("key"))
+    for k in range(parts):
+        known = sc.broadcast(_part(items, k, window))
+        got = keyed.mapInArrow(_search(known, 1), f"key long, {FOUND}").filter("n_hit > 0").select("key", "items", "spans").dropDuplicates(["key"])
+        got = stored(got, "leaks")
+        known.destroy()
+        found = got if found is None else found.unionByName(got)
+    every = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
 
-    return grouped.select("*", F.lit(0).cast("long").alias("n_hit")).mapInPandas(merge, f"doc_id {kind}, key long, copies int, {FOUND}").select("doc_id", "n_words", "n_hit", "items", "spans", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(s) for s in batch.column(2).to_pylist()]
+            hit = [sum(x["end_word"] - x["first_word"] for x in s) for s in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _types()[3]), pa.array(hit, pa.int64())], names=["key", "items", "spans", "n_hit"])
+
+    return every.mapInArrow(merge, "key long, " + FOUND.split(", ", 2)[2] + ", n_hit long")
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in pieces(batch, "text", SHARD_BYTES):
+            _, row, _, _ = _cut(*utf8(b.column(0)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(np.bincount(row, minlength=b.num_rows).astype(np.int64))], names=["doc_id", "key", "n_words"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside an occurrence of a window), items (ids with occurring windows, sorted as strings), spans
+    (merged, in words and bytes), one row for each row of docs.
+
+    A null text has no words. Items with a null id or text, or no word, have no windows. Repeated rows are searched each for
+    themselves; an empty table gives no rows, an empty benchmark no hits; other columns are ignored. Documents aren't shuffled, unless
+    the benchmark is larger than one broadcast may be: then each part has its pass, and a document's findings are merged by key. Words
+    count as equal by a 64-bit hash: of n distinct words about n * n / 2^65 pairs are taken for one another."""
+    kind, sc = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext
+    items, parts = _items(benchmark)
+    if parts == 1:
+        return docs.select("text", "doc_id").mapInArrow(_search(sc.broadcast(_part(items, 0, window)), 1), f"doc_id {kind}, {FOUND}")
+    key = F.xxhash64("doc_id", "text")
+    found = _in_parts(docs, items, parts, window, key)
+    every = docs.select("text", "doc_id", key.alias("key")).mapInArrow(_count_words, f"doc_id {kind}, key long, n_words long").join(found, "key", "left")
+    none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast(FOUND.split("spans ")[1])}
+    return every.select("doc_id", "n_words", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
 
 
 def _types() -> list[pa.DataType]:
@@ -174,23 +216,39 @@ def without(text: str, found: list[dict]) -> str:
     return b" ".join(x for x in out if x).decode("utf-8", "ignore")
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with all columns, the merged spans cut out of text (n_chars, where it is a column, follows). No row goes."""
-    parts = _parts(benchmark)
-    if len(parts) > 1:
-        keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-        by_key = stored(keyed.select("doc_id", "text", "__key").dropDuplicates(["__key"]), "leaks")
-        found = find_leaks(by_key.select(F.col("__key").alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
-        cut = F.udf(lambda t, s: without(t, [x.asDict() for x in s]) if t and s else t, "string")
-        out = keyed.join(found, "__key", "left").withColumn("text", cut("text", "__spans")).select(*docs.columns)
+    """docs with all columns, the merged spans cut out of text (n_chars, where it is a column, follows). No row goes.
+
+    A null text stays null; a text that is all leak becomes empty. Repeated rows are cut alike; an empty table gives no rows, an empty
+    benchmark changes none. Columns may have any name."""
+    items, parts = _items(benchmark)
+    if parts > 1:
+        key, spans = _fresh("key", docs.columns), _fresh("spans", docs.columns)
+        found = _in_parts(docs, items, parts, window, F.xxhash64("doc_id", "text")).select(F.col("key").alias(key), F.col("spans").alias(spans))
+        joined_ = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left").select(*docs.columns, spans)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                k, s = b.schema.get_field_index("text"), b.schema.get_field_index(spans)
+                new = [without(t, x) if t and x else t for t, x in zip(b.column(k).to_pylist(), b.column(s).to_pylist(), strict=True)]
+                yield b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type)).remove_column(s)
+
+        out = joined_.mapInArrow(cut, docs.schema)
     else:
-        known = docs.sparkSession.sparkContext.broadcast(Phrases(parts[0], window))
+        known = docs.sparkSession.sparkContext.broadcast(_part(items, 0, window))
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in pieces(batch, "text", SHARD_BYTES):
                     k = b.schema.get_field_index("text")
-                    new = [t if t is None or not s else without(t, s) for t, (_, _, _, s) in zip(b.column(k).to_pylist(), _leaks(known.value, b.column(k)), strict=True)]
+                    found = _leaks(known.value.phrases, b.column(k))
+                    new = [t if t is None or not s else without(t, s) for t, (_, _, _, s) in zip(b.column(k).to_pylist(), found, strict=True)]
                     yield b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type))
 
         out = docs.mapInArrow(run, docs.schema)
