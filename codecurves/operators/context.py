@@ -303,6 +303,14 @@ def reuse_stats(files: DataFrame, edges: DataFrame, min_chars: int = 20) -> Data
     return s.select("language", "n_defs", "n_uses", r6(F.col("n_unused") / F.col("n_defs")).alias("share_unused"), r6(gini).alias("gini"))
 
 
+def top_symbols(files: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """The k symbols of each language that most files use; ties in order of codebase and symbol."""
+    uses = edges.groupBy("codebase", "symbol").agg(F.count_distinct("dst").alias("uses"))
+    lang = files.select("language", "codebase").distinct()
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("uses").desc(), "codebase", "symbol"))
+    return uses.join(lang, "codebase").withColumn("rank", rank).filter(F.col("rank") <= k).select("language", "rank", "codebase", "symbol", "uses")
+
+
 def repair_locality(repairs: DataFrame, files: DataFrame) -> DataFrame:
     """Files and modules that a repair touches, and share of repairs inside one module, by module of the first file."""
     r = repairs.join(files, "file_id").groupBy("repair_id").agg(F.count_distinct("file_id").alias("n_files"), F.count_distinct("module").alias("n_modules"), F.min_by("module", "file_id").alias("module"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parity import r6, total, u32
+from ..functions.parity import bucket, r6, total, u32
 from .curves import by_codebase
 
 LN2 = 0.6931471805599453
@@ -87,3 +87,16 @@ def compare_languages(fits: DataFrame, curve: DataFrame, traits: DataFrame) -> D
     all_ = fits.join(at, "language").join(F.broadcast(traits), "language")  # one row a language
     rank = lambda c, down=False: F.dense_rank().over(Window.orderBy(F.col(c).desc() if down else F.col(c)))
     return all_.select("language", "strength", rank("b", True).alias("rank_b"), rank("a").alias("rank_a"), rank("common_bpb").alias("rank_bpb"), r6(F.avg("b").over(Window.partitionBy("strength"))).alias("strength_mean_b"))
+
+
+def file_exponents(losses: DataFrame, k_min: int = 2, least: int = 3) -> DataFrame:
+    """language, file_id, b, n_points: the exponent of each file, over positions in the file."""
+    s = losses.withColumn("bucket", bucket(F.col("i") + 1)).groupBy("language", "file_id", "bucket").agg(total("ubits").alias("ubits"), total("n_bytes").alias("n_bytes"))
+    s = s.withColumn("bpb", r6(F.col("ubits") / F.lit(1e6) / F.col("n_bytes")))
+    return fit_power_law(s, k_min, ["language", "file_id"]).filter(F.col("n_points") >= least).select("language", "file_id", "b", "n_points")
+
+
+def exponent_change(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """Exponents of the same corpora before and after a change: by, b_before, b_after, change. before, after: curves with bucket and bpb."""
+    f = lambda d, n: fit_power_law(d, by=by).select(*by, F.col("b").alias(n))
+    return f(before, "b_before").join(f(after, "b_after"), by).withColumn("change", r6(F.col("b_after") - F.col("b_before")))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parity import r6, total, ubits
+from ..functions.parity import bucket, r6, total, ubits
 
 KEYS = ["language", "codebase", "file_id", "i", "pos", "token", "n_bytes", "n_chars"]
 
@@ -184,3 +184,21 @@ def normalise_line_length(losses: DataFrame, files: DataFrame) -> DataFrame:
     at = at.withColumn("line_bucket", F.floor(F.log2(line.cast("double")) + F.lit(1e-9)).cast("int"))
     s = at.groupBy("language", "line_bucket", "tokens_per_line").agg(F.count("*").alias("n"), total("ubits").alias("ubits"))
     return s.select("language", "line_bucket", "n", "ubits", r6(F.col("ubits") / F.lit(1e6) / F.col("n") * F.col("tokens_per_line")).alias("bits_per_line"))
+
+
+def byte_positions(losses: DataFrame, order: DataFrame) -> DataFrame:
+    """losses with byte_pos, the 1-based byte of its codebase at which a token begins: bytes are summed up in each file, and files in
+    order, so tokenizers can be compared at equal places."""
+    own = ["codebase", "file_id"]
+    n = losses.groupBy(*own).agg(F.sum("n_bytes").alias("size")).join(order.select(*own, "seq"), own)
+    n = n.select(*own, (F.sum("size").over(Window.partitionBy("codebase").orderBy("seq")) - F.col("size")).alias("offset"))
+    within = F.sum("n_bytes").over(Window.partitionBy(*own).orderBy("i")) - F.col("n_bytes")
+    return losses.withColumn("within", within).join(n, own).withColumn("byte_pos", F.col("offset") + F.col("within") + 1).drop("offset", "within")
+
+
+def tokenizer_bias(losses: DataFrame, order: DataFrame) -> DataFrame:
+    """losses: tokenizer and the usual columns. Bits per byte of each tokenizer by language and power-of-two bucket of byte position."""
+    at = [byte_positions(losses.filter(F.col("tokenizer") == t), order) for t in ("word", "char")]
+    b = at[0].unionByName(at[1]).withColumn("bucket", bucket(F.col("byte_pos")))
+    s = b.groupBy("language", "tokenizer", "bucket").agg(F.count("*").alias("n"), total("ubits").alias("ubits"), total("n_bytes").alias("n_bytes"))
+    return s.withColumn("bpb", r6(F.col("ubits") / F.lit(1e6) / F.col("n_bytes")))

@@ -9,6 +9,12 @@ from ..functions.parity import bucket, r6, total, words
 from .predictors import score_adaptive
 
 VARIANTS = ("full", "no_first_line", "no_repeats", "no_punctuation", "no_blank")
+#: Lines that are one component of source code, by pattern. Fixed values.
+CODE_COMPONENTS = {
+    "comments": r"^\s*(#|//|--|/\*|\*|\(\*)",
+    "signatures": r"^\s*(def \w+\(.*\).*:|\w+ :: .*|(Theorem|Lemma|Definition) \w+.*|fn \w+\(.*\).*)$",
+    "licence": r"(?i)(licen[cs]e|copyright|all rights reserved|spdx)",
+}
 
 
 def ablate(files: DataFrame, variants=VARIANTS) -> DataFrame:
@@ -29,6 +35,14 @@ def ablate(files: DataFrame, variants=VARIANTS) -> DataFrame:
     return l.withColumn("v", F.explode(all_)).filter("v.keep").select(F.col("v.variant").alias("variant"), "language", "codebase", "file_id", "line_no", F.col("v.text").alias("line"))
 
 
+def ablate_code(files: DataFrame, components: dict[str, str] = CODE_COMPONENTS) -> DataFrame:
+    """The corpus in full, and less the lines of each component of source code: columns as in `ablate`, variants full and no_NAME."""
+    l = files.select("language", "codebase", "file_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))  # noqa: E741
+    kept = [F.struct(F.lit("full").alias("variant"), F.lit(True).alias("keep"))]
+    kept += [F.struct(F.lit(f"no_{name}").alias("variant"), (~F.regexp_like("line", F.lit(p))).alias("keep")) for name, p in components.items()]
+    return l.withColumn("v", F.explode(F.array(*kept))).filter("v.keep").select("v.variant", "language", "codebase", "file_id", "line_no", "line")
+
+
 def variant_losses(lines: DataFrame, order: DataFrame) -> DataFrame:
     """Adaptive losses of each variant: variant, line_no, k (place in the line), and the usual columns. Words are counted by line, lines
     summed up in their file and files in order, and the offsets joined back, so no task sorts the tokens of a codebase."""
@@ -96,11 +110,40 @@ def hotspots(losses: DataFrame, k: int = 10) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(F.col("bpb").desc(), "file_id"))).filter(F.col("rank") <= k).select("language", "rank", "file_id", "bpb")
 
 
+def line_losses(losses: DataFrame, files: DataFrame) -> DataFrame:
+    """language, codebase, file_id, line_no, n, ubits, n_bytes of every line that holds a token."""
+    own = ["codebase", "file_id"]
+    l = files.select("language", *own, F.posexplode(F.split("content", "\n")).alias("line_no", "line")).withColumn("n", F.size(words(F.col("line")))).filter("n > 0")  # noqa: E741
+    first = F.sum("n").over(Window.partitionBy(*own).orderBy("line_no")) - F.col("n")
+    at = l.withColumn("first", first).select("language", *own, "line_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
+    t = losses.select(*own, F.col("i").cast("long").alias("i"), "ubits", "n_bytes").join(at, [*own, "i"])
+    return t.groupBy("language", *own, "line_no").agg(F.count("*").alias("n"), total("ubits").alias("ubits"), total("n_bytes").alias("n_bytes"))
+
+
+def hotspot_lines(losses: DataFrame, files: DataFrame, k: int = 10, least: int = 5) -> DataFrame:
+    """The k least predictable lines of `least` tokens or more of each language, by bits per byte."""
+    s = line_losses(losses, files).filter(F.col("n") >= least).withColumn("bpb", r6(F.col("ubits") / F.lit(1e6) / F.col("n_bytes")))
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("bpb").desc(), "file_id", "line_no"))
+    return s.withColumn("rank", rank).filter(F.col("rank") <= k).select("language", "rank", "file_id", "line_no", "n", "bpb")
+
+
+def _islands(losses: DataFrame, most: int) -> DataFrame:
+    """Tokens under `most` millionths of a bit, with a number that is equal inside a run of them."""
+    low = losses.filter(F.col("ubits") < most)
+    return low.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("file_id").orderBy("i")))
+
+
+def common_runs(losses: DataFrame, most: int = 6_000_000, least: int = 4, k: int = 10) -> DataFrame:
+    """The k most frequent runs of `least` predictable tokens or more of each language, as text; ties in order of the text."""
+    g = _islands(losses, most).groupBy("language", "file_id", "island").agg(F.count("*").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("t")).filter(F.col("n_tokens") >= least)
+    c = g.select("language", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("run"), "n_tokens").groupBy("language", "run", "n_tokens").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.col("n").desc(), F.md5(F.col("run").cast("binary"))))
+    return c.withColumn("rank", rank).filter(F.col("rank") <= k).select("language", "rank", F.md5(F.col("run").cast("binary")).alias("run_md5"), "run", "n_tokens", "n")
+
+
 def predictable_runs(losses: DataFrame, most: int = 6_000_000, least: int = 4) -> DataFrame:
     """Runs of at least `least` tokens of a file under `most` millionths of a bit each: number, longest, and share of the language's bytes."""
-    low = losses.filter(F.col("ubits") < most)
-    island = F.col("i") - F.row_number().over(Window.partitionBy("file_id").orderBy("i"))
-    runs = low.withColumn("island", island).groupBy("language", "file_id", "island").agg(F.count("*").alias("n"), total("n_bytes").alias("b")).filter(F.col("n") >= least)
+    runs = _islands(losses, most).groupBy("language", "file_id", "island").agg(F.count("*").alias("n"), total("n_bytes").alias("b")).filter(F.col("n") >= least)
     s = runs.groupBy("language").agg(F.count("*").alias("n_runs"), F.max("n").alias("longest"), total("b").alias("run_bytes"))
     all_ = losses.groupBy("language").agg(total("n_bytes").alias("n_bytes"))
     out = all_.join(s, "language", "left")

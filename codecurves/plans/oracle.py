@@ -253,7 +253,7 @@ ORACLE = {
         UNION ALL SELECT 'no_punctuation', language, regexp_replace(line, '[.,;:!?]', '', 'g') FROM m UNION ALL SELECT 'no_blank', language, line FROM m WHERE trim(line) <> '')""",
         "SELECT variant, language, count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM v GROUP BY ALL"),
     "g2_ablation_effect": sql(FILES, ORD, LINES, "m AS (SELECT *, row_number() OVER (PARTITION BY codebase, file_id, line ORDER BY line_no) AS nth FROM lines)",
-        "v AS (SELECT 'full' AS variant, * FROM m UNION ALL SELECT 'no_first_line', * FROM m WHERE line_no > 0 UNION ALL SELECT 'no_repeats', * FROM m WHERE nth = 1)",
+        "v AS (SELECT 'full' AS variant, * FROM m UNION ALL SELECT 'no_first_line', * FROM m WHERE line_no > 0 UNION ALL SELECT 'no_repeats', * FROM m WHERE nth = 1 UNION ALL SELECT 'no_punctuation', * REPLACE (regexp_replace(line, '[.,;:!?]', '', 'g') AS line) FROM m UNION ALL SELECT 'no_blank', * FROM m WHERE trim(line) <> '')",
         f"u AS (SELECT variant, codebase, file_id, line_no, unnest(range(len(w))) AS k, unnest(w) AS token FROM (SELECT *, {_words('line')} AS w FROM v))",
         "t AS (SELECT u.*, strlen(token) + 1 AS n_bytes, row_number() OVER (PARTITION BY variant, codebase ORDER BY seq, line_no, k) AS pos FROM u JOIN ord USING (codebase, file_id))", _adaptive("t", "vb", "variant,"),
         f"d AS (SELECT p.variant, codebase, CAST(floor(log2(f.pos) + 1e-9) AS INTEGER) AS bucket, count(*) AS n, sum(p.ubits - f.ubits) AS d FROM vb p JOIN vb f USING (codebase, file_id, line_no, k, token) WHERE p.variant <> 'full' AND f.variant = 'full' GROUP BY ALL)",
@@ -313,4 +313,31 @@ ORACLE = {
     "m4_variance_decomposition": sql(*L, CB, TRAITS, "cbb AS (SELECT *, ubits / 1e6 / n_bytes AS bpb FROM cb)", _fit("cbb", "cf", "language, codebase"), "sz AS (SELECT codebase, sum(n) AS nt FROM cb GROUP BY ALL)",
         "e AS (SELECT cf.language, strength, b, nt FROM cf JOIN sz USING (codebase) JOIN traits ON traits.language = cf.language WHERE n_points >= 3)", "g AS (SELECT *, avg(b) OVER () AS gm, avg(b) OVER (PARTITION BY language) AS lm, avg(b) OVER (PARTITION BY strength) AS sm FROM e)",
         "SELECT count(*) AS n_codebases, round(sum(pow(b - gm, 2)), 5) AS ss_total, round(sum(pow(lm - gm, 2)), 5) AS ss_between, round(sum(pow(b - gm, 2)) - sum(pow(lm - gm, 2)), 5) AS ss_within, round(regr_r2(b, ln(nt)), 4) AS r2_size, round(sum(pow(sm - gm, 2)) / sum(pow(b - gm, 2)), 4) AS r2_strength FROM g"),
+    "b10_position_bias": sql(*L, "ch_f AS (SELECT language, codebase, file_id, l, sum(len(l)) OVER (PARTITION BY codebase ORDER BY seq) - len(l) AS off FROM (SELECT *, string_split(content, '') AS l FROM files) JOIN ord USING (codebase, file_id))",
+        "ch_u AS (SELECT language, codebase, file_id, off, unnest(range(len(l))) AS i, unnest(l) AS token FROM ch_f)", "ch AS (SELECT language, codebase, file_id, i, CAST(off + i + 1 AS BIGINT) AS pos, token, strlen(token) AS n_bytes FROM ch_u)", _adaptive("ch", "cb1"),
+        "u AS (SELECT language, 'word' AS tokenizer, codebase, pos, n_bytes, ubits FROM b1 UNION ALL SELECT language, 'char', codebase, pos, n_bytes, ubits FROM cb1)",
+        "p AS (SELECT *, sum(n_bytes) OVER (PARTITION BY tokenizer, codebase ORDER BY pos) - n_bytes + 1 AS byte_pos FROM u)",
+        f"s AS (SELECT language, tokenizer, CAST(floor(log2(byte_pos) + 1e-9) AS INTEGER) AS bucket, count(*) AS n, {sums('ubits', 'n_bytes')} FROM p GROUP BY ALL)", f"SELECT *, {BPB} AS bpb FROM s"),
+    "g1_code_components": sql(FILES, LINES, r"""v AS (SELECT 'full' AS variant, language, line FROM lines UNION ALL SELECT 'no_comments', language, line FROM lines WHERE NOT regexp_matches(line, '^\s*(#|//|--|/\*|\*|\(\*)')
+        UNION ALL SELECT 'no_signatures', language, line FROM lines WHERE NOT regexp_matches(line, '^\s*(def \w+\(.*\).*:|\w+ :: .*|(Theorem|Lemma|Definition) \w+.*|fn \w+\(.*\).*)$')
+        UNION ALL SELECT 'no_licence', language, line FROM lines WHERE NOT regexp_matches(line, '(?i)(licen[cs]e|copyright|all rights reserved|spdx)'))""",
+        "SELECT variant, language, count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM v GROUP BY ALL"),
+    "h2_hotspot_lines": sql(*L, LINES, f"l AS (SELECT *, len({_words('line')}) AS n FROM lines)", "p AS (SELECT *, CAST(sum(n) OVER (PARTITION BY codebase, file_id ORDER BY line_no) - n AS BIGINT) AS lo FROM l WHERE n > 0)",
+        "c AS (SELECT p.language, p.file_id, p.line_no, count(*) AS n, round(sum(ubits) / 1e6 / sum(n_bytes), 6) AS bpb FROM p JOIN b1 ON b1.file_id = p.file_id AND b1.codebase = p.codebase AND b1.i >= lo AND b1.i < lo + p.n GROUP BY ALL)",
+        "SELECT language, CAST(rank AS INTEGER) AS rank, file_id, line_no, n, bpb FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY bpb DESC, file_id, line_no) AS rank FROM c WHERE n >= 5) WHERE rank <= 10"),
+    "h3_common_runs": sql(*L, "i AS (SELECT language, file_id, token, i, i - row_number() OVER (PARTITION BY file_id ORDER BY i) AS g FROM b1 WHERE ubits < 6000000)",
+        "r AS (SELECT language, string_agg(token, ' ' ORDER BY i) AS run, count(*) AS n_tokens FROM i GROUP BY language, file_id, g HAVING count(*) >= 4)", "c AS (SELECT language, md5(run) AS run_md5, n_tokens, count(*) AS n FROM r GROUP BY ALL)",
+        "SELECT language, CAST(rank AS INTEGER) AS rank, run_md5, n_tokens, n FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, run_md5) AS rank FROM c) WHERE rank <= 10"),
+    "j1_exponent_change": sql(*L, CB, LINES, "m AS (SELECT *, row_number() OVER (PARTITION BY codebase, file_id, line ORDER BY line_no) AS nth FROM lines)", "aft AS (SELECT language, codebase, file_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM m WHERE nth = 1 GROUP BY ALL)",
+        _tokens("aft", "atok"), _adaptive("atok", "ab1"), f"ca AS (SELECT language, codebase, {BUCKET} AS bucket, {sums('ubits', 'n_bytes')} FROM ab1 GROUP BY ALL)",
+        f"y AS (SELECT *, {BPB} AS bpb FROM cb)", f"z AS (SELECT *, {BPB} AS bpb FROM ca)", _fit("y", "fy", "language, codebase"), _fit("z", "fz", "language, codebase"),
+        "SELECT language, codebase, fy.b AS b_before, fz.b AS b_after, round(fz.b - fy.b, 6) AS change FROM fy JOIN fz USING (language, codebase)"),
+    "k3_exponent_contrast": sql(*L, "fc AS (SELECT language, file_id, CAST(floor(log2(i + 1) + 1e-9) AS INTEGER) AS bucket, round(sum(ubits) / 1e6 / sum(n_bytes), 6) AS bpb FROM b1 GROUP BY ALL)", _fit("fc", "fe", "language, file_id", k=2),
+        "floss AS (SELECT file_id, b AS bpb FROM fe WHERE n_points >= 3)", *PAIRS, CONTRAST.format(pairs="pairs")),
+    "m1_top_symbols": sql(FILES, LINES, HELD, EDGES, "u AS (SELECT codebase, symbol, count(DISTINCT dst) AS uses FROM edges GROUP BY ALL)",
+        "SELECT language, CAST(rank AS INTEGER) AS rank, codebase, symbol, uses FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY uses DESC, codebase, symbol) AS rank FROM u JOIN (SELECT DISTINCT language, codebase FROM files) USING (codebase)) WHERE rank <= 10"),
+    "m3_library_exponents": sql(*C, FIT, LINES, "m AS (SELECT lines.*, row_number() OVER (PARTITION BY lines.codebase, line ORDER BY seq, line_no) AS nth FROM lines JOIN ord ON ord.codebase = lines.codebase AND ord.file_id = lines.file_id)",
+        f"n AS (SELECT language, codebase, file_id, line_no, CASE WHEN nth > 1 AND len({_words('line')}) >= 2 THEN '@' || substr(md5(line), 1, 6) ELSE line END AS line FROM m)", "new AS (SELECT language, codebase, file_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM n GROUP BY ALL)",
+        _tokens("new", "ltok"), _adaptive("ltok", "lb1"), f"lc AS (SELECT language, {BUCKET} AS bucket, round(sum(ubits) / 1e6 / sum(n_bytes), 6) AS bpb FROM lb1 GROUP BY ALL)", _fit("lc", "lf", "language"),
+        "SELECT language, fit.b AS b_before, lf.b AS b_after, round(lf.b - fit.b, 6) AS change FROM fit JOIN lf USING (language)"),
 }

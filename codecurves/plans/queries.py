@@ -206,6 +206,13 @@ def b10_tokenizer_bias(x):
     return predictors.normalise_units(both, ["language", "tokenizer"]).select("language", "tokenizer", "n", "ubits", "bits_per_token", "bpb")
 
 
+@query
+def b10_position_bias(x):
+    chars = corpus.assign_positions(corpus.tokenize(x.files, "char"), x.order)
+    both = x.losses.withColumn("tokenizer", F.lit("word")).unionByName(predictors.score_adaptive(chars).withColumn("tokenizer", F.lit("char")))
+    return predictors.tokenizer_bias(stored(both.select("language", "codebase", "file_id", "i", "n_bytes", "ubits", "tokenizer"), "tokenizers"), x.order)
+
+
 @query
 def c1_loss_by_position(x):
     return x.curve
@@ -340,9 +347,15 @@ def g1_ablate(x):
     return lines.groupBy("variant", "language").agg(F.count("*").alias("n_lines"), total(F.octet_length("line")).alias("n_bytes"))
 
 
+@query
+def g1_code_components(x):
+    lines = semantics.ablate_code(x.files)
+    return lines.groupBy("variant", "language").agg(F.count("*").alias("n_lines"), total(F.octet_length("line")).alias("n_bytes"))
+
+
 @query
 def g2_ablation_effect(x):
-    return semantics.ablation_effect(stored(semantics.variant_losses(semantics.ablate(x.files, ("full", "no_repeats", "no_first_line")), x.order), "variants"))
+    return semantics.ablation_effect(stored(semantics.variant_losses(semantics.ablate(x.files), x.order), "variants"))
 
 
 @query
@@ -355,11 +368,21 @@ def h2_hotspots(x):
     return semantics.hotspots(x.losses)
 
 
+@query
+def h2_hotspot_lines(x):
+    return semantics.hotspot_lines(x.losses, x.files)
+
+
 @query
 def h3_predictable_runs(x):
     return semantics.predictable_runs(x.losses)
 
 
+@query
+def h3_common_runs(x):
+    return semantics.common_runs(x.losses).drop("run")
+
+
 @query
 def h4_inconsistent_identifiers(x):
     return semantics.inconsistent_identifiers(corpus.tokenize(x.files))
@@ -377,7 +400,13 @@ def i1_context_contribution(x):
 
 @query
 def i2_greedy_coreset(x):
-    return context.greedy_coreset(context.rare_terms(corpus.tokenize(x.files)))
+    sizes = x.files.select("codebase", "file_id", F.octet_length("content").cast("long").alias("n_bytes"))
+    return context.greedy_coreset(context.rare_terms(corpus.tokenize(x.files)), sizes)
+
+
+@query
+def i2_coreset_growth(x):
+    return context.coreset_growth(QUERIES["i2_greedy_coreset"](x.spark, x.dir))
 
 
 @query
@@ -403,6 +432,14 @@ def j1_refactor_delta(x):
     return context.refactor_delta(x.files, after, x.losses, predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(after), x.order)))
 
 
+@query
+def j1_exponent_change(x):
+    after = stored(_after(x), "after")
+    curve = lambda d: curves.by_codebase(d).withColumn("bpb", curves.bpb())
+    new = predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(after), x.order))
+    return fits.exponent_change(curve(x.losses), curve(new), ["language", "codebase"])
+
+
 @query
 def j2_revision_trend(x):
     c = table(x.spark, x.dir, "conversations")
@@ -432,6 +469,12 @@ def k3_paired_contrast(x):
     return context.paired_contrast(_pairs(x), stored(x.file_losses, "file-losses"))
 
 
+@query
+def k3_exponent_contrast(x):
+    b = fits.file_exponents(x.losses).select("language", "file_id", F.col("b").alias("bpb"))
+    return context.paired_contrast(_pairs(x), stored(b, "file-exponents"))
+
+
 @query
 def k3_spec_contrast(x):
     labels = table(x.spark, x.dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
@@ -460,6 +503,11 @@ def m1_reuse_stats(x):
     return context.reuse_stats(x.files, x.edges)
 
 
+@query
+def m1_top_symbols(x):
+    return context.top_symbols(x.files, x.edges)
+
+
 @query
 def m2_repair_locality(x):
     return context.repair_locality(*fixtures.repairs(x.spark, x.dir))
@@ -471,6 +519,12 @@ def m3_library_compression(x):
     return context.library_compression(x.losses, predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(new), x.order)))
 
 
+@query
+def m3_library_exponents(x):
+    new = context.with_library(x.files, x.order)
+    return fits.exponent_change(x.curve, curves.loss_by_position(predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(new), x.order))), ["language"])
+
+
 @query
 def m4_variance_decomposition(x):
     return context.variance_decomposition(stored(fits.codebase_exponents(x.losses), "exponents"), fixtures.traits(x.spark))
