@@ -256,12 +256,17 @@ def quality_matched(specs: DataFrame) -> DataFrame:
 
 
 def adjust_for_domain(items: DataFrame) -> DataFrame:
-    """items: language, topic, y. Language means before and after taking out topic means, and whether the sign about the mean turns."""
-    t = items.groupBy("language", "topic").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    by_topic = items.groupBy("topic").agg(F.avg("y").alias("topic_mean"))
-    grand = items.agg(F.avg("y").alias("grand"))
-    l = t.join(by_topic, "topic").groupBy("language").agg((F.sum("s") / F.sum("n")).alias("m"), (F.sum(F.col("s") - F.col("n") * F.col("topic_mean")) / F.sum("n")).alias("adj"))  # noqa: E741
-    l = l.crossJoin(F.broadcast(grand)).select("language", r6(F.col("m") - F.col("grand")).alias("naive"), r6("adj").alias("adjusted"))  # noqa: E741  one row
+    """items: language, topic, y. Language means before and after taking out topic means, and whether the sign about the mean turns. y is
+    counted in whole millionths, so that sums don't depend on order."""
+    i = items.select("language", "topic", F.round(F.col("y") * 1e6).cast("long").alias("u"))
+    t = i.groupBy("language", "topic").agg(total("u").alias("s"), F.count("*").alias("n"))
+    by_topic = t.groupBy("topic").agg(total("s").alias("ts"), total("n").alias("tn"))
+    grand = t.agg(total("s").alias("gs"), total("n").alias("gn"))
+    d = lambda c: F.col(c).cast("double")
+    beyond = F.round((d("s") - F.col("n") * (d("ts") / F.col("tn"))) * F.lit(1e3)).cast("long")
+    l = t.join(by_topic, "topic").groupBy("language").agg(total("s").alias("s"), total("n").alias("n"), total(beyond).alias("r")).crossJoin(F.broadcast(grand))  # noqa: E741  one row
+    naive = r6(d("s") / F.col("n") / F.lit(1e6) - d("gs") / F.col("gn") / F.lit(1e6))
+    l = l.select("language", naive.alias("naive"), r6(d("r") / F.lit(1e9) / F.col("n")).alias("adjusted"))  # noqa: E741
     return l.withColumn("sign_changes", F.signum("naive") * F.signum("adjusted") < 0)
 
 
@@ -320,9 +325,11 @@ def repair_locality(repairs: DataFrame, files: DataFrame) -> DataFrame:
 def with_library(files: DataFrame, order: DataFrame, min_words: int = 2) -> DataFrame:
     """Files whose lines repeated in the codebase are kept once and then named by a short reference."""
     l = files.select("language", "codebase", "file_id", "path", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).join(order.select("codebase", "file_id", "seq"), ["codebase", "file_id"])  # noqa: E741
-    nth = F.row_number().over(Window.partitionBy("codebase", "line").orderBy("seq", "line_no"))
+    long = F.size(words(F.col("line"))) >= min_words
+    own = F.when(~long, F.concat_ws(":", "file_id", "line_no"))  # lines that stay as they are meet in no task
+    nth = F.row_number().over(Window.partitionBy("codebase", "long", "own", F.when(F.col("long"), F.col("line"))).orderBy("seq", "line_no"))
     ref = F.concat(F.lit("@"), F.substring(F.md5(F.col("line").cast("binary")), 1, 6))
-    l = l.withColumn("line", F.when((nth > 1) & (F.size(words(F.col("line"))) >= min_words), ref).otherwise(F.col("line")))  # noqa: E741
+    l = l.withColumns({"long": long, "own": own}).withColumn("line", F.when(F.col("long") & (nth > 1), ref).otherwise(F.col("line")))  # noqa: E741
     g = l.groupBy("language", "codebase", "file_id", "path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return g.select("language", "codebase", "file_id", "path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
 

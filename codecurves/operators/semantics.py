@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parity import bucket, r6, total, words
+from ..functions.parity import bucket, r6, total, whole_t, words
 from .predictors import score_adaptive
 
 VARIANTS = ("full", "no_first_line", "no_repeats", "no_punctuation", "no_blank")
@@ -62,9 +62,9 @@ def ablation_effect(losses: DataFrame) -> DataFrame:
     full = losses.filter("variant = 'full'").select("codebase", "file_id", "i", "token", bucket(F.col("pos")).alias("bucket"), F.col("ubits").alias("full"))
     part = losses.filter("variant <> 'full'").select("variant", "codebase", "file_id", "i", "token", "ubits")
     d = part.join(full, ["codebase", "file_id", "i", "token"]).groupBy("variant", "codebase", "bucket").agg(F.count("*").alias("n"), total(F.col("ubits") - F.col("full")).alias("d"))
-    x = F.col("d") / F.lit(1e6) / F.col("n")
-    s = d.groupBy("variant", "bucket").agg(F.count("*").alias("n_codebases"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
-    s = s.select("variant", "bucket", "n_codebases", r6("m").alias("mean_bits"), F.when(F.col("sd") > 1e-9, F.round(F.col("m") / F.col("sd") * F.sqrt("n_codebases"), 4)).alias("t"))
+    d = d.withColumn("x", F.round(F.col("d") * F.lit(1e3) / F.col("n")).cast("long"))  # whole billionths: sums don't depend on order
+    s = d.groupBy("variant", "bucket").agg(F.count("*").alias("n_codebases"), total("x").alias("s"), F.sum(F.col("x").cast("decimal(19,0)") * F.col("x").cast("decimal(19,0)")).alias("q"))
+    s = s.select("variant", "bucket", "n_codebases", r6(F.col("s").cast("double") / F.lit(1e9) / F.col("n_codebases")).alias("mean_bits"), whole_t("n_codebases", "s", "q").alias("t"))
     tail = F.bool_and(F.col("mean_bits") > 0).over(Window.partitionBy("variant").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = s.withColumn("tail", tail)
     return s.withColumn("helps_from", F.coalesce(F.min(F.when(F.col("tail"), F.col("bucket"))).over(Window.partitionBy("variant")), F.lit(-1))).drop("tail")

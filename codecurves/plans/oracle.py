@@ -257,8 +257,8 @@ ORACLE = {
         f"u AS (SELECT variant, codebase, file_id, line_no, unnest(range(len(w))) AS k, unnest(w) AS token FROM (SELECT *, {_words('line')} AS w FROM v))",
         "t AS (SELECT u.*, strlen(token) + 1 AS n_bytes, row_number() OVER (PARTITION BY variant, codebase ORDER BY seq, line_no, k) AS pos FROM u JOIN ord USING (codebase, file_id))", _adaptive("t", "vb", "variant,"),
         f"d AS (SELECT p.variant, codebase, CAST(floor(log2(f.pos) + 1e-9) AS INTEGER) AS bucket, count(*) AS n, sum(p.ubits - f.ubits) AS d FROM vb p JOIN vb f USING (codebase, file_id, line_no, k, token) WHERE p.variant <> 'full' AND f.variant = 'full' GROUP BY ALL)",
-        "s AS (SELECT variant, bucket, count(*) AS n_codebases, avg(d / 1e6 / n) AS m, stddev_samp(d / 1e6 / n) AS sd FROM d GROUP BY ALL)",
-        "r AS (SELECT variant, bucket, n_codebases, round(m, 6) AS mean_bits, CASE WHEN sd > 1e-9 THEN round(m / sd * sqrt(n_codebases), 4) END AS t FROM s)",
+        "x AS (SELECT variant, bucket, CAST(round(d * 1e3 / n) AS BIGINT) AS x FROM d)", "s AS (SELECT variant, bucket, count(*) AS n, CAST(sum(x) AS HUGEINT) AS s, CAST(sum(CAST(x AS HUGEINT) * x) AS HUGEINT) AS q FROM x GROUP BY ALL)",
+        "r AS (SELECT variant, bucket, n AS n_codebases, round(CAST(s AS DOUBLE) / 1e9 / n, 6) AS mean_bits, CASE WHEN n * q > s * s THEN round(CAST(s AS DOUBLE) * sqrt(CAST(n - 1 AS DOUBLE)) / sqrt(CAST(n * q - s * s AS DOUBLE)), 4) END AS t FROM s)",
         "h AS (SELECT *, bool_and(mean_bits > 0) OVER (PARTITION BY variant ORDER BY bucket DESC) AS tail FROM r)", "SELECT * EXCLUDE (tail), coalesce(min(CASE WHEN tail THEN bucket END) OVER (PARTITION BY variant), -1) AS helps_from FROM h"),
     "h1_component_loss": sql(*L, "c AS (SELECT language, ubits, CASE WHEN regexp_matches(token, '^[0-9]') THEN 'number' WHEN regexp_matches(token, '[.,;:!?]$') THEN 'punctuated' WHEN regexp_matches(token, '^[A-Z]') THEN 'capitalised' ELSE 'word' END AS class FROM b1)",
         "SELECT language, class, count(*) AS n, CAST(sum(ubits) AS BIGINT) AS ubits, quantile_cont(ubits, 0.25) AS q1, quantile_cont(ubits, 0.5) AS q2, quantile_cont(ubits, 0.75) AS q3, round(sum(ubits) / sum(sum(ubits)) OVER (PARTITION BY language), 6) AS share FROM c GROUP BY language, class"),
@@ -293,8 +293,10 @@ ORACLE = {
     "k3_paired_contrast": sql(*L, FLOSS, *PAIRS, CONTRAST.format(pairs="pairs")),
     "k3_spec_contrast": sql(*L, FLOSS, "sp AS (SELECT file_id // 4 AS spec, language, file_id, quality FROM files JOIN labels ON doc_id = file_id)",
         "sq AS (SELECT a.language AS lang_a, b.language AS lang_b, a.file_id AS file_a, b.file_id AS file_b FROM sp a JOIN sp b ON a.spec = b.spec AND a.language < b.language AND a.quality = b.quality)", CONTRAST.format(pairs="sq")),
-    "k4_adjust_for_domain": sql(*L, FLOSS, "it AS (SELECT language, label AS topic, bpb AS y FROM floss JOIN embeddings ON vec_id = file_id)",
-        "r AS (SELECT language, y - avg(y) OVER () AS n, y - avg(y) OVER (PARTITION BY topic) AS a FROM it)", "s AS (SELECT language, round(avg(n), 6) AS naive, round(avg(a), 6) AS adjusted FROM r GROUP BY ALL)", "SELECT *, sign(naive) * sign(adjusted) < 0 AS sign_changes FROM s"),
+    "k4_adjust_for_domain": sql(*L, FLOSS, "a AS (SELECT language, label AS topic, sum(CAST(round(bpb * 1e6) AS BIGINT)) AS s, count(*) AS n FROM floss JOIN embeddings ON vec_id = file_id GROUP BY ALL)",
+        "b AS (SELECT topic, CAST(sum(s) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS t FROM a GROUP BY ALL)", "g AS (SELECT CAST(sum(s) AS DOUBLE) / CAST(sum(n) AS DOUBLE) / 1e6 AS g FROM a)",
+        "r AS (SELECT language, sum(s) AS s, CAST(sum(n) AS DOUBLE) AS n, sum(CAST(round((CAST(s AS DOUBLE) - n * t) * 1e3) AS BIGINT)) AS r FROM a JOIN b USING (topic) GROUP BY ALL)",
+        "z AS (SELECT language, round(CAST(s AS DOUBLE) / n / 1e6 - g, 6) AS naive, round(CAST(r AS DOUBLE) / 1e9 / n, 6) AS adjusted FROM r, g)", "SELECT *, sign(naive) * sign(adjusted) < 0 AS sign_changes FROM z"),
     "l1_icl_gain": sql(*L, *FROZEN, f"s AS (SELECT frozen.language, CAST(floor(log2(frozen.pos) + 1e-9) AS INTEGER) AS bucket, count(*) AS n, round(sum(frozen.ubits - b1.ubits) / 1e6 / count(*), 6) AS gain FROM frozen JOIN b1 USING (codebase, file_id, i) GROUP BY ALL)",
         "SELECT *, round(regr_slope(gain, CAST(bucket AS DOUBLE)) OVER (PARTITION BY language), 6) AS slope FROM s"),
     "l2_split_train_test": sql(FILES, f"p AS (SELECT language, file_id, content, CASE WHEN {_u32('split', 'file_id')} % 100 < 20 THEN 'test' ELSE 'train' END AS part FROM files)",
