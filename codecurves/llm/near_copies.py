@@ -181,7 +181,8 @@ def _candidates(nodes: DataFrame, hot: int) -> DataFrame:
 def _sets(docs: DataFrame, prints: DataFrame, label: DataFrame) -> DataFrame:
     """node, label, n and own (the set's hashes) of every node in a loose group, from one of its rows."""
     row = F.min(F.struct("doc_id", "hash"))
-    chosen = prints.join(label, "node").groupBy("node", "label").agg(row.alias("r")).select("node", "label", F.col("r.doc_id").alias("__id"), F.col("r.hash").alias("__hash"))
+    firsts = prints.groupBy("node").agg(row.alias("r"))  # partly before the shuffle: many copies of one text are one row a task
+    chosen = firsts.join(label, "node").select("node", "label", F.col("r.doc_id").alias("__id"), F.col("r.hash").alias("__hash"))
     texts = docs.select("doc_id", _hash(), "text")
     found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("node", "label", "text")
 
