@@ -79,30 +79,37 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+#: The prime 2^31 - 1, and the two bases of the polynomials that tell byte spans.
+PRIME = (1 << 31) - 1
+BASES = (1_103_515_245, 715_827_883)
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        _powers[name] = np.multiply.accumulate(out)
-    return _powers[name][:n]
+def _power(base: int, n: int) -> np.ndarray:
+    """base to the 0, 1, ... n - 1, modulo PRIME."""
+    held = _powers.get(base, np.ones(1, np.uint32))
+    while len(held) < n:
+        step = pow(base, len(held), PRIME)
+        held = np.append(held, (held.astype(np.int64) * step % PRIME).astype(np.uint32))
+    _powers[base] = held
+    return held[:n]
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans, equal for equal bytes wherever they stand."""
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power("up", _BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", pow(_BASE, -1, 2**64), n + 1)[starts]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    """62-bit hashes of byte spans, equal for equal bytes wherever they stand: two polynomials modulo a prime. A polynomial of degree d has
+    d roots at most, so two different spans of n bytes are taken for one another with a chance of (n / 2^31)^2 at most over the choice of
+    bases; typical spans with one of 2^-62."""
+    n, out = len(buf), np.zeros(len(starts), np.uint64)
+    value = buf.astype(np.int64) + 1
+    for base in BASES:
+        total = np.zeros(n + 1, np.int64)
+        terms = value * _power(base, n)
+        np.cumsum(terms if n < 1 << 22 else terms % PRIME, out=total[1:])
+        h = (total[ends] - total[starts]) % PRIME * _power(pow(base, -1, PRIME), n + 1)[starts] % PRIME
+        out = (out << np.uint64(31)) | h.astype(np.uint64)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
 #: Parts that the edges of one node are dealt to in a star round, so that a hub's edges are several tasks' work.

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, joined, pieces, span_hashes, spans, stored, utf8
+from .common import ALNUM, LOWER, joined, pieces, spans, stored, utf8
 from .suffixes import FMIndex
 
 WINDOW = 10
@@ -24,12 +25,15 @@ SHARD_BYTES, PART_BYTES = 3 << 20, 16 << 20
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<first_word:long,end_word:long,start_byte:long,end_byte:long>>"
 
 
-def _cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words of the rows: hash, row, start and end byte in the row."""
+def _cut(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the rows: lower-case bytes, row, start and end byte in the row."""
     buf, at = joined(LOWER[data], offs)
-    a, b = spans(ALNUM[buf])
+    inside = ALNUM[buf]
+    a, b = spans(inside)
     row = np.searchsorted(at, a, "right") - 1
-    return span_hashes(buf, a, b) ^ (b - a).astype(np.uint64), row, a - at[row], b - at[row]
+    edge = np.append(0, np.cumsum(b - a))
+    words = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(edge), pa.py_buffer(buf[inside])])
+    return words, row, a - at[row], b - at[row]
 
 
 class Phrases:
@@ -37,9 +41,9 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         texts = pa.array([t for _, t in items], pa.string())
-        h, row, _, _ = _cut(*utf8(texts))
-        self.vocabulary, symbol = np.unique(h, return_inverse=True)
-        symbol = symbol + 2
+        words, row, _, _ = _cut(*utf8(texts))
+        each = words.dictionary_encode()
+        self.vocabulary, symbol = each.dictionary, each.indices.to_numpy().astype(np.int64) + 2
         first = np.searchsorted(row, np.arange(len(items) + 1))
         seen: dict[tuple[int, ...], set[str]] = {}
         for k, (item, _) in enumerate(items):
@@ -53,13 +57,13 @@ class Phrases:
         self.items = list(seen.values())
         self.least = int(self.lengths.min()) if seen else 0
 
-    def find(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, words: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, word) of each occurrence in a shard's words."""
         none = np.zeros(0, np.int64)
-        if not self.items or not len(h):
+        if not self.items or not len(words):
             return none, none
-        k = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        word = np.flatnonzero(self.vocabulary[k] == h)
+        k = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy().astype(np.int64)
+        word = np.flatnonzero(k >= 0)
         if not word.size:
             return none, none
         new = np.concatenate([[True], (np.diff(word) > 1) | (np.diff(row[word]) > 0)])
@@ -78,11 +82,11 @@ class Phrases:
 
 def _leaks(phrases: Phrases, texts: pa.Array) -> list[tuple]:
     """(n_words, n_hit, items, merged spans) of each text."""
-    h, row, a, b = _cut(*utf8(texts))
-    phrase, at = phrases.find(h, row)
+    word, row, a, b = _cut(*utf8(texts))
+    phrase, at = phrases.find(word, row)
     end = at + phrases.lengths[phrase] if len(at) else at
-    hit = np.cumsum(np.bincount(at, minlength=len(h) + 1) - np.bincount(end, minlength=len(h) + 1))[: len(h)] > 0
-    edge = np.concatenate([[True], np.diff(row) > 0]) if len(h) else hit
+    hit = np.cumsum(np.bincount(at, minlength=len(word) + 1) - np.bincount(end, minlength=len(word) + 1))[: len(word)] > 0
+    edge = np.concatenate([[True], np.diff(row) > 0]) if len(word) else hit
     first = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
     last = np.flatnonzero(hit & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([hit[1:], [False]])))
     n = len(texts)
@@ -189,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     A null text has no words. Items with a null id or text, or no word, have no windows. Repeated rows are searched each for
     themselves; an empty table gives no rows, an empty benchmark no hits; other columns are ignored. Documents aren't shuffled, unless
     the benchmark is larger than one broadcast may be: then each part has its pass, and a document's findings are merged by key. Words
-    count as equal by a 64-bit hash: of n distinct words about n * n / 2^65 pairs are taken for one another."""
+    are compared by their bytes."""
     kind, sc = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext
     items, parts = _items(benchmark)
     if parts == 1:

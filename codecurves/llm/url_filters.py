@@ -7,8 +7,8 @@ join, and only those run their regular expression.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,46 +21,110 @@ SALTS = 16
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def literal_tokens(pattern: str) -> tuple[str, ...]:
-    """The tokens [a-z0-9]+ (lower case) that every string matching the pattern holds as whole tokens: runs of letters and digits with a
-    sign, or an anchor, on either side. What may be left out, repeated or chosen gives none, so the list may be short but never wrong."""
-    border, unsure, run, found = "border", "unsure", "", []
-    items: list = [unsure]
-
-    def edge(parsed) -> bool:
-        """Whether every match of a part is one sign that is neither letter nor digit."""
-        if len(parsed) != 1:
-            return False
-        op, arg = parsed[0]
-        if str(op) == "SUBPATTERN":
-            return edge(arg[3])
-        if str(op) == "IN":
-            return all(str(o) == "LITERAL" and not chr(c).isalnum() for o, c in arg)
-        return str(op) == "LITERAL" and not chr(arg).isalnum()
-
-    def read(parsed) -> None:
-        for op, arg in parsed:
-            name = str(op)
-            if name == "LITERAL":
-                c = chr(arg).lower()
-                items.append(c if c.isascii() and c.isalnum() else unsure if c.isalnum() else border)
-            elif name == "AT":
-                items.append(border)
-            elif name == "SUBPATTERN":
-                read(arg[3])
-            elif edge([(op, arg)]) or (name in ("MAX_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1 and edge(arg[2])):
-                items.append(border)
-            elif name == "MAX_REPEAT" and arg[0] == 0 and arg[1] == 1 and edge(list(arg[2])[-1:] if str(arg[2][0][0]) != "SUBPATTERN" else list(arg[2][0][1][3])[-1:]):
-                items.append(border if items[-1] == border else unsure)  # left out or not, a sign stands before what follows
+BORDER, UNSURE = "border", "unsure"
+_SIGNS = frozenset("!\"#%&',-/:;<=>@_`~ ")
+_CLASS = re.compile(r"\[((?:\\[^A-Za-z0-9]|[-!\"#$%&'()*+,./:;<=>?@_`{|}~ ])+)\]")
+_COUNT = re.compile(r"(\?|\*|\+|\{(\d+)(?:,\d*)?\})[?+]?")
+
+
+class _Reader:
+    """Reads a pattern into a list of items, one for each of its parts in a row: a letter or digit, BORDER (one or more signs that are
+    neither, or an end of the text), or UNSURE (anything else). What it doesn't know for certain raises ValueError."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern.removeprefix("(?i)"), 0
+
+    def options(self) -> list[list[str]]:
+        out: list[list[str]] = [[]]
+        while self.at < len(self.text) and self.text[self.at] != ")":
+            if self.text[self.at] == "|":
+                self.at += 1
+                out.append([])
+            else:
+                self.part(out[-1])
+        return out
+
+    def part(self, items: list[str]) -> None:
+        c, inner = self.text[self.at], None
+        if c == "(":
+            self.at += 1
+            if self.text.startswith("?", self.at):
+                if not self.text.startswith("?:", self.at):
+                    raise ValueError("a group with a flag, a name or a look around it")
+                self.at += 2
+            inner = self.options()
+            if not self.text.startswith(")", self.at):
+                raise ValueError("an open group")
+            self.at += 1
+            one = [UNSURE]
+        elif c == "[":
+            known = _CLASS.match(self.text, self.at)
+            if known and "&&" not in known[1] and not re.search(r"(?<=.)(?<!\\)-(?=.)", known[1]):
+                self.at, one = known.end(), [BORDER]
             else:
-                items.append(unsure)
+                self.skip_class()
+                one = [UNSURE]
+        elif c == "\\":
+            d = self.text[self.at + 1 : self.at + 2]
+            if not d or not d.isascii() or (d.isalnum() and d not in "dDwWsSbB"):
+                raise ValueError(f"an escape: {d}")
+            self.at += 2
+            one = [UNSURE if d.isalnum() else BORDER]
+        elif c in "^$":
+            self.at, one = self.at + 1, [BORDER]
+        else:
+            if c in ")]{}*+?":
+                raise ValueError(f"a bare {c}")
+            self.at += 1
+            one = [c.lower() if c.isascii() and c.isalnum() else BORDER if c in _SIGNS else UNSURE]
+        count = _COUNT.match(self.text, self.at)
+        if not count:
+            if inner and len(inner) > 1:  # what all options begin with
+                same = [k for k, x in enumerate(zip(*inner)) if len(set(x)) > 1]
+                one = inner[0][: same[0] if same else min(map(len, inner))] + [UNSURE]
+            items += inner[0] if inner and len(inner) == 1 else one
+            return
+        self.at = count.end()
+        if self.text[self.at : self.at + 1] in {"?", "*", "+", "{"} - {""}:
+            raise ValueError("a count of a count")
+        before = items[-1] if items else UNSURE
+        if one == [BORDER] and c not in "^$" and (count[1] == "+" or int(count[2] or 0) >= 1):
+            items.append(BORDER)
+        elif inner and len(inner) == 1 and inner[0][-1:] == [BORDER] and before == BORDER:
+            items.append(BORDER)  # however often it stands there, a sign stands before what follows
+        else:
+            items.append(UNSURE)
+
+    def skip_class(self) -> None:
+        at = self.at + 1 + self.text.startswith("[^", self.at)
+        at += self.text.startswith("]", at)
+        while at < len(self.text) and self.text[at] != "]":
+            if self.text[at] == "[" or self.text.startswith("&&", at):
+                raise ValueError("a class in a class")
+            at += 2 if self.text[at] == "\\" else 1
+        self.at = at + 1
 
-    read(_parser.parse(pattern))
-    for k, item in enumerate([*items, unsure]):
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The tokens [a-z0-9]+ (lower case) that every string matching the pattern holds as whole tokens: runs of letters and digits with a
+    sign, or an end of the text, on either side. What may be left out, repeated or chosen gives none, nor does a pattern with anything
+    that the reader doesn't know: the list may be short but never wrong."""
+    reader = _Reader(pattern)
+    try:
+        options = reader.options()
+        if reader.at < len(reader.text):
+            raise ValueError("a bare )")
+    except ValueError:
+        return ()
+    if len(options) > 1:
+        return ()
+    found, run, before = [], "", UNSURE
+    for k, item in enumerate([*options[0], UNSURE]):
         if len(item) == 1:
-            run, before = run + item, items[k - 1] if not run else before
+            before = before if run else options[0][k - 1] if k else UNSURE
+            run += item
         else:
-            if run and before == item == border:
+            if run and before == item == BORDER:
                 found.append(run)
             run = ""
     return tuple(dict.fromkeys(found))
