@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parity import bucket, r6, total, ubits
+from ..functions.storage import stored
 
 KEYS = ["language", "codebase", "file_id", "i", "pos", "token", "n_bytes", "n_chars"]
 
@@ -33,59 +34,116 @@ def _with_context(tokens: DataFrame, scope: list[str]) -> DataFrame:
     return tokens.join(before, own).withColumn("ctx", F.coalesce(within, "before")).drop("before")
 
 
-def score_adaptive(tokens: DataFrame, alpha: float = 1.0, beta: float = 1.0, by: list[str] | None = None, window: int | None = None) -> DataFrame:
+#: Positions of a codebase that one task ranks at a time.
+BLOCK = 1 << 18
+
+
+def _ranks(code: np.ndarray) -> np.ndarray:
+    """How many equal numbers stand before each."""
+    order = np.argsort(code, kind="stable")
+    new = np.append(True, code[order][1:] != code[order][:-1])[: len(code)]
+    out = np.empty(len(code), np.int64)
+    out[order] = np.arange(len(code)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return out
+
+
+def _off(code: np.ndarray, told: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """value of the numbers that `told` names, 0 of others."""
+    if not len(told):
+        return np.zeros(len(code), np.int64)
+    order = np.argsort(told)
+    k = np.minimum(np.searchsorted(told[order], code), len(told) - 1)
+    return np.where(told[order][k] == code, value[order][k], 0)
+
+
+def _rank_block(tokens: pa.Table, told: pa.Table, keep: list[str]) -> pa.Table:
+    """keep, ctx, and the counts cw, cc and ccw before each token of a block. told: rows (kind, ctx, token, off): 0 the token before the
+    block and how often it came before itself; 1 how often a word, 2 a pair came in earlier blocks."""
+    tokens = tokens.sort_by("pos")
+    kind, off = told["kind"].to_numpy(), told["off"].to_numpy()
+    first = int(np.flatnonzero(kind == 0)[0])
+    words = pa.chunked_array([pa.array([told["token"][first].as_py()], pa.string()), *tokens["token"].chunks]).combine_chunks().dictionary_encode()
+    code, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+    own = lambda c, k: pc.fill_null(pc.index_in(told[c].filter(pa.array(kind == k)), value_set=words.dictionary), -1).to_numpy().astype(np.int64)
+    token, ctx = code[1:], code[:-1]
+    cw = _ranks(token) + _off(token, own("token", 1), off[kind == 1])
+    ccw = _ranks(ctx * n + token) + _off(ctx * n + token, own("ctx", 2) * n + own("token", 2), off[kind == 2])
+    cc = np.append(off[first], cw[:-1])
+    # an empty context also stands at the codebase's start, where no empty token came before
+    at_start = tokens["scope_pos"].to_numpy() == 1
+    empty = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)[ctx]
+    cc = np.where(at_start, 0, cc + (empty & ~at_start))
+    kept = tokens.select(keep)
+    made = [words.dictionary.take(pa.array(ctx)), *(pa.array(x) for x in (cw, cc, ccw))]
+    return pa.table([*kept.columns, *made], names=[*keep, "ctx", "cw", "cc", "ccw"])
+
+
+def score_adaptive(tokens: DataFrame, alpha: float = 1.0, beta: float = 1.0, by: list[str] | None = None, window: int | None = None, block: int = BLOCK) -> DataFrame:
     """Online order-1 predictor: each token is predicted from what came before it in its codebase, then learnt. by: more columns that part
-    codebases (variants, revisions). Counts before a token are ranks among equal tokens and contexts, so tokens are dealt by those and
-    not by codebase. window: forget everything every so many positions; a window is one partition's work."""
-    scope = [*(by or []), "codebase"]
+    codebases (variants, revisions). window: forget everything every so many positions.
+
+    Counts before a token have two levels: those of earlier blocks of positions, summed over blocks (one row for each word or pair of
+    a block, not for each occurrence), and ranks inside the block. So tokens are dealt by block, once, and neither a large codebase, a
+    large file nor a word that is a third of it is one task's work. How often a context came before is how often its token had come before
+    itself, one place up."""
+    by, scope = by or [], [*(by or []), "codebase"]
     pos = F.col("pos")
     if window:
         tokens = tokens.withColumn("part", F.floor((pos - 1) / window).cast("long"))
         scope, pos = [*scope, "part"], (pos - 1) % window + 1
-    t = tokens.withColumn("ctx", F.coalesce(F.lag("token").over(Window.partitionBy(*scope).orderBy("pos")), F.lit(""))) if window else _with_context(tokens, scope)
-    before = lambda *cols: (F.row_number().over(Window.partitionBy(*scope, *cols).orderBy("pos")) - 1).cast("double")
-    t = t.withColumns({"cw": before("token"), "cc": before("ctx"), "ccw": before("ctx", "token")})
-    bits = code_length((pos - 1).cast("double"), F.col("cw"), F.col("cc"), F.col("ccw"), F.col("n_bytes"), alpha, beta)
-    return t.select(*(by or []), *KEYS, "ctx", ubits(bits).alias("ubits"))
-
-
-def _counts_within(t: DataFrame, keys: list[str], rungs: list[int], name: str) -> DataFrame:
-    """t with how often its keys occur among the last W positions before each row, for each W: columns name_W.
-
-    Rows are dealt by key and read in order of position, in batches; a batch keeps the last max(W) positions of its last key, whatever
-    the key's size, and one search in sorted places counts all windows."""
-    cols, wide = [f"{name}_{r}" for r in rungs], max(rungs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.int64)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            own = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            new = np.zeros(n, bool)
-            for c in own:
-                new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
-            first = tuple(c[0].as_py() for c in own)
-            pos = batch.column(batch.schema.get_field_index("pos")).to_numpy()
-            place = (np.cumsum(new) << 44) + pos  # windows never reach into the key before
-            before = held[held >= pos[0] - wide] if first == last else held[:0]
-            every = np.concatenate([before, place])
-            at = np.arange(len(before), len(every))
-            made = [pa.array((at - np.searchsorted(every, place - r)).astype(np.int64)) for r in rungs]
-            tail = every[every >> 44 == every[-1] >> 44] & ((1 << 44) - 1)
-            last, held = tuple(c[n - 1].as_py() for c in own), tail[tail > tail[-1] - wide]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *cols])
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in t.schema] + [f"{c} long" for c in cols])
-    return t.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(run, schema)
-
-
-def score_limited_context(tokens: DataFrame, rungs: list[int]) -> DataFrame:
-    """Losses of the same tokens when only the last W positions are visible, for each W of rungs (columns KEYS, rung, ubits)."""
-    t = _with_context(tokens, ["codebase"]).select(*KEYS, "ctx")
-    for name, keys in (("cw", ["codebase", "token"]), ("cc", ["codebase", "ctx"]), ("ccw", ["codebase", "ctx", "token"])):
-        t = _counts_within(t, keys, rungs, name)
+    key = [*scope, "block"]
+    cols = list(dict.fromkeys([*by, *KEYS, *scope]))
+    t = stored(tokens.select(*cols, F.floor((F.col("pos") - 1) / block).cast("long").alias("block"), pos.cast("long").alias("scope_pos")), "blocks")
+    over = Window.partitionBy(*scope)
+    ends = t.groupBy(*key).agg(F.max_by("token", "pos").alias("last"))
+    ends = stored(ends.select(*key, "last", F.coalesce(F.lag("last").over(over.orderBy("block")), F.lit("")).alias("before"), F.count("*").over(over).alias("blocks")), "ends")
+    # where a codebase has several blocks, what the earlier ones held
+    many = t.join(ends.filter("blocks > 1").select(*key, "before"), key).withColumn("ctx", F.coalesce(F.lag("token").over(Window.partitionBy(*key).orderBy("pos")), "before"))
+    held = lambda *c: many.groupBy(*key, *c).agg(F.count("*").alias("n")).withColumn("off", F.sum("n").over(Window.partitionBy(*scope, *c).orderBy("block")) - F.col("n"))
+    word, none = stored(held("token"), "words"), F.lit(None).cast("string").alias("ctx")
+    seen = ends.join(word.select(*key, F.col("token").alias("last"), (F.col("n") + F.col("off") - 1).alias("seen")), [*key, "last"], "left")
+    seen = seen.select(*key, F.lit(0).alias("kind"), none, F.col("before").alias("token"), F.coalesce(F.lag("seen").over(over.orderBy("block")), F.lit(0)).cast("long").alias("off"))
+    told = seen.unionByName(word.filter("off > 0").select(*key, F.lit(1).alias("kind"), none, "token", "off")).unionByName(held("ctx", "token").filter("off > 0").select(*key, F.lit(2).alias("kind"), "ctx", "token", "off"))
+    keep = [*by, *KEYS, "scope_pos"]
+    types = {f.name: f.dataType.simpleString() for f in t.schema}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["ctx string, cw long, cc long, ccw long"])
+    ranked = t.groupBy(*key).cogroup(told.groupBy(*key)).applyInArrow(lambda a, b: _rank_block(a, b, keep), schema)
+    count = lambda c: F.col(c).cast("double")
+    bits = code_length((F.col("scope_pos") - 1).cast("double"), count("cw"), count("cc"), count("ccw"), F.col("n_bytes"), alpha, beta)
+    return ranked.select(*by, *KEYS, "ctx", ubits(bits).alias("ubits"))
+
+
+def score_limited_context(tokens: DataFrame, rungs: list[int], block: int = BLOCK) -> DataFrame:
+    """Losses of the same tokens when only the last W positions are visible, for each W of rungs (columns KEYS, rung, ubits).
+
+    What a token may see lies in its own block of positions and the last max(W) of the block before. So tokens are dealt once, by block,
+    with that margin, and a task counts words, contexts and pairs for all windows by searches in sorted places. A group holds a block
+    and its margin at most, whatever its words."""
+    wide = max(rungs)
+    block = max(block, wide)
+    t = _with_context(tokens, ["codebase"]).select(*KEYS, "ctx").withColumn("own", F.floor((F.col("pos") - 1) / block).cast("long"))
+    near = (F.col("pos") - 1) % block >= block - wide
+    t = t.withColumn("part", F.explode(F.when(near, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    cols = [f"{n}_{r}" for n in ("cw", "cc", "ccw") for r in rungs]
+
+    def run(got: pa.Table) -> pa.Table:
+        pos = got["pos"].to_numpy()
+        code = lambda c: got[c].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        word, ctx = code("token"), code("ctx")
+        pair = np.unique(word * (len(pos) + 1) + ctx, return_inverse=True)[1]
+        mine = got["own"].to_numpy() == got["part"].to_numpy()
+        low, made = pos.min() - wide, []
+        for own in (word, ctx, pair):
+            place = own * (pos.max() - low + 1) + (pos - low)  # windows of one never reach into the places of another
+            every = np.sort(place)
+            at = np.searchsorted(every, place[mine])
+            made += [at - np.searchsorted(every, place[mine] - r) for r in rungs]
+        kept = got.select(KEYS).filter(pa.array(mine))
+        return pa.table([*kept.columns, *(pa.array(m.astype(np.int64)) for m in made)], names=[*KEYS, *cols])
+
+    types = {f.name: f.dataType.simpleString() for f in t.schema}
+    schema = ", ".join([f"{k} {types[k]}" for k in KEYS] + [f"{c} long" for c in cols])
+    t = t.groupBy("codebase", "part").applyInArrow(run, schema)
     seen = F.array(*[F.struct(F.lit(r).alias("rung"), *[F.col(f"{n}_{r}").cast("double").alias(n) for n in ("cw", "cc", "ccw")]) for r in rungs])
     own = t.select(*KEYS, F.explode(seen).alias("w")).select(*KEYS, "w.*")
     bits = code_length(F.least(F.col("pos") - 1, F.col("rung")).cast("double"), F.col("cw"), F.col("cc"), F.col("ccw"), F.col("n_bytes"))
