@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parity import r6, total, words
-from ..functions.storage import stored
+from ..functions.storage import discard, new_path, stored
 
 
 def corpus_census(files: DataFrame, base: str) -> DataFrame:
@@ -88,22 +88,11 @@ def code_edges(files: DataFrame, rules: dict[str, tuple[str, str]] | None = None
     return defs.join(uses, ["codebase", "symbol"]).filter("src <> dst").select("codebase", "src", "dst", "symbol")
 
 
-def _peel(edges: DataFrame, front: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Take away files in rounds, first those of `front` (a table of node), then ever those whose last incoming edge (src to dst) went.
-    Returns the rounds, and the edges between files that never go. A round shuffles the edges of its front and the files they reach."""
-    e, rounds = stored(edges, "peel"), []
-    left = stored(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "need")
-    while not front.isEmpty():
-        rounds.append(front)
-        fewer = e.join(front, e["src"] == front["node"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("gone"))
-        after = stored(left.join(fewer, "node", "left").select("node", (F.col("need") - F.coalesce("gone", F.lit(0))).alias("need")), "need")
-        front, left = after.filter("need = 0").select("node"), after.filter("need > 0")
-    stay = left.select("node")
-    return rounds, e.join(stay, e["dst"] == stay["node"], "left_semi").join(stay, e["src"] == stay["node"], "left_semi")
-
-
-def _sources(edges: DataFrame) -> DataFrame:
-    return stored(edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti"), "front")
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that are on a cycle or behind one."""
+    told = longest_paths(edges)
+    left = edges.join(told, edges["dst"] == told["node"], "left_anti")
+    return left.join(told, left["src"] == told["node"], "left_anti")
 
 
 def _turned(edges: DataFrame) -> DataFrame:
@@ -117,7 +106,7 @@ def in_cycles(edges: DataFrame) -> DataFrame:
     found, e = None, edges
     while True:
         for _ in range(2):
-            e = stored(_turned(_peel(e, _sources(e))[1]), "core")
+            e = stored(_turned(_trimmed(e)), "core")
         if e.isEmpty():
             return found if found is not None else e.select(F.col("src").alias("node"))
         colour = stored(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().select("node", F.col("node").alias("c")), "colours")
@@ -137,28 +126,80 @@ def in_cycles(edges: DataFrame) -> DataFrame:
         e = stored(e.join(reached, e["src"] == reached["node"], "left_anti").join(reached, e["dst"] == reached["node"], "left_anti"), "core")
 
 
+def _jumped(p: DataFrame, rounds: int) -> DataFrame:
+    """Rows (node, up, w): up is w levels above node. Each round goes from a node's up to that one's up, so the way of 2^rounds steps is
+    done in `rounds`; it ends early where no up has an up. Stored; what is replaced is deleted."""
+    p = stored(p, "ways")
+    for _ in range(rounds):
+        above = p.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("w").alias("more"), F.lit(True).alias("moved"))
+        far = p.filter("up is not null").join(above, "up", "left").select("node", F.when(F.col("moved"), F.col("next")).otherwise(F.col("up")).alias("up"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), "moved")
+        new = stored(far.unionByName(p.filter("up is null").withColumn("moved", F.lit(None).cast("boolean"))), "ways")
+        done = new.filter("moved").isEmpty()
+        discard(p)
+        p = new.drop("moved")
+        if done:
+            break
+    return p
+
+
+def longest_paths(edges: DataFrame) -> DataFrame:
+    """(node, level) for the nodes of edges (src, dst): edges of the longest path that ends there. Nodes on a cycle, or behind one, are
+    left out.
+
+    Nodes that depend on one other node alone, directly or through each other, hang below it by a known number of levels. In each round all
+    of them are found by doubling and go, their edges move up to where they hang, and of parallel edges the longest stays; nodes without
+    dependencies count as one. So chains, trees and whatever is made of them in series or in parallel go in a few rounds of log(depth) steps
+    each; a lattice that never narrows takes a round a level. The plan doesn't grow: rounds append to one table, and tables that a
+    round replaced are deleted."""
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    path = new_path(spark, "levels")
+    sources = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    sources = stored(sources.withColumn("top", F.lit(True)), "sources")
+    nothing = F.lit(None).cast(kind)
+    sources.select("node", nothing.alias("up"), F.lit(0).cast("long").alias("w")).write.parquet(path)
+    e = edges.join(sources.withColumnRenamed("node", "src"), "src", "left").select(F.when(F.col("top").isNull(), F.col("src")).alias("src"), "dst")
+    e = stored(e.distinct().withColumn("w", F.lit(1).cast("long")), "edges")
+    while True:
+        one = e.groupBy("dst").agg(F.count("*").alias("n"), F.max("src").alias("up"), F.max("w").alias("w")).filter("n = 1").select(F.col("dst").alias("node"), "up", "w")
+        one = stored(one, "single")
+        ways = _jumped(one, one.count().bit_length() + 1)
+        # a cycle's own ways lead round and round
+        hung = ways.join(one.select(F.col("node").alias("up")), "up", "left_anti").select("node", "up", "w")
+        hung = stored(hung.unionByName(ways.filter("up is null")).distinct(), "hung")
+        discard(one, ways)
+        if hung.isEmpty():
+            break
+        hung.write.mode("append").parquet(path)
+        left = e.join(hung.select(F.col("node").alias("dst")), "dst", "left_anti")
+        above = hung.select(F.col("node").alias("src"), F.col("up"), F.col("w").alias("more"))
+        moved = left.filter("src is not null").join(above, "src", "left").select(F.when(F.col("more").isNotNull(), F.col("up")).otherwise(F.col("src")).alias("src"), "dst", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        new = stored(moved.unionByName(left.filter("src is null").select("src", "dst", "w")).groupBy("src", "dst").agg(F.max("w").alias("w")), "edges")
+        discard(e, hung)
+        e = new
+    discard(e, sources)
+    every = spark.read.schema(f"node {kind.simpleString()}, up {kind.simpleString()}, w long").parquet(path)
+    ways = _jumped(every, 64)
+    discard(every)
+    return ways.filter("up is null").select("node", F.col("w").cast("int").alias("level"))
+
+
 def order_dependency(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Files after what they use: codebase, file_id, seq, level, in_cycle. level is the longest path from a file that uses nothing.
 
-    Files are peeled off in rounds, as many as the longest path is long, each round written to shared storage and no larger than its front
-    and what that reaches. Files on a cycle have no such path: they follow all that was peeled, at the next level of their codebase, and
-    what hangs behind them is peeled on from there. Edges to files that aren't there are ignored."""
+    Files on a cycle have no such path: they follow all that has one, at the next level of their codebase, and what hangs behind them has
+    its longest path from there. Edges to files that aren't there are ignored."""
     names = files.select("codebase", "file_id").distinct()
     node = lambda c: F.struct("codebase", F.col(c).alias("file_id"))
-    e = edges.filter("src <> dst").select(node("src").alias("src"), node("dst").alias("dst")).distinct()
-    e = stored(e, "edges")
-    rounds, stuck = _peel(e, _sources(e))
-    stuck = stored(stuck, "stuck")
-    at = lambda fronts, base: [f.select("node", F.lit(base + k).alias("level")) for k, f in enumerate(fronts)]
-    level = _union(at(rounds, 0), names)
+    e = stored(edges.filter("src <> dst").select(node("src").alias("src"), node("dst").alias("dst")).distinct(), "edges")
+    level = longest_paths(e)
+    told = level.select("node")
+    stuck = stored(e.join(told, e["dst"] == told["node"], "left_anti").join(told, e["src"] == told["node"], "left_anti"), "stuck")
     if not stuck.isEmpty():
         cyclic = stored(in_cycles(stuck).distinct(), "cyclic")
-        behind = e.join(cyclic, e["dst"] == cyclic["node"], "left_anti")  # edges into cycles no longer count
-        peeled = level.select("node")
-        behind = behind.join(peeled, behind["src"] == peeled["node"], "left_anti")
-        more, _ = _peel(behind, cyclic.unionByName(_sources(behind).join(cyclic, "node", "left_anti")))
+        behind = stored(stuck.join(cyclic, stuck["dst"] == cyclic["node"], "left_anti"), "behind")  # edges into cycles no longer count
+        more = cyclic.withColumn("level", F.lit(0)).unionByName(longest_paths(behind)).groupBy("node").agg(F.max("level").alias("above"))
         deep = names.join(level.select("node.*", "level"), ["codebase", "file_id"], "left").groupBy("codebase").agg(F.coalesce(F.max("level"), F.lit(0)).alias("deepest"))
-        later = _union(at(more, 1), names).select("node.*", F.col("level").alias("above")).join(deep, "codebase").select(F.struct("codebase", "file_id").alias("node"), (F.col("deepest") + F.col("above")).alias("level"))
+        later = more.select("node.*", "above").join(deep, "codebase").select(F.struct("codebase", "file_id").alias("node"), (F.col("deepest") + F.col("above") + 1).alias("level"))
         level = level.unionByName(later)
         in_cycle = cyclic.select("node.*", F.lit(True).alias("in_cycle"))
     else:
@@ -169,13 +210,6 @@ def order_dependency(files: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("codebase", "file_id", F.row_number().over(w).alias("seq"), "level", "in_cycle")
 
 
-def _union(levels: list[DataFrame], names: DataFrame) -> DataFrame:
-    out = names.limit(0).select(F.struct("codebase", "file_id").alias("node"), F.lit(0).alias("level"))
-    for x in levels:
-        out = out.unionByName(x)
-    return out
-
-
 def pack_corpus(files: DataFrame, order: DataFrame) -> DataFrame:
     """Header and body of each file with running byte offsets; rows, never one giant text. Offsets are summed over sizes alone."""
     header = F.format_string("=== %s %s %d\n", F.col("path"), F.col("language"), F.octet_length("content"))

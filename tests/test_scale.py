@@ -62,3 +62,65 @@ def test_a_word_that_is_most_of_a_codebase_is_no_single_task(spark):
     assert dealt.agg(F.max("count")).first()[0] <= 64 < 0.1 * n
     told = t.withColumn("block", F.floor((F.col("pos") - 1) / 64)).groupBy("token", "block").count().groupBy("token").count()
     assert told.agg(F.max("count")).first()[0] <= n / 64 + 1  # what is summed for the hot word: a row a block
+
+
+def levels(spark, edges):
+    e = spark.createDataFrame(edges, "src long, dst long")
+    return {r["node"]: r["level"] for r in corpus.longest_paths(e).collect()}
+
+
+def plain_levels(edges):
+    """Longest paths by taking nodes away whose sources have all gone."""
+    need, users, out = {}, {}, {}
+    for a, b in set(edges):
+        need[b] = need.get(b, 0) + 1
+        users.setdefault(a, []).append(b)
+    front = [a for a in users if a not in need]
+    for a in front:
+        out.setdefault(a, 0)
+        for b in users.get(a, ()):
+            out[b] = max(out.get(b, 0), out[a] + 1)
+            need[b] -= 1
+            if not need[b]:
+                front.append(b)
+    return {n: out[n] for n in front}
+
+
+def test_levels_of_random_graphs(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        n = rng.randint(5, 60)
+        edges = [tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(n, 3 * n))]
+        if seed % 2:
+            edges += [(b, a) for a, b in edges[:2]]  # cycles, and what hangs behind them
+        assert levels(spark, edges) == plain_levels(edges)
+
+
+def test_long_chains_take_few_rounds_and_a_plan_of_one_size(spark, monkeypatch):
+    rounds = []
+    jump = corpus._jumped
+    monkeypatch.setattr(corpus, "_jumped", lambda p, n: rounds.append(n) or jump(p, n))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    sizes = []
+    for n in (40, 5000):
+        # a chain, a chain of diamonds behind it, and a tree on top
+        edges = [(k, k + 1) for k in range(n)] + [x for k in range(5) for x in ((n + 3 * k, n + 3 * k + 1), (n + 3 * k, n + 3 * k + 2), (n + 3 * k + 1, n + 3 * k + 3), (n + 3 * k + 2, n + 3 * k + 3))] + [(7, -k) for k in range(1, 30)]
+        rounds.clear()
+        e = spark.createDataFrame(edges, "src long, dst long")
+        got = corpus.longest_paths(e)
+        assert {r["node"]: r["level"] for r in got.collect()} == plain_levels(edges)
+        assert len(rounds) <= 10
+        sizes.append(len(got._jdf.queryExecution().optimizedPlan().toString()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sizes[0] == sizes[1]
+
+
+def test_replaced_tables_are_deleted(spark):
+    import os
+
+    from codecurves.functions.storage import shared_dir
+
+    top = shared_dir(spark).removeprefix("file:").replace("///", "/").replace("//", "/")
+    before = set(os.listdir(top))
+    corpus.longest_paths(spark.createDataFrame([(k, k + 1) for k in range(20)], "src long, dst long")).count()
+    assert len(set(os.listdir(top)) - before) <= 2  # what the result reads
