@@ -79,37 +79,52 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-#: The prime 2^31 - 1, and the two bases of the polynomials that tell byte spans.
-PRIME = (1 << 31) - 1
-BASES = (1_103_515_245, 715_827_883)
-_powers: dict[int, np.ndarray] = {}
+_BYTE = np.random.default_rng(20240607).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+#: The prime 2^31 - 1, and the base of the polynomials modulo it.
+PRIME, BASE = (1 << 31) - 1, 1_103_515_245
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base to the 0, 1, ... n - 1, modulo PRIME."""
-    held = _powers.get(base, np.ones(1, np.uint32))
-    while len(held) < n:
-        step = pow(base, len(held), PRIME)
-        held = np.append(held, (held.astype(np.int64) * step % PRIME).astype(np.uint32))
-    _powers[base] = held
-    return held[:n]
+def _power(base: int, n: int, modulus: int) -> np.ndarray:
+    """base to the 0, 1, ... n - 1, modulo PRIME or 2^64."""
+    key = base, modulus
+    if len(_powers.get(key, ())) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < max(n, 1 << 16):
+            step = out * np.uint64(pow(base, len(out), modulus))
+            out = np.append(out, step % np.uint64(modulus) if modulus == PRIME else step)
+        _powers[key] = out.astype(np.uint32) if modulus == PRIME else out
+    return _powers[key][:n]
+
+
+def polynomials(buf: np.ndarray) -> np.ndarray:
+    """Sums of buf's bytes times powers, modulo 2^64: what stands before each place."""
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _power(_ODD, len(buf), 1 << 64), out=total[1:])
+    return total
+
+
+def shifted(h: np.ndarray, starts) -> np.ndarray:
+    """Differences of polynomials, made to not depend on where the span begins, and mixed."""
+    h = h * _power(pow(_ODD, -1, 1 << 64), (starts.stop if isinstance(starts, slice) else int(starts.max(initial=-1)) + 1), 1 << 64)[starts]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """62-bit hashes of byte spans, equal for equal bytes wherever they stand: two polynomials modulo a prime. A polynomial of degree d has
-    d roots at most, so two different spans of n bytes are taken for one another with a chance of (n / 2^31)^2 at most over the choice of
-    bases; typical spans with one of 2^-62."""
-    n, out = len(buf), np.zeros(len(starts), np.uint64)
-    value = buf.astype(np.int64) + 1
-    for base in BASES:
-        total = np.zeros(n + 1, np.int64)
-        terms = value * _power(base, n)
-        np.cumsum(terms if n < 1 << 22 else terms % PRIME, out=total[1:])
-        h = (total[ends] - total[starts]) % PRIME * _power(pow(base, -1, PRIME), n + 1)[starts] % PRIME
-        out = (out << np.uint64(31)) | h.astype(np.uint64)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand: a polynomial modulo 2^64 and one modulo the prime 2^31 - 1.
+
+    The first takes typical spans for one another with a chance of 2^-64, but confuses structured ones of 1,024 bytes and more whatever
+    its base (Thue-Morse words); the second has no such words: of degree d, it has d roots at most, so that two spans of n bytes meet
+    with a chance of n / 2^31 at most over the choice of its base."""
+    total, n = polynomials(buf), len(buf)
+    h = shifted(total[ends] - total[starts], starts)
+    terms = (buf.astype(np.uint64) + np.uint64(1)) * _power(BASE, n, PRIME)
+    np.cumsum(terms if n < 1 << 22 else terms % np.uint64(PRIME), out=total[1:])
+    low = (total[ends] - total[starts]) % np.uint64(PRIME) * _power(pow(BASE, -1, PRIME), n + 1, PRIME)[starts] % np.uint64(PRIME)
+    return h ^ (low * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 #: Parts that the edges of one node are dealt to in a star round, so that a hub's edges are several tasks' work.

@@ -37,32 +37,13 @@ COPY, ANCHOR_BEFORE, ANCHOR_AFTER, COVER_BEFORE, COVER_SPLIT, STRING_BEFORE = ra
 SIDE = "shard long, kind int, bucket int, doc long, blob binary"
 
 
-_BYTE = np.random.default_rng(20240607).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_ODD = 0x9E3779B97F4A7C15
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base to the 0, 1, ... n - 1, modulo 2^64."""
-    if len(_powers.get(base, ())) < n:
-        out = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
-        out[0] = 1
-        _powers[base] = np.multiply.accumulate(out)
-    return _powers[base][:n]
-
-
 def string_keys(buf: np.ndarray, length: int) -> np.ndarray:
-    """64-bit keys of the strings of `length` bytes at each place: a polynomial modulo 2^64, which serves short strings alone (from 1,024
-    bytes on there are structured texts that it can't tell apart; longer spans take common.span_hashes)."""
-    n = len(buf)
-    if n < length:
+    """64-bit keys of the strings of `length` bytes at each place. Strings are short, so a polynomial modulo 2^64 will do (longer spans take
+    common.span_hashes)."""
+    if len(buf) < length:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power(_ODD, n), out=total[1:])
-    h = (total[length:] - total[:-length]) * _power(pow(_ODD, -1, 2**64), n + 1)[: n - length + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    total = common.polynomials(buf)
+    return common.shifted(total[length:] - total[:-length], slice(0, len(buf) - length + 1))
 
 
 def _slide(a: np.ndarray, width: int, least) -> np.ndarray:
