@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parity import bucket, r6, total, u32, whole_mean, whole_t, words
-from ..functions.storage import stored
+from ..functions.storage import discard, new_path, stored
 from .predictors import frozen_pairs, train_ngram
 
 
@@ -23,12 +23,6 @@ def rare_terms(tokens: DataFrame) -> DataFrame:
     return t.select("language", "codebase", "file_id", "token", F.round(F.log2(F.col("n_files") / F.col("df")) * F.lit(1e6)).cast("long").alias("ubits"))
 
 
-def _pairs(terms: DataFrame) -> DataFrame:
-    a, b = terms.alias("a"), terms.alias("b")
-    on = (F.col("a.codebase") == F.col("b.codebase")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.file_id") < F.col("b.file_id"))
-    return a.join(b, on).select(F.col("b.language").alias("language"), F.col("b.codebase").alias("codebase"), F.col("b.file_id").alias("target"), F.col("a.file_id").alias("context"), F.col("b.token").alias("token"), F.col("b.ubits").alias("ubits"))
-
-
 def in_block_pairs(rows: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
     """rows once for each task (i, j) of their group: members are dealt to blocks of about `size`, and every two blocks of a group are one
     task, so that all pairs of members meet and a task holds two blocks at most. own: the row's block."""
@@ -38,8 +32,10 @@ def in_block_pairs(rows: DataFrame, group: list[str], member: str, size: int) ->
     return cut.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def context_contribution(terms: DataFrame, block: int = 512) -> DataFrame:
-    """For each file, what each earlier file of the codebase explains of its terms: number and bits of the terms that both have.
+def context_contribution(terms: DataFrame, block: int = 512, best: int | None = None) -> DataFrame:
+    """For each file, what each earlier file of the codebase explains of its terms: number and bits of the terms that both have. best: only
+    that many contexts of each file, those with most bits (of equal ones the smallest ids), so that the result grows with files and not
+    with pairs; a task hands on no more than that for each file.
 
     Files meet in pairs of blocks; inside a task the sums are products of file-by-term matrices, a slice of terms at a time, in whole
     numbers. So terms of any frequency count, and pairs of files are never shuffled term by term."""
@@ -68,50 +64,107 @@ def context_contribution(terms: DataFrame, block: int = 512) -> DataFrame:
             bits += (x * weight[lo : lo + 4096]) @ y.T
         x, y = np.nonzero((n > 0) & (a[:, None] != b[None]) & ((i != j) | (a[:, None] < b[None])))
         one, two = a[x], b[y]
+        if best is not None and len(x):
+            target, context = np.maximum(one, two), np.minimum(one, two)
+            order = np.lexsort((context, -bits[x, y], target))
+            new = np.append(True, target[order][1:] != target[order][:-1])
+            nth = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            order = order[nth < best]
+            x, y, one, two = x[order], y[order], one[order], two[order]
         names = ["codebase", "target", "context", "n_terms", "ubits"]
         cols = [pa.array([got["codebase"][0].as_py()] * len(x), pa.string()), pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two)), pa.array(n[x, y].astype(np.int64)), pa.array(bits[x, y].astype(np.int64))]
         return pa.table(dict(zip(names, cols, strict=True)))
 
     tasks = in_block_pairs(terms.select("codebase", "file_id", "token", "ubits"), ["codebase"], "file_id", block)
-    return tasks.groupBy("codebase", "i", "j").applyInArrow(sums, "codebase string, target long, context long, n_terms long, ubits long")
+    found = tasks.groupBy("codebase", "i", "j").applyInArrow(sums, "codebase string, target long, context long, n_terms long, ubits long")
+    if best is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("codebase", "target").orderBy(F.col("ubits").desc(), "context"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= best)
 
 
-def greedy_coreset(terms: DataFrame, sizes: DataFrame | None = None, eps: float = 0.1) -> DataFrame:
-    """Few earlier files that together explain (1 - eps) of what all of them do, picked greedily until they do: codebase, target, n_files,
-    n_picked, bytes_picked, ubits_all, ubits_picked, first_pick. sizes: codebase, file_id, n_bytes of files (bytes are null without).
-
-    A group holds the terms of one file with the files that share them."""
+def _cover_some(eps: float):
+    """The greedy choice among the candidates of one target (codebase, target, context, token, ubits; and of the target: left, whole, and
+    bound and name of the best file that is no candidate), as far as it is sure that no other file comes first. Rows: each candidate with
+    what it still adds, and its place among the picks (null if it isn't picked)."""
 
     def cover(got: pd.DataFrame) -> pd.DataFrame:
-        term, token = pd.factorize(got["token"])
-        value = np.zeros(len(token), np.int64)
-        value[term] = got["ubits"].to_numpy()
         names, ctx = np.unique(got["context"].to_numpy(), return_inverse=True)
-        order = np.argsort(ctx, kind="stable")
-        held = np.split(term[order], np.searchsorted(ctx[order], np.arange(1, len(names))))
-        left, whole, picked = value.copy(), int(value.sum()), []
-        bound = np.array([int(value[h].sum()) for h in held])  # what a file adds never grows, so an old figure bounds it
-        while left.sum() > eps * whole:
-            while True:
-                best = int(np.argmax(bound))
-                now = int(left[held[best]].sum())
-                if now == bound[best]:
-                    break
-                bound[best] = now
-            if not now:
+        term = pd.factorize(got["token"])[0]
+        value = np.zeros(int(term.max()) + 1, np.int64)
+        value[term] = got["ubits"].to_numpy()
+        holds = np.zeros((len(names), len(value)), bool)
+        holds[ctx, term] = True
+        left, whole, rest, other = (got[c].iloc[0] for c in ("left", "whole", "rest", "other"))
+        gain, place, n = holds @ value, np.full(len(names), np.nan), 0
+        while left > eps * whole:
+            k = int(np.argmax(gain))  # names are in order, so the smallest of equals
+            if not gain[k] or gain[k] < rest or (gain[k] == rest and other < names[k]):
                 break
-            picked.append(int(names[best]))
-            left[held[best]] = 0
-            bound[best] = 0
-        return pd.DataFrame({"codebase": [got["codebase"].iloc[0]], "target": [got["target"].iloc[0]], "n_files": [len(names)], "picks": [picked], "ubits_all": [whole], "ubits_picked": [whole - int(left.sum())]})
+            place[k], n, left = n, n + 1, left - gain[k]
+            value[holds[k]] = 0
+            gain = holds @ value
+        return pd.DataFrame({"codebase": got["codebase"].iloc[0], "target": got["target"].iloc[0], "context": names, "gain": gain, "place": pd.array(place, "Int64")})
 
-    out = _pairs(terms).groupBy("codebase", "target").applyInPandas(cover, "codebase string, target long, n_files long, picks array<long>, ubits_all long, ubits_picked long")
-    out = out.select("codebase", "target", "n_files", F.size("picks").cast("long").alias("n_picked"), "ubits_all", "ubits_picked", F.get("picks", F.lit(0)).alias("first_pick"), "picks")
+    return cover
+
+
+def greedy_coreset(terms: DataFrame, sizes: DataFrame | None = None, eps: float = 0.1, at_once: int = 8) -> DataFrame:
+    """Few earlier files that together explain (1 - eps) of what all of them do, picked greedily until they do: codebase, target, n_files,
+    n_picked, bytes_picked, ubits_all, ubits_picked, first_pick. sizes: codebase, file_id, n_bytes of files (bytes are null without).
+
+    What a file adds never grows, so an old figure bounds it. In each round the `at_once` files with the highest bounds of each target are
+    looked at, with the terms that are still left; they are picked for as long as no other file's bound reaches what they add, which gives
+    the picks of plain greedy. Targets that are covered leave the tables. A group holds at_once files' share of one target's terms,
+    however many files share them; between rounds bounds and terms are tables, and those that a round replaced are deleted."""
+    at = ["codebase", "target"]
+    spark, path = terms.sparkSession, new_path(terms.sparkSession, "picks")
+    terms = stored(terms.select("codebase", "file_id", "token", "ubits"), "terms")
+    first = terms.groupBy("codebase", "token").agg(F.min("file_id").alias("first"))
+    left = terms.join(first, ["codebase", "token"]).filter("file_id > first").select("codebase", F.col("file_id").alias("target"), "token", "ubits")
+    left = stored(left, "left")
+    bounds = stored(context_contribution(terms).select(*at, "context", F.col("ubits").alias("bound")), "bounds")
+    every = bounds.groupBy(*at).agg(F.count("*").alias("n_files")).join(left.groupBy(*at).agg(total("ubits").alias("whole")), at)
+    every = stored(every, "targets")
+    active, round_ = every.select(*at, "whole", F.col("whole").alias("left")).filter(F.col("left") > eps * F.col("whole")), 0
+    active = stored(active, "active")
+    best = Window.partitionBy(*at).orderBy(F.col("bound").desc(), "context")
+    schema = "codebase string, target long, context long, gain long, place long"
+    while True:
+        ranked = bounds.join(active, at).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= at_once + 1)
+        ranked = stored(ranked, "ranked")
+        if ranked.isEmpty():
+            break
+        rest = ranked.filter(F.col("rank") == at_once + 1).select(*at, F.col("bound").alias("rest"), F.col("context").alias("other"))
+        looked = ranked.filter(F.col("rank") <= at_once).drop("rank").join(rest, at, "left").fillna(0, ["rest", "other"])
+        held = looked.drop("bound").join(terms.select("codebase", F.col("file_id").alias("context"), "token"), ["codebase", "context"])
+        seen = held.join(left, [*at, "token"]).groupBy(*at).applyInPandas(_cover_some(eps), schema)
+        seen = stored(seen, "seen")
+        picked = seen.filter("place is not null")
+        picked.select(*at, "context", F.lit(round_).alias("round"), "place").write.mode("append").parquet(path)
+        # what the picks cover goes; covered targets go; bounds of what was looked at become what it adds now
+        gone = picked.join(terms.select("codebase", F.col("file_id").alias("context"), "token"), ["codebase", "context"]).select(*at, "token").distinct()
+        rest_left = left.join(gone, [*at, "token"], "left_anti")
+        still = rest_left.groupBy(*at).agg(total("ubits").alias("left")).join(active.drop("left"), at).filter(F.col("left") > eps * F.col("whole"))
+        still = stored(still.select(*at, "whole", "left"), "active")
+        new_left = stored(rest_left.join(still.select(*at), at, "left_semi"), "left")
+        now = ranked.filter(F.col("rank") <= at_once).select(*at, "context").join(seen.select(*at, "context", F.when(F.col("place").isNull(), F.col("gain")).otherwise(0).alias("gain")), [*at, "context"], "left").select(*at, "context", F.coalesce("gain", F.lit(0)).alias("now"))
+        new_bounds = bounds.join(still.select(*at), at, "left_semi").join(now, [*at, "context"], "left").select(*at, "context", F.coalesce("now", "bound").alias("bound")).filter("bound > 0")
+        new_bounds = stored(new_bounds, "bounds")
+        discard(active, left, bounds, ranked, seen)
+        active, left, bounds, round_ = still, new_left, new_bounds, round_ + 1
+    discard(active, left, bounds, ranked)
+    picks = spark.read.schema("codebase string, target long, context long, round int, place long").parquet(path) if round_ else spark.createDataFrame([], "codebase string, target long, context long, round int, place long")
+    # a term is covered by its target's picks, whichever came first
+    own = terms.select("codebase", F.col("file_id").alias("target"), "token", "ubits")
+    covered = picks.join(terms.select("codebase", F.col("file_id").alias("context"), "token"), ["codebase", "context"]).join(own, [*at, "token"]).select(*at, "token", "ubits").distinct().groupBy(*at).agg(total("ubits").alias("ubits_picked"))
+    got = picks.groupBy(*at).agg(F.count("*").alias("n_picked"), F.min_by("context", F.struct("round", "place")).alias("first_pick"))
+    zero = F.lit(0).cast("long")
+    out = every.join(got, at, "left").join(covered, at, "left").select(*at, "n_files", F.coalesce("n_picked", zero).alias("n_picked"), F.col("whole").alias("ubits_all"), F.coalesce("ubits_picked", zero).alias("ubits_picked"), "first_pick")
     if sizes is None:
-        return out.withColumn("bytes_picked", F.lit(None).cast("long")).drop("picks")
-    out = stored(out, "coresets")
-    read = out.select("codebase", "target", F.explode("picks").alias("file_id")).join(sizes.select("codebase", "file_id", "n_bytes"), ["codebase", "file_id"]).groupBy("codebase", "target").agg(total("n_bytes").alias("bytes_picked"))
-    return out.drop("picks").join(read, ["codebase", "target"], "left").fillna(0, ["bytes_picked"])
+        return out.withColumn("bytes_picked", F.lit(None).cast("long"))
+    read = picks.select("codebase", "target", F.col("context").alias("file_id")).join(sizes.select("codebase", "file_id", "n_bytes"), ["codebase", "file_id"]).groupBy(*at).agg(total("n_bytes").alias("bytes_picked"))
+    return out.join(read, at, "left").fillna(0, ["bytes_picked"])
 
 
 def coreset_growth(coresets: DataFrame) -> DataFrame:
@@ -248,10 +301,18 @@ def paired_contrast(pairs: DataFrame, file_losses: DataFrame) -> DataFrame:
     return s.select("lang_a", "lang_b", "n", whole_mean("s", "n").alias("mean_difference"), whole_t("n", "s", "q").alias("t"), "n_a_lower")
 
 
-def quality_matched(specs: DataFrame) -> DataFrame:
-    """specs: spec_id, language, file_id, quality. Pairs of one specification in two languages at equal quality."""
-    a, b = specs.alias("a"), specs.alias("b")
-    on = (F.col("a.spec_id") == F.col("b.spec_id")) & (F.col("a.language") < F.col("b.language")) & F.col("b.quality").between(F.col("a.quality"), F.col("a.quality"))
+def quality_matched(specs: DataFrame, band: float = 0.0) -> DataFrame:
+    """specs: spec_id, language, file_id, quality. Pairs of one specification in two languages whose qualities differ by `band` at most.
+
+    A range join by bins as wide as the band: one side stands in its own bin and in both beside it, so equal bins find every pair once, and
+    the difference is tested exactly. Null qualities match nothing."""
+    if band <= 0:
+        a, b = specs.withColumn("bin", F.col("quality")), specs.withColumn("bin", F.col("quality"))
+    else:
+        bin_ = F.floor(F.col("quality") / F.lit(float(band))).cast("long")
+        a, b = specs.withColumn("bin", bin_), specs.withColumn("bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
+    a, b = a.alias("a"), b.alias("b")
+    on = (F.col("a.spec_id") == F.col("b.spec_id")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.language") < F.col("b.language")) & (F.abs(F.col("a.quality") - F.col("b.quality")) <= F.lit(float(band)))
     return a.join(b, on).select(F.col("a.language").alias("lang_a"), F.col("b.language").alias("lang_b"), F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"))
 
 
@@ -328,7 +389,7 @@ def with_library(files: DataFrame, order: DataFrame, min_words: int = 2) -> Data
     long = F.size(words(F.col("line"))) >= min_words
     own = F.when(~long, F.concat_ws(":", "file_id", "line_no"))  # lines that stay as they are meet in no task
     nth = F.row_number().over(Window.partitionBy("codebase", "long", "own", F.when(F.col("long"), F.col("line"))).orderBy("seq", "line_no"))
-    ref = F.concat(F.lit("@"), F.substring(F.md5(F.col("line").cast("binary")), 1, 6))
+    ref = F.concat(F.lit("@"), F.substring(F.md5(F.col("line").cast("binary")), 1, 16))
     l = l.withColumns({"long": long, "own": own}).withColumn("line", F.when(F.col("long") & (nth > 1), ref).otherwise(F.col("line")))  # noqa: E741
     g = l.groupBy("language", "codebase", "file_id", "path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return g.select("language", "codebase", "file_id", "path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))

@@ -117,6 +117,28 @@ CONTRAST = """SELECT lang_a, lang_b, n, CAST(sign(s) * ((2 * abs(s) + n) // (2 *
     FROM {pairs} JOIN floss x ON x.file_id = file_a JOIN floss y ON y.file_id = file_b) GROUP BY ALL)"""
 
 
+#: Documents written out as code, by language of code: definition, use and three statements around the word @.
+CODE_LINES = {
+    "en": ("python", "def @(n):", "from lib import @", "    y = @ + 1000", "    if n < @:", "    except @:"),
+    "fr": ("python", "def @(n):", "from lib import @", "    y = @ + 1000", "    if n < @:", "    except @:"),
+    "de": ("javascript", "export function @(n) {", "import { @ }", "    y = @ + 1000;", "    if (n < @)", "    let y = @;"),
+    "es": ("coq", "Lemma @ : t.", "apply @.", "Definition n := @ + 1000.", "exact @.", "Qed @."),
+}
+CODE = [
+    "cl AS (SELECT lang, source, doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS i, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))",
+    f"cw AS (SELECT *, {_u32('code', chr(39).join(['doc_id || ', ':', ' || i']))} % 5 AS kind FROM (SELECT *, lower(regexp_extract(line, '([A-Za-z]{{3,}})', 1)) AS w FROM cl) WHERE w <> '')",
+    "cc AS (SELECT *, CASE lang " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in CODE_LINES.items()) + " END AS language, replace(CASE lang " + " ".join(f"WHEN '{k}' THEN CASE kind " + " ".join(f"WHEN {n} THEN '{v[n + 1]}'" for n in range(5)) + " END" for k, v in CODE_LINES.items()) + " END, '@', w) AS code FROM cw)",
+    "code AS (SELECT language, language || '/' || source AS codebase, doc_id AS file_id, string_agg(code, chr(10) ORDER BY i) AS content FROM cc WHERE language IS NOT NULL GROUP BY language, source, doc_id)",
+]
+DEFINES = {"python": r"(?m)^\s*(?:def|class)\s+(\w+)", "javascript": r"(?m)^\s*(?:export\s+)?(?:function|class|const)\s+(\w+)", "coq": r"(?m)^\s*(?:Theorem|Lemma|Definition)\s+(\w+)"}
+USES = {"python": r"(?m)^\s*(?:from\s+\S+\s+)?import\s+(\w+)", "javascript": r"(?m)import\s+\{?\s*(\w+)", "coq": r"(?m)(?:exact|apply|rewrite)\s+(\w+)"}
+BUGS = [("bounds check dropped", r"if \(?\w+ < \w+\)?:?", "if (1):"), ("sign flipped", r" \+ ", " - "), ("constant changed", r"\b1000\b", "1024"), ("handler broadened", r"except \w+:", "except:"), ("cast inserted", r"= (\w+)\b", r"= int(\1)")]
+
+
+def _symbols(name: str, rules: dict[str, str]) -> str:
+    return f"{name} AS (SELECT DISTINCT codebase, file_id, unnest(CASE language " + " ".join(f"WHEN '{k}' THEN regexp_extract_all(content, '{v}', 1)" for k, v in rules.items()) + " END) AS symbol FROM code)"
+
+
 def sql(*parts: str) -> str:
     *ctes, body = parts
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body if ctes else body
@@ -130,6 +152,13 @@ SWEEP = [*TK, SPLIT, RUNGS("[2, 4, 8]"), _frozen_counts("rungs", "k", "rung, lan
          f"sc AS (SELECT rung, language, {BUCKET} AS bucket, round(sum(ubits) / 1e6 / sum(n_bytes), 6) AS bpb FROM fz GROUP BY ALL)", _fit("sc", "sf", "rung, language"),
          "sweep AS (SELECT sf.*, n_train FROM sf JOIN k0 USING (rung, language))"]
 
+OFFSET = [
+    "p AS (SELECT language, bucket, 0.6931471805599453e0 * bucket AS x, bpb, 0.95e0 * min(bpb) OVER (PARTITION BY language) * g / 19e0 AS e, g FROM curve, range(20) r(g) WHERE bucket >= 5)",
+        "f AS (SELECT language, g, e, regr_intercept(ln(bpb - e), x) AS c, regr_slope(ln(bpb - e), x) AS d, CAST(count(*) AS INTEGER) AS n_points FROM p GROUP BY ALL HAVING count(*) >= 2)",
+        "s AS (SELECT language, g, e, c, d, n_points, round(sum(pow(bpb - e - exp(c + d * x), 2)), 9) AS sse FROM p JOIN f USING (language, g, e) GROUP BY ALL)",
+    "ofit AS (SELECT language, round(exp(c), 6) AS a, round(-d, 6) AS b, round(e, 6) AS e, n_points, g IN (0, 19) AS at_boundary FROM s QUALIFY row_number() OVER (PARTITION BY language ORDER BY sse, g) = 1)",
+]
+
 ORACLE = {
     "a1_read_corpus": sql(FILES, "SELECT language, codebase, file_id, path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM files"),
     "a2_corpus_census": sql(FILES, f"""f AS (SELECT language, codebase, strlen(content) AS b, length(content) AS c, len({_words('content')}) AS t, string_split(content, chr(10)) AS l FROM files)""",
@@ -193,10 +222,7 @@ ORACLE = {
         "SELECT language, count(*) AS n_steps, CAST(count_if(gain > 0) AS BIGINT) AS n_falling, bool_and(gain > 0) AS always_falling, round(sum(gain), 6) AS total_gain FROM g WHERE gain IS NOT NULL GROUP BY ALL"),
     "c5_prefix_loss": sql(*C, "p AS (SELECT language, bucket, CAST(sum(ubits) OVER w AS BIGINT) AS ubits, CAST(sum(n_bytes) OVER w AS BIGINT) AS n_bytes FROM curve WINDOW w AS (PARTITION BY language ORDER BY bucket))", f"SELECT *, {BPB} AS bpb FROM p"),
     "d1_fit_power_law": sql(*C, FIT, "SELECT * FROM fit"),
-    "d2_fit_power_law_offset": sql(*C, "p AS (SELECT language, bucket, 0.6931471805599453e0 * bucket AS x, bpb, 0.95e0 * min(bpb) OVER (PARTITION BY language) * g / 19e0 AS e, g FROM curve, range(20) r(g) WHERE bucket >= 5)",
-        "f AS (SELECT language, g, e, regr_intercept(ln(bpb - e), x) AS c, regr_slope(ln(bpb - e), x) AS d, CAST(count(*) AS INTEGER) AS n_points FROM p GROUP BY ALL HAVING count(*) >= 2)",
-        "s AS (SELECT language, g, e, c, d, n_points, round(sum(pow(bpb - e - exp(c + d * x), 2)), 9) AS sse FROM p JOIN f USING (language, g, e) GROUP BY ALL)",
-        "SELECT language, round(exp(c), 6) AS a, round(-d, 6) AS b, round(e, 6) AS e, n_points, g IN (0, 19) AS at_boundary FROM s QUALIFY row_number() OVER (PARTITION BY language ORDER BY sse, g) = 1"),
+    "d2_fit_power_law_offset": sql(*C, *OFFSET, "SELECT * FROM ofit"),
     "d3_fit_codebase_exponents": sql(*L, CB, "cbb AS (SELECT *, ubits / 1e6 / n_bytes AS bpb FROM cb)", _fit("cbb", "cf", "language, codebase"),
         "SELECT language, count(*) AS n_codebases, round(avg(b), 6) AS mean_b, round(stddev_samp(b), 6) AS sd_b, round(quantile_cont(b, 0.25), 6) AS q1, round(quantile_cont(b, 0.5), 6) AS q2, round(quantile_cont(b, 0.75), 6) AS q3 FROM cf WHERE n_points >= 3 GROUP BY ALL"),
     "d4_bootstrap_exponents": sql(*L, CB, f"""dr AS (SELECT cb.*, rep, {_u32('boot', "rep || '/' || codebase")} / 4294967296e0 AS u FROM cb, range(20) r(rep))""",
@@ -310,7 +336,7 @@ ORACLE = {
     "m2_repair_locality": sql("r AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS f, count(DISTINCT p_brand) AS m, arg_min(p_brand, l_partkey) AS module FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)",
         "SELECT module, count(*) AS n_repairs, round(avg(f), 6) AS mean_files, round(avg(m), 6) AS mean_modules, round(count_if(m = 1) / count(*), 6) AS share_local FROM r GROUP BY ALL"),
     "m3_library_compression": sql(*L, LINES, "m AS (SELECT lines.*, row_number() OVER (PARTITION BY lines.codebase, line ORDER BY seq, line_no) AS nth FROM lines JOIN ord ON ord.codebase = lines.codebase AND ord.file_id = lines.file_id)",
-        f"n AS (SELECT language, codebase, file_id, line_no, CASE WHEN nth > 1 AND len({_words('line')}) >= 2 THEN '@' || substr(md5(line), 1, 6) ELSE line END AS line FROM m)", "new AS (SELECT language, codebase, file_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM n GROUP BY ALL)",
+        f"n AS (SELECT language, codebase, file_id, line_no, CASE WHEN nth > 1 AND len({_words('line')}) >= 2 THEN '@' || substr(md5(line), 1, 16) ELSE line END AS line FROM m)", "new AS (SELECT language, codebase, file_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM n GROUP BY ALL)",
         _tokens("new", "ltok"), _adaptive("ltok", "lb1"), "SELECT language, r AS raw_ubits, l AS library_ubits, round(l / r, 6) AS ratio FROM (SELECT language, CAST(sum(ubits) AS BIGINT) AS r FROM b1 GROUP BY ALL) JOIN (SELECT language, CAST(sum(ubits) AS BIGINT) AS l FROM lb1 GROUP BY ALL) USING (language)"),
     "m4_variance_decomposition": sql(*L, CB, TRAITS, "cbb AS (SELECT *, ubits / 1e6 / n_bytes AS bpb FROM cb)", _fit("cbb", "cf", "language, codebase"), "sz AS (SELECT codebase, sum(n) AS nt FROM cb GROUP BY ALL)",
         "e AS (SELECT cf.language, strength, b, nt FROM cf JOIN sz USING (codebase) JOIN traits ON traits.language = cf.language WHERE n_points >= 3)", "g AS (SELECT *, avg(b) OVER () AS gm, avg(b) OVER (PARTITION BY language) AS lm, avg(b) OVER (PARTITION BY strength) AS sm FROM e)",
@@ -339,7 +365,21 @@ ORACLE = {
     "m1_top_symbols": sql(FILES, LINES, HELD, EDGES, "u AS (SELECT codebase, symbol, count(DISTINCT dst) AS uses FROM edges GROUP BY ALL)",
         "SELECT language, CAST(rank AS INTEGER) AS rank, codebase, symbol, uses FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY uses DESC, codebase, symbol) AS rank FROM u JOIN (SELECT DISTINCT language, codebase FROM files) USING (codebase)) WHERE rank <= 10"),
     "m3_library_exponents": sql(*C, FIT, LINES, "m AS (SELECT lines.*, row_number() OVER (PARTITION BY lines.codebase, line ORDER BY seq, line_no) AS nth FROM lines JOIN ord ON ord.codebase = lines.codebase AND ord.file_id = lines.file_id)",
-        f"n AS (SELECT language, codebase, file_id, line_no, CASE WHEN nth > 1 AND len({_words('line')}) >= 2 THEN '@' || substr(md5(line), 1, 6) ELSE line END AS line FROM m)", "new AS (SELECT language, codebase, file_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM n GROUP BY ALL)",
+        f"n AS (SELECT language, codebase, file_id, line_no, CASE WHEN nth > 1 AND len({_words('line')}) >= 2 THEN '@' || substr(md5(line), 1, 16) ELSE line END AS line FROM m)", "new AS (SELECT language, codebase, file_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM n GROUP BY ALL)",
         _tokens("new", "ltok"), _adaptive("ltok", "lb1"), f"lc AS (SELECT language, {BUCKET} AS bucket, round(sum(ubits) / 1e6 / sum(n_bytes), 6) AS bpb FROM lb1 GROUP BY ALL)", _fit("lc", "lf", "language"),
         "SELECT language, fit.b AS b_before, lf.b AS b_after, round(lf.b - fit.b, 6) AS change FROM fit JOIN lf USING (language)"),
+    "a6_code_edges": sql(*CODE, _symbols("defs", DEFINES), _symbols("uses", USES), "SELECT codebase, d.file_id AS src, u.file_id AS dst, symbol FROM defs d JOIN uses u USING (codebase, symbol) WHERE d.file_id <> u.file_id"),
+    "b5_score_with_context": sql(*TK, "w AS (SELECT *, (pos - 1) // 1024 AS win FROM tok)", "p AS (SELECT *, pos - lag(pos) OVER (PARTITION BY codebase, win, token ORDER BY pos) AS gap FROM w)",
+        "SELECT language, codebase, CAST(win AS BIGINT) AS window, count(*) AS n, CAST(sum(CASE WHEN gap <= 16 THEN 2000000 WHEN gap IS NOT NULL THEN 5000000 ELSE 8000000 * strlen(token) END) AS BIGINT) AS ubits FROM p GROUP BY language, codebase, win"),
+    "e2_crossovers_offset": sql(*C, *OFFSET, "g AS (SELECT x.language AS lang_a, y.language AS lang_b, k, sign(round(x.e + x.a * pow(pow(1e1, k / 20e0), -x.b) - y.e - y.a * pow(pow(1e1, k / 20e0), -y.b), 9)) AS gap FROM ofit x JOIN ofit y ON x.language < y.language, range(281) r(k))",
+        "z AS (SELECT *, lag(gap) OVER (PARTITION BY lang_a, lang_b ORDER BY k) AS was FROM g)", "n AS (SELECT lang_a, lang_b, round(min(CASE WHEN was * gap < 0 AND k > log10(32) * 20 THEN k / 20e0 END), 6) AS log10_n_star FROM z GROUP BY ALL)",
+        "SELECT *, CASE WHEN log10_n_star IS NULL THEN 'never' WHEN log10_n_star <= log10(131072) THEN 'in_range' WHEN log10_n_star <= 12 THEN 'beyond_data' ELSE 'beyond_horizon' END AS verdict FROM n"),
+    "f1_mutate_code": sql(*CODE, "l AS (SELECT language, codebase, file_id, CAST(unnest(range(len(l))) AS INTEGER) AS i, unnest(l) AS original FROM (SELECT *, string_split(content, chr(10)) AS l FROM code))",
+        f"""d AS (SELECT * FROM l WHERE {_u32('n0', "file_id || ':' || i")} < 1073741824)""",
+        "m AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(original, '{p}') THEN regexp_replace(original, '{p}', '{to}', 'g')" for _, p, to in BUGS) + " END AS mutated, CASE " + " ".join(f"WHEN regexp_matches(original, '{p}') THEN '{n}'" for n, p, _ in BUGS) + " END AS rule FROM d)",
+        "SELECT * FROM m WHERE rule IS NOT NULL AND mutated <> original"),
+    "i1_best_contexts": sql(*TK, *TERMS, "s AS (SELECT b.codebase, b.file_id AS target, a.file_id AS context, count(*) AS n_terms, CAST(sum(b.ubits) AS BIGINT) AS ubits FROM terms a JOIN terms b ON a.codebase = b.codebase AND a.token = b.token AND a.file_id < b.file_id GROUP BY ALL)",
+        "SELECT *, CAST(row_number() OVER (PARTITION BY codebase, target ORDER BY ubits DESC, context) AS INTEGER) AS rank FROM s QUALIFY rank <= 3"),
+    "k3_band_contrast": sql(*L, FLOSS, "sp AS (SELECT file_id // 4 AS spec, language, file_id, round(ln(length(content) + 1e0), 6) AS q FROM files)",
+        "bq AS (SELECT a.language AS lang_a, b.language AS lang_b, a.file_id AS file_a, b.file_id AS file_b FROM sp a JOIN sp b ON a.spec = b.spec AND a.language < b.language AND abs(a.q - b.q) <= 5e-1)", CONTRAST.format(pairs="bq")),
 }

@@ -102,6 +102,11 @@ def a6_definition_use_edges(x):
     return x.edges
 
 
+@query
+def a6_code_edges(x):
+    return corpus.code_edges(fixtures.code_files(x.spark, x.dir))
+
+
 @query
 def a7_order_dependency(x):
     return corpus.order_dependency(x.files, x.edges)
@@ -178,6 +183,26 @@ def b5_score_with_model(x):
     return predictors.score_with_model(w, length_scorer).groupBy("language").agg(F.count("*").alias("n"), total("ubits").alias("ubits"))
 
 
+def context_scorer():
+    """A stand-in for a model with a state: two bits for a token that stood among the sixteen before it in its window, five for one that the
+    worker's window has shown before that, else eight bits a byte."""
+
+    def score(tokens):
+        last, out = {}, []
+        for k, t in enumerate(tokens):
+            out.append(2.0 if k - last.get(t, -99) <= 16 else 5.0 if t in last else 8.0 * len(t.encode()))
+            last[t] = k
+        return out
+
+    return score
+
+
+@query
+def b5_score_with_context(x):
+    w = corpus.context_windows(x.tokens, 1024, 1024).groupBy("language", "codebase", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
+    return predictors.score_with_model(w, context_scorer).groupBy("language", "codebase", "window").agg(F.count("*").alias("n"), total("ubits").alias("ubits"))
+
+
 @query
 def b6_score_compression(x):
     return predictors.score_compression(x.files, [0, 1024, 32768]).groupBy("language", "rung").agg(total("n_bytes").alias("n_bytes"), total("n_bits").alias("n_bits"))
@@ -280,6 +305,11 @@ def e2_crossovers(x):
     return forecast.crossovers(stored(x.fits, "fits"))
 
 
+@query
+def e2_crossovers_offset(x):
+    return forecast.crossovers_offset(stored(fits.fit_power_law_offset(stored(x.curve, "curve")), "fits"))
+
+
 @query
 def e3_required_model_size(x):
     return forecast.required_model_size(x.tokens, [100, 1_000, 10_000, 100_000], 5.0)
@@ -310,6 +340,11 @@ def f1_inject_noise(x):
     return checks.inject_noise(x.tokens)[1].select("codebase", "file_id", "i", "original", "mutated")
 
 
+@query
+def f1_mutate_code(x):
+    return checks.mutate_code(fixtures.code_files(x.spark, x.dir), rate=0.25)
+
+
 @query
 def f2_surprise_delta(x):
     noisy, m = x.noisy
@@ -398,6 +433,11 @@ def i1_context_contribution(x):
     return context.context_contribution(context.rare_terms(corpus.tokenize(x.files)))
 
 
+@query
+def i1_best_contexts(x):
+    return context.context_contribution(context.rare_terms(corpus.tokenize(x.files)), best=3)
+
+
 @query
 def i2_greedy_coreset(x):
     sizes = x.files.select("codebase", "file_id", F.octet_length("content").cast("long").alias("n_bytes"))
@@ -482,6 +522,13 @@ def k3_spec_contrast(x):
     return context.paired_contrast(context.quality_matched(specs), stored(x.file_losses, "file-losses"))
 
 
+@query
+def k3_band_contrast(x):
+    size = F.round(F.ln(F.length("content") + F.lit(1.0)), 6)
+    specs = x.files.select(F.floor(F.col("file_id") / 4).cast("long").alias("spec_id"), "language", "file_id", size.alias("quality"))
+    return context.paired_contrast(context.quality_matched(specs, 0.5), stored(x.file_losses, "file-losses"))
+
+
 @query
 def k4_adjust_for_domain(x):
     items = x.file_losses.join(x.vectors.select(F.col("vec_id").alias("file_id"), F.col("label").alias("topic")), "file_id")

@@ -39,6 +39,29 @@ def repairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return items.select(F.col("l_orderkey").alias("repair_id"), F.col("l_partkey").alias("file_id")), parts.select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("module"))
 
 
+#: What stands for a line of code: by language, a definition, a use and three statements. Fixed values, for tests only.
+CODE = {
+    "python": ("def {}(n):", "from lib import {}", "    y = {} + 1000", "    if n < {}:", "    except {}:"),
+    "javascript": ("export function {}(n) {", "import { {} }", "    y = {} + 1000;", "    if (n < {})", "    let y = {};"),
+    "coq": ("Lemma {} : t.", "apply {}.", "Definition n := {} + 1000.", "exact {}.", "Qed {}."),
+}
+ROLES = {"en": "python", "de": "javascript", "es": "coq", "fr": "python"}
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written out as code: each line that has a word of three letters or more becomes a definition, a use or a statement about
+    that word, by hash draw, in the language that its own stands for."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    d = d.withColumn("w", F.lower(F.regexp_extract("line", "([A-Za-z]{3,})", 1))).filter("w <> ''")
+    kind = u32("code", F.concat_ws(":", "doc_id", "i")) % 5
+    as_code = F.coalesce(*[F.when((F.col("language") == k) & (kind == n), F.replace(F.lit(x), F.lit("{}"), F.col("w"))) for k, v in CODE.items() for n, x in enumerate(v)])
+    role = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in ROLES.items()])
+    d = d.withColumn("language", role).filter("language is not null").withColumn("line", as_code)
+    g = d.groupBy("language", "source", F.col("doc_id").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
+    codebase = F.concat_ws("/", "language", "source")
+    return g.select("language", codebase.alias("codebase"), "file_id", F.concat_ws("/", codebase, F.col("file_id").cast("string")).alias("path"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+
+
 #: Invented values, for tests only.
 TRAITS = [("de", "static", "strong"), ("en", "dynamic", "weak"), ("es", "dynamic", "strong"), ("fr", "static", "weak")]
 PRICES = [("de", 3.0), ("en", 1.0), ("es", 2.0), ("fr", 2.5)]
