@@ -22,12 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this process has handed out and not deleted yet.
+_held: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/codecurves-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codecurves-{tag}-{uuid.uuid4().hex}"
+    _held.add(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back, so that lost executors cost no rerun of what made it."""
+    """Cut lineage: write df as a table in the shared folder and read it back, so that lost executors cost no rerun of what made it. The
+    table stays until `discard` or `clear`, since what is returned is read whenever its result is asked for."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -39,5 +46,18 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/codecurves-" in path:
-                at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _held.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that this process has stored and not discarded, once the results that read them are written; returns how many."""
+    paths = sorted(_held)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

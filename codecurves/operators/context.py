@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parity import bucket, r6, total, u32, whole_mean, whole_t, words
+from ..functions.ranks import ranked
 from ..functions.storage import discard, new_path, stored
 from .predictors import frozen_pairs, train_ngram
 
@@ -212,7 +213,7 @@ def refactor_delta(before: DataFrame, after: DataFrame, losses_before: DataFrame
     gain = F.col("ubits_before") - F.col("ubits_after")
     bpb = lambda n: F.col(f"ubits_{n}") / F.lit(1e6) / F.col(f"bytes_{n}")
     out = out.select("codebase", "n_added", "n_removed", "n_changed", "ubits_before", "ubits_after", gain.alias("gain"), r6(bpb("after") - bpb("before")).alias("bpb_change"))
-    return out.withColumn("rank", F.rank().over(Window.orderBy(F.col("gain").desc(), "codebase")))  # one row a codebase
+    return ranked(out, [], [F.col("gain").desc(), F.col("codebase")])
 
 
 def revision_trend(losses: DataFrame) -> DataFrame:

@@ -124,3 +124,33 @@ def test_replaced_tables_are_deleted(spark):
     before = set(os.listdir(top))
     corpus.longest_paths(spark.createDataFrame([(k, k + 1) for k in range(20)], "src long, dst long")).count()
     assert len(set(os.listdir(top)) - before) <= 2  # what the result reads
+
+
+def test_ranks_by_ranges_are_those_of_one_window(spark):
+    from codecurves.functions.ranks import ranked
+
+    rng = random.Random(8)
+    rows_ = [("hot" if rng.random() < 0.7 else rng.choice("ab"), rng.choice([None, 1, 2, 3, 9]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows_, "g string, x int, k long")
+    order = [F.col("x").desc(), F.col("k")]
+    for by in (["g"], []):
+        want = {}
+        for g, x, k in sorted(rows_, key=lambda r: (-(r[1] if r[1] is not None else -1), r[2])):
+            key = g if by else None
+            want[k] = want.get(("n", key), 0) + 1
+            want["n", key] = want[k]
+        got = {r["k"]: r["rank"] for r in ranked(df, by, order).collect()}
+        assert got == {k: v for k, v in want.items() if not isinstance(k, tuple)}
+    assert ranked(df.limit(0), ["g"], order).count() == 0
+
+
+def test_clearing_leaves_no_table(spark):
+    import os
+
+    from codecurves.functions.storage import clear, shared_dir, stored
+
+    top = shared_dir(spark).removeprefix("file:").replace("///", "/").replace("//", "/")
+    kept = stored(spark.range(5), "kept")
+    assert kept.count() == 5 and any("codecurves-" in f for f in os.listdir(top))
+    assert clear(spark) >= 1 and clear(spark) == 0
+    assert not [f for f in os.listdir(top) if f.startswith("codecurves-kept")]
