@@ -40,6 +40,8 @@ RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea
 #: Elements without text of the page, and elements that are furniture.
 MUTE = frozenset("head script style noscript template iframe svg math canvas object select textarea title audio video map datalist".split())
 DROPPED = frozenset("nav footer aside form button dialog menu fieldset".split())
+#: Of those, the ones that some sites put around the whole page: an article inside them is the page's.
+WRAPPERS = frozenset("form fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: An open element of the first kind is closed by the start of one of the second.
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -54,12 +56,12 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _why_gone(name: str, attributes: dict[str, str], within: bool) -> str:
-    """Why an element's text is not the page's: "mute" (no text at all), "element", "comments" or "name" (furniture); or ''. within: it
-    stands inside an article or main element."""
+    """Why an element's text is not the page's: "mute" (no text at all), "element", "wrapper", "comments" or "name" (furniture); or ''.
+    within: it stands inside an article or main element."""
     if name in MUTE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(attributes.get("style", "")):
         return "mute"
     if name in DROPPED or (name == "header" and not within):
-        return "element"
+        return "wrapper" if name in WRAPPERS and not within else "element"
     if name in ("article", "main", "html", "body"):
         return ""
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).strip()
@@ -72,10 +74,12 @@ def _why_gone(name: str, attributes: dict[str, str], within: bool) -> str:
     return ("comments" if _COMMENTS.search(named) else "name") if why else ""
 
 
-def lines(page: str | None) -> list[tuple[str, int]]:
-    """(line, kind) of each block, in page order."""
+def lines(page: str | None, holders: tuple[str, ...] = ("name", "wrapper")) -> list[tuple[str, int]]:
+    """(line, kind) of each block, in page order. An article or main element is the page's own also inside furniture that is so for one of
+    the reasons in `holders`; where a page has none but inside other furniture (an aside, say), that one is."""
     page = page or ""
     out: list[tuple[str, int]] = []
+    hidden = False
     stack: list[tuple[str, str, bool]] = []  # name, why its text is not the page's, whether inside article or main
     text: list[str] = []
     state = ("", False)
@@ -124,7 +128,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             outer, within = stack[-1][1:] if stack else ("", False)
             attributes = _attributes(m[3]) if m[3].strip() else {}
             main = name in ("article", "main") or "main" in attributes.get("role", "").lower().split()
-            gone = "" if main and outer == "name" else outer  # a wrapper named after the site's furniture may hold the article
+            hidden |= main and outer == "element"
+            gone = "" if main and outer in holders else outer  # a wrapper named after the site's furniture may hold the article
             gone = gone or _why_gone(name, attributes, within)
             if gone and not outer:
                 end()
@@ -134,6 +139,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                 at = closing.start() if closing else len(page)
         state = stack[-1][1:] if stack else ("", False)
     end()
+    if hidden and "element" not in holders and not any(kind == OWN for _, kind in out):
+        return lines(page, (*holders, "element"))
     return out
 
 

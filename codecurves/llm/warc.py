@@ -59,8 +59,9 @@ def _header(name: str, value: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records: int = RECORDS) -> None:
-    """Write one WARC/1.1 record for each row as gzip-compressed archives under path: at most `records` records each, fewer where the
-    mean payload says that they would be more than ARCHIVE_BYTES.
+    """Write one WARC/1.1 record for each row as gzip-compressed archives under path: at most `records` records each, and payloads of
+    ARCHIVE_BYTES at most (a longer one alone). For that, records are written by classes of payload size, each four times the last, with
+    as many to an archive as the largest of the class allows.
 
     Null html is an empty payload; a null url has no target header; a null page_id an empty record name. Repeated rows give a record
     each. An empty table gives an archive without records; other columns are ignored. Spark's text writer puts the two line ends that
@@ -69,8 +70,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records: int = R
     read = with_digests(pages)
     meta = stored(read.select("page_id", "payload_digest", "payload_bytes"), "digests")
     again = stored(_revisits(meta, min_bytes), "revisits")
-    size = meta.agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("b")).first()
-    records = max(1, min(records, ARCHIVE_BYTES * max(1, size["n"]) // max(1, int(size["b"]))))
+    least = ARCHIVE_BYTES // records
+    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col("payload_bytes"), F.lit(1)) / F.lit(float(least))))).cast("int")
+    levels = sorted(r["level"] for r in meta.select(level.alias("level")).distinct().collect()) or [0]  # a few numbers
     few = again.count() <= MAX_BROADCAST_ROWS
     same = read["page_id"].eqNullSafe(again["page_id"]) & (read["payload_digest"] == again["payload_digest"])
     marked = read.join(F.broadcast(again) if few else again, same, "left").select(read["*"], again["first_id"])
@@ -93,7 +95,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records: int = R
         crlf,
         block,
     )
-    marked.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    for k in levels:
+        own = marked.filter(level == k).select(record.alias("value"))
+        own.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (least * 4**k))).text(path)
 
 
 def url_key(url: str) -> str:
