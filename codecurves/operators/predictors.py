@@ -78,6 +78,18 @@ def _rank_block(tokens: pa.Table, told: pa.Table, keep: list[str]) -> pa.Table:
     return pa.table([*kept.columns, *made], names=[*keep, "ctx", "cw", "cc", "ccw"])
 
 
+def _told(t: DataFrame, ends: DataFrame, scope: list[str]) -> DataFrame:
+    """What _rank_block is told of the blocks before each one, where codebases have several."""
+    key, over, none = [*scope, "block"], Window.partitionBy(*scope), F.lit(None).cast("string").alias("ctx")
+    many = t.join(ends.filter("blocks > 1").select(*key, "before"), key).withColumn("ctx", F.coalesce(F.lag("token").over(Window.partitionBy(*key).orderBy("pos")), "before"))
+    held = lambda *c: many.groupBy(*key, *c).agg(F.count("*").alias("n")).withColumn("off", F.sum("n").over(Window.partitionBy(*scope, *c).orderBy("block")) - F.col("n"))
+    word = stored(held("token"), "words")
+    seen = ends.join(word.select(*key, F.col("token").alias("last"), (F.col("n") + F.col("off") - 1).alias("seen")), [*key, "last"], "left")
+    seen = seen.select(*key, F.lit(0).alias("kind"), none, F.col("before").alias("token"), F.coalesce(F.lag("seen").over(over.orderBy("block")), F.lit(0)).cast("long").alias("off"))
+    told = seen.unionByName(word.filter("off > 0").select(*key, F.lit(1).alias("kind"), none, "token", "off"))
+    return told.unionByName(held("ctx", "token").filter("off > 0").select(*key, F.lit(2).alias("kind"), "ctx", "token", "off"))
+
+
 def score_adaptive(tokens: DataFrame, alpha: float = 1.0, beta: float = 1.0, by: list[str] | None = None, window: int | None = None, block: int = BLOCK) -> DataFrame:
     """Online order-1 predictor: each token is predicted from what came before it in its codebase, then learnt. by: more columns that part
     codebases (variants, revisions). window: forget everything every so many positions.
@@ -97,13 +109,9 @@ def score_adaptive(tokens: DataFrame, alpha: float = 1.0, beta: float = 1.0, by:
     over = Window.partitionBy(*scope)
     ends = t.groupBy(*key).agg(F.max_by("token", "pos").alias("last"))
     ends = stored(ends.select(*key, "last", F.coalesce(F.lag("last").over(over.orderBy("block")), F.lit("")).alias("before"), F.count("*").over(over).alias("blocks")), "ends")
-    # where a codebase has several blocks, what the earlier ones held
-    many = t.join(ends.filter("blocks > 1").select(*key, "before"), key).withColumn("ctx", F.coalesce(F.lag("token").over(Window.partitionBy(*key).orderBy("pos")), "before"))
-    held = lambda *c: many.groupBy(*key, *c).agg(F.count("*").alias("n")).withColumn("off", F.sum("n").over(Window.partitionBy(*scope, *c).orderBy("block")) - F.col("n"))
-    word, none = stored(held("token"), "words"), F.lit(None).cast("string").alias("ctx")
-    seen = ends.join(word.select(*key, F.col("token").alias("last"), (F.col("n") + F.col("off") - 1).alias("seen")), [*key, "last"], "left")
-    seen = seen.select(*key, F.lit(0).alias("kind"), none, F.col("before").alias("token"), F.coalesce(F.lag("seen").over(over.orderBy("block")), F.lit(0)).cast("long").alias("off"))
-    told = seen.unionByName(word.filter("off > 0").select(*key, F.lit(1).alias("kind"), none, "token", "off")).unionByName(held("ctx", "token").filter("off > 0").select(*key, F.lit(2).alias("kind"), "ctx", "token", "off"))
+    none = F.lit(None).cast("string").alias("ctx")
+    start = ends.select(*key, F.lit(0).alias("kind"), none, F.col("before").alias("token"), F.lit(0).cast("long").alias("off"))
+    told = start if ends.filter("blocks > 1").isEmpty() else _told(t, ends, scope)
     keep = [*by, *KEYS, "scope_pos"]
     types = {f.name: f.dataType.simpleString() for f in t.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["ctx string, cw long, cc long, ccw long"])
