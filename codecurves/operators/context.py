@@ -385,13 +385,16 @@ def repair_locality(repairs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def with_library(files: DataFrame, order: DataFrame, min_words: int = 2) -> DataFrame:
-    """Files whose lines repeated in the codebase are kept once and then named by a short reference."""
+    """Files whose lines repeated in the codebase are kept once and then named by a short reference.
+
+    The first place of a line is a partial minimum before any shuffle, and goes back to its own place, a key that no two lines share; so
+    a line that is a third of a codebase is no task's work."""
+    at = ["codebase", "seq", "line_no"]
     l = files.select("language", "codebase", "file_id", "path", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).join(order.select("codebase", "file_id", "seq"), ["codebase", "file_id"])  # noqa: E741
-    long = F.size(words(F.col("line"))) >= min_words
-    own = F.when(~long, F.concat_ws(":", "file_id", "line_no"))  # lines that stay as they are meet in no task
-    nth = F.row_number().over(Window.partitionBy("codebase", "long", "own", F.when(F.col("long"), F.col("line"))).orderBy("seq", "line_no"))
-    ref = F.concat(F.lit("@"), F.substring(F.md5(F.col("line").cast("binary")), 1, 16))
-    l = l.withColumns({"long": long, "own": own}).withColumn("line", F.when(F.col("long") & (nth > 1), ref).otherwise(F.col("line")))  # noqa: E741
+    digest, long = F.md5(F.col("line").cast("binary")), F.size(words(F.col("line"))) >= min_words
+    first = l.filter(long).groupBy("codebase", digest.alias("digest")).agg(F.min(F.struct("seq", "line_no")).alias("at"))
+    l = l.join(first.select("codebase", "at.seq", "at.line_no", F.lit(True).alias("first")), at, "left")  # noqa: E741
+    l = l.withColumn("line", F.when(long & F.col("first").isNull(), F.concat(F.lit("@"), F.substring(digest, 1, 16))).otherwise(F.col("line")))  # noqa: E741
     g = l.groupBy("language", "codebase", "file_id", "path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return g.select("language", "codebase", "file_id", "path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
 

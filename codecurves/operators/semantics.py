@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parity import bucket, r6, total, whole_t, words
+from ..functions.ranks import ranked
 from .predictors import score_adaptive
 
 VARIANTS = ("full", "no_first_line", "no_repeats", "no_punctuation", "no_blank")
@@ -165,7 +166,8 @@ def repeat_learning(losses: DataFrame, files: DataFrame, order: DataFrame, least
     l = l.withColumn("first", F.sum("n").over(Window.partitionBy("codebase", "file_id").orderBy("line_no")) - F.col("n"))  # noqa: E741
     spread = l.select("language", "codebase", "file_id", "line_no", F.md5(F.regexp_replace("line", "[0-9]+", "0").cast("binary")).alias("template"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
     cost = losses.select("codebase", "file_id", F.col("i").cast("long").alias("i"), "ubits").join(spread, ["codebase", "file_id", "i"]).groupBy("language", "codebase", "file_id", "line_no", "template").agg((total("ubits") / F.lit(1e6) / F.count("*")).alias("bits"))
-    nth = F.row_number().over(Window.partitionBy("codebase", "template").orderBy("seq", "line_no"))
-    c = cost.join(order.select("codebase", "file_id", "seq"), ["codebase", "file_id"]).withColumn("x", F.ln(nth.cast("double")))
+    cost = cost.join(order.select("codebase", "file_id", "seq"), ["codebase", "file_id"])
+    nth = ranked(cost, ["codebase", "template"], [F.col("seq"), F.col("line_no")], "nth")  # by ranges: a template may be most of a codebase
+    c = nth.withColumn("x", F.ln(F.col("nth").cast("double")))
     s = c.groupBy("language", "codebase", "template").agg(F.count("*").alias("n"), F.regr_slope("bits", "x").alias("slope")).filter(F.col("n") >= least)
     return s.groupBy("language").agg(F.count("*").alias("n_templates"), r6(F.avg("slope")).alias("mean_slope"))
