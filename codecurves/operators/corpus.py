@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graphs import components, salt_of, salted
 from ..functions.parity import r6, total, words
 from ..functions.storage import discard, new_path, stored
 
@@ -38,17 +39,24 @@ def shingles(w: Column, k: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, k))))
 
 
-def near_duplicate_pairs(files: DataFrame, k: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
-    """Pairs of near copies inside a language: an equal md5 min-hash of word k-shingles in one of `bands`, then exact Jaccard.
-
-    Pairs are between the first files of each distinct text (copies carry no further pair); a text without words has no shingle. Min-hashes
-    are partial minima before the shuffle; shingles themselves travel only for candidates."""
+def _banded(files: DataFrame, k: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first file of each distinct text of a language (language, h, content, file_id), the shingles s of those with words, and their
+    min-hash m in each band. Min-hashes are partial minima before the shuffle."""
     rep = files.groupBy("language", F.md5(F.col("content").cast("binary")).alias("h")).agg(F.min_by("content", "file_id").alias("content"), F.min("file_id").alias("file_id"))
     cut = rep.select("language", "file_id", words(F.col("content")).alias("w")).filter(F.size("w") > 0)
     s = stored(cut.select("language", "file_id", shingles(F.col("w"), k).alias("s")), "shingles")
     least = [F.min(F.md5(F.concat(F.lit(f"{b}:"), F.col("x")).cast("binary"))).alias(f"m{b}") for b in range(bands)]
     mins = s.select("language", "file_id", F.explode("s").alias("x")).groupBy("language", "file_id").agg(*least)
-    keyed = stored(mins.select("language", "file_id", F.posexplode(F.array(*[f"m{b}" for b in range(bands)])).alias("band", "m")), "min-hashes")
+    return rep, s, stored(mins.select("language", "file_id", F.posexplode(F.array(*[f"m{b}" for b in range(bands)])).alias("band", "m")), "min-hashes")
+
+
+def near_duplicate_pairs(files: DataFrame, k: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
+    """Pairs of near copies inside a language: an equal md5 min-hash of word k-shingles in one of `bands`, then exact Jaccard.
+
+    Pairs are between the first files of each distinct text (copies carry no further pair); a text without words has no shingle. A pair of
+    similarity j is missed with a chance of (1 - j)^bands: 2.6e-6 at 0.8 with eight. n near copies of each other are n^2 / 2 pairs:
+    `near_duplicate_groups` says the same in n rows."""
+    _, s, keyed = _banded(files, k, bands)
     a, b = keyed.alias("a"), keyed.alias("b")
     same = (F.col("a.language") == F.col("b.language")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.file_id") < F.col("b.file_id"))
     cand = a.join(b, same).select(F.col("a.language").alias("language"), F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b")).distinct()
@@ -58,6 +66,57 @@ def near_duplicate_pairs(files: DataFrame, k: int = 5, bands: int = 8, threshold
     return got.select("language", "file_a", "file_b", r6(j).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (file_id, hub) whose shingle sets (file_id, s) have a Jaccard similarity of `threshold` or more. Many files may have one
+    hub: its set goes out once for each salt."""
+    hub = salted(sets.join(pairs.select(F.col("hub").alias("file_id")).distinct(), "file_id", "left_semi").select(F.col("file_id").alias("hub"), F.col("s").alias("hs")))
+    got = pairs.join(sets.select("file_id", "s"), "file_id").withColumn("salt", salt_of("file_id")).join(hub, ["hub", "salt"])
+    got = got.withColumn("both", F.size(F.array_intersect("s", "hs")))
+    return got.filter(r6(F.col("both") / (F.size("s") + F.size("hs") - F.col("both"))) >= threshold).select("file_id", "hub")
+
+
+def near_duplicate_links(sets: DataFrame, keyed: DataFrame, threshold: float = 0.8, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(file_id, hub): links of the threshold between files that share a key, enough of them to join all that such links join; and
+    (file_id, hub) of the pairs that were compared for them in the second pass. keyed: language, key, file_id; sets: file_id, s.
+
+    The least file of a key is its hub, and every other member is compared with it: n near copies make n links for a key. Only members
+    that no link puts in the component of their key's hub go on, and meet those members of the key that are in another component than
+    theirs. A key's members are then dealt to blocks, each a task of its own. Files whose set sizes rule the threshold out aren't
+    compared."""
+    size = sets.select("file_id", F.size("s").alias("size"))
+    keyed = keyed.join(size, "file_id")
+    hubs = keyed.groupBy("language", "key").agg(F.min(F.struct("file_id", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("language", "key", "hub.*", "n").withColumnsRenamed({"file_id": "hub", "size": "hub_size"})
+    members = stored(keyed.withColumn("salt", salt_of("file_id")).join(salted(hubs), ["language", "key", "salt"]).drop("salt"), "members")
+    near = lambda a, b: F.least(a, b) >= F.lit(threshold - 1e-6) * F.greatest(a, b)
+    first = members.filter("file_id <> hub").filter(near(F.col("size"), F.col("hub_size"))).select("file_id", "hub").distinct()
+    direct = stored(_linked(first, sets, threshold), "hub-links")
+    label = components(direct, "file_id", "hub")
+    named = lambda d, node, name: d.join(label.select(F.col("node").alias(node), F.col("label").alias("__l")), node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
+    told = stored(named(named(members, "file_id", "own"), "hub", "core"), "told")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    left = told.filter("own <> core").select("language", "key", F.col("file_id").alias("u"), F.col("own").alias("u_own"), F.col("size").alias("u_size"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("at"))
+    right = told.join(left.select("language", "key").distinct(), ["language", "key"], "left_semi").withColumn("at", F.pmod(F.xxhash64("file_id"), blocks).cast("int"))
+    met = left.join(right, ["language", "key", "at"]).filter((F.col("u_own") != F.col("own")) & near(F.col("u_size"), F.col("size")))
+    second = stored(met.select(F.greatest("u", "file_id").alias("file_id"), F.least("u", "file_id").alias("hub")).distinct().join(first, ["file_id", "hub"], "left_anti"), "second-pass")
+    return direct.unionByName(_linked(second, sets, threshold)), second
+
+
+def near_duplicate_groups(files: DataFrame, k: int = 5, bands: int = 8, threshold: float = 0.8) -> DataFrame:
+    """language, file_id, group_id of every file: files are in one group if copies and pairs of `near_duplicate_pairs` join them, and the
+    group is named by its least file. A text without words is in a group with its copies only; a null content is one with other nulls.
+
+    Output and links grow with files, not with pairs. Shingles are compared as 64-bit hashes."""
+    rep, s, keyed = _banded(files, k, bands)
+    sets = stored(s.select("file_id", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), "hashed-shingles")
+    links, _ = near_duplicate_links(sets, keyed.select("language", F.xxhash64("band", "m").alias("key"), "file_id"), threshold)
+    label = components(links, "file_id", "hub").select(F.col("node").alias("rep"), F.col("label").alias("group_id"))
+    of_text = stored(rep.select("language", "h", F.col("file_id").alias("rep")).join(label, "rep", "left").select("language", "h", F.coalesce("group_id", "rep").alias("group_id")), "of-text")
+    own = files.select("language", "file_id", F.md5(F.col("content").cast("binary")).alias("h"), salt_of("file_id")).alias("f")
+    to = salted(of_text).alias("t")
+    on = F.col("f.language").eqNullSafe(F.col("t.language")) & F.col("f.h").eqNullSafe(F.col("t.h")) & (F.col("f.salt") == F.col("t.salt"))
+    return own.join(to, on).select("f.language", "f.file_id", "t.group_id")
+
+
 def order_shuffled(files: DataFrame, seed: str = "s0") -> DataFrame:
     """A reproducible shuffle of each codebase's files. Only names are sorted, never content."""
     w = Window.partitionBy("codebase").orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("file_id").cast("string")).cast("binary")), "file_id")

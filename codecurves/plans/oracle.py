@@ -383,3 +383,7 @@ ORACLE = {
     "k3_band_contrast": sql(*L, FLOSS, "sp AS (SELECT file_id // 4 AS spec, language, file_id, round(ln(length(content) + 1e0), 6) AS q FROM files)",
         "bq AS (SELECT a.language AS lang_a, b.language AS lang_b, a.file_id AS file_a, b.file_id AS file_b FROM sp a JOIN sp b ON a.spec = b.spec AND a.language < b.language AND abs(a.q - b.q) <= 5e-1)", CONTRAST.format(pairs="bq")),
 }
+ORACLE["a4_near_duplicate_groups"] = sql(FILES, f"p AS ({ORACLE['a4_near_duplicate_pairs']})", "rep AS (SELECT language, content, min(file_id) AS file_id FROM files GROUP BY ALL)",
+    "e AS (SELECT file_a AS a, file_b AS b FROM p UNION ALL SELECT file_b, file_a FROM p)", "r AS (SELECT file_id, file_id AS x FROM rep UNION SELECT r.file_id, e.b FROM r JOIN e ON r.x = e.a)",
+    "g AS (SELECT file_id, min(x) AS group_id FROM r GROUP BY ALL)",
+    "SELECT files.language, files.file_id, group_id FROM files JOIN rep ON files.language IS NOT DISTINCT FROM rep.language AND files.content IS NOT DISTINCT FROM rep.content JOIN g ON g.file_id = rep.file_id")

@@ -92,6 +92,11 @@ def a4_near_duplicate_pairs(x):
     return corpus.near_duplicate_pairs(x.files)
 
 
+@query
+def a4_near_duplicate_groups(x):
+    return corpus.near_duplicate_groups(x.files)
+
+
 @query
 def a5_order_shuffled(x):
     return x.order
