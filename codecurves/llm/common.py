@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.graphs import components, salt_of, salted  # noqa: F401
 from ..functions.storage import discard, new_path, shared_dir, stored  # noqa: F401  (operators take them from here)
 
 #: Largest number of rows that any operator turns into a broadcast table; every broadcast is checked against a bound.
@@ -127,45 +128,6 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h ^ (low * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-#: Parts that the edges of one node are dealt to in a star round, so that a hub's edges are several tasks' work.
-STAR_SALTS = 8
-
-
-def salted(nodes: DataFrame) -> DataFrame:
-    """Every row once for each salt."""
-    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list by alternating large-star and small-star rounds; returns (node, label), label the
-    smallest node reachable.
-
-    Each round is two aggregations (partial before the shuffle) and joins on the edge list, whose rows are salted so that a node with very
-    many neighbours is several tasks' work. Rounds are written to shared storage, and the rounds before deleted; nothing is collected but
-    a count and a checksum."""
-    live = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        # each edge (u > v) goes from v, which sends u on to the least it knows
-        least = live.select(F.col("v").alias("x"), F.col("v").alias("y")).unionByName(live.select(F.col("u").alias("x"), F.col("v").alias("y"))).groupBy("x").agg(F.min("y").alias("m"))
-        by_low = live.select("u", F.col("v").alias("x"), salt_of("u")).join(salted(least), ["x", "salt"])
-        large = stored(by_low.select("u", F.col("m").alias("v")).distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        by_high = large.select("u", "v", salt_of("v")).join(salted(low), ["u", "salt"])
-        small = by_high.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        last, live = live, stored(small.distinct(), "small-star")
-        now = live.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-        discard(last, large)
-        if now == before:
-            break
-        before = now
-    return live.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(live.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label")))
-
-
-def salt_of(column: str) -> Column:
-    return F.pmod(F.hash(column), F.lit(STAR_SALTS)).alias("salt")
-
-
 def group_least(rows: DataFrame, node: str, own: str, label: DataFrame) -> DataFrame:
     """(node, salt, least): the smallest `own` of all rows of a node's component, once for each salt, for nodes that several rows have or
     that are linked; all other rows are their own least. label: (node, label) of linked nodes.
