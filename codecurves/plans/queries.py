@@ -465,6 +465,11 @@ def i4_context_fanout(x):
     return context.context_fanout(x.files, x.edges)
 
 
+@query
+def i4_context_fanout_sketched(x):
+    return context.context_fanout_sketched(x.files, x.edges, hops=4)
+
+
 def _after(x):
     l = semantics.ablate(x.files, ("no_repeats",))  # noqa: E741
     g = l.groupBy("language", "codebase", "file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
