@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graphs import salt_of, salted
 from ..functions.parity import bucket, r6, total, u32, whole_mean, whole_t, words
 from ..functions.ranks import ranked
 from ..functions.storage import discard, new_path, stored
@@ -284,43 +285,83 @@ def fit_topics(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("vec_id", F.col("prediction").alias("topic"))
 
 
-def match_topic_pairs(items: DataFrame, planes: int = 0, block: int = 2048) -> DataFrame:
-    """items: language, codebase, file_id, topic, embedding. Mutual nearest neighbours of two languages inside a topic; of equally near
-    ones the smallest file_id counts.
-
-    Every item meets every item of its topic, in pairs of blocks (distances in numpy inside tasks), and only the least distance of each
-    item to each other language leaves a task, so no pairs are shuffled. The work grows with the square of a topic. planes: seek only among items
-    that agree in the signs of that many first coordinates, which is faster and loses pairs (on the test tables three planes keep a
-    fifth of the true ones)."""
-    signs = F.array_join(F.transform(F.slice("embedding", 1, max(planes, 1)), lambda x: F.when(x >= 0, "1").otherwise("0")), "") if planes else F.lit("")
-    i = items.select("topic", signs.alias("signs"), "language", "file_id", F.col("embedding").cast("array<double>").alias("v"))
-
-    def nearest(got: pa.Table) -> pa.Table:
-        i, j = got["i"][0].as_py(), got["j"][0].as_py()
-        own, file, lang = got["own"].to_numpy(), got["file_id"].to_numpy(), np.array(got["language"].to_pylist())
+def _to_pivots(items: DataFrame, pivots: int) -> DataFrame:
+    """items with dp, the distances to their topic's pivots (the `pivots` items of least hash), and cell, the nearest of them."""
+    nth = F.row_number().over(Window.partitionBy("topic").orderBy(F.xxhash64("file_id"), "file_id"))
+    chosen = items.withColumn("nth", nth).filter(F.col("nth") <= pivots)
+    of_topic = chosen.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("p"))
+    near = items.withColumn("salt", salt_of("file_id")).join(salted(of_topic), ["topic", "salt"])
+    apart = lambda p: F.sqrt(F.aggregate(F.zip_with("v", p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near = near.withColumn("dp", F.transform("p", apart))
+    return near.select(*items.columns, "dp", (F.array_position("dp", F.array_min("dp")) - 1).cast("int").alias("cell"))
+
+
+def _nearest(visits: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """topic, lang, file, other, d, near: of each visit (topic, other, cell, language, file_id, v) the nearest member of that cell whose
+    language is `other`. Members and visits of a cell are dealt to blocks, and two blocks are a task."""
+    cell = ["topic", "other", "cell"]
+    size = lambda d, name: d.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    sizes = salted(size(visits, "n_a").join(size(members, "n_b"), cell))
+    at = F.xxhash64("file_id")
+    one = visits.withColumn("salt", salt_of("file_id")).join(sizes, [*cell, "salt"]).select(*cell, "language", "file_id", "v", F.lit(True).alias("visits"), F.pmod(at, "n_a").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("j"))
+    two = members.withColumn("salt", salt_of("file_id")).join(sizes, [*cell, "salt"]).select(*cell, "language", "file_id", "v", F.lit(False).alias("visits"), F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("i"), F.pmod(at, "n_b").cast("int").alias("j"))
+
+    def least(got: pa.Table) -> pa.Table:
+        side, file, lang = got["visits"].to_numpy(), got["file_id"].to_numpy(), got["language"].to_pylist()
         v = np.array(got["v"].to_pylist())
-        out = []
-        for one, two in {(i, j), (j, i)}:
-            for other in np.unique(lang):
-                b = np.flatnonzero((own == two) & (lang == other))
-                b = b[np.argsort(file[b], kind="stable")]
-                for a in np.flatnonzero((own == one) & (lang != other)) if len(b) else ():
-                    d = np.round(((v[b] - v[a]) ** 2).sum(1), 6)
-                    k = int(np.argmin(d))
-                    out.append((lang[a], int(file[a]), other, float(d[k]), int(file[b[k]])))
-        cols = zip(*out, strict=True) if out else [[]] * 5
-        types = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64())
-        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("lang", "file", "other", "d", "near"), cols, types, strict=True)})
-
-    tasks = in_block_pairs(i.filter("topic is not null and v is not null"), ["topic", "signs"], "file_id", block)
-    kind = items.schema["topic"].dataType.simpleString()
-
-    def with_topic(got: pa.Table) -> pa.Table:
-        out = nearest(got)
-        return out.add_column(0, "topic", pa.array([got["topic"][0].as_py()] * len(out), got["topic"].type))
-
-    near = tasks.groupBy("topic", "signs", "i", "j").applyInArrow(with_topic, f"topic {kind}, lang string, file long, other string, d double, near long")
-    best = stored(near.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near"), "nearest")
+        b = np.flatnonzero(~side)
+        b = b[np.argsort(file[b], kind="stable")]  # of equally near ones the smallest file_id
+        a = np.flatnonzero(side) if len(b) else b
+        d, near = np.zeros(len(a)), np.zeros(len(a), np.int64)
+        for n, k in enumerate(a):
+            apart = np.round(((v[b] - v[k]) ** 2).sum(1), 6)
+            x = int(np.argmin(apart))
+            d[n], near[n] = apart[x], file[b[x]]
+        whole = lambda c: pa.array([got[c][0].as_py()] * len(a), got[c].type)
+        return pa.table({"topic": whole("topic"), "lang": pa.array([lang[k] for k in a], pa.string()), "file": pa.array(file[a]), "other": whole("other"), "d": pa.array(d), "near": pa.array(near)})
+
+    kind = members.schema["topic"].dataType.simpleString()
+    found = one.unionByName(two).groupBy(*cell, "i", "j").applyInArrow(least, f"topic {kind}, lang string, file long, other string, d double, near long")
+    return found.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near")
+
+
+def topic_visits(items: DataFrame, pivots: int = 16, block: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `match_topic_pairs` compares: the nearest item of each other language in an item's own cell (as `_nearest` gives it), the
+    visits to other cells that the bounds leave, and the members of each cell.
+
+    By the triangle inequality no member of a cell is nearer to an item than its distances to the pivots are away from the range that the
+    cell's members have to the same pivots. A cell is visited if that is no more than the item's nearest so far: what its own cell gave, or
+    where that has no item of the language, the sum of ways over a pivot, which some member is known to have. Distances are compared with
+    a margin above their rounding."""
+    cell = ["topic", "other", "cell"]
+    i = items.select("topic", "language", "file_id", F.col("embedding").cast("array<double>").alias("v")).filter("topic is not null and v is not null")
+    i = stored(_to_pivots(i, pivots), "to-pivots")
+    members = i.withColumn("other", F.col("language"))
+    edge = [f(F.get("dp", F.lit(q))).alias(f"{n}{q}") for q in range(pivots) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    of = lambda n: F.array(*[f"{n}{q}" for q in range(pivots)]).alias(n)
+    cells = stored(members.groupBy(*cell).agg(*edge).select(*cell, of("lo"), of("hi"), F.get(of("lo"), F.col("cell")).alias("least")), "cells")
+    every = salted(cells)
+    met = i.withColumnRenamed("cell", "own").withColumn("salt", salt_of("file_id")).join(every, ["topic", "salt"]).filter("language <> other")
+    first = stored(_nearest(met.filter("own = cell").select(*cell, "language", "file_id", "v"), members, block), "own-cells")
+    ways = met.groupBy("topic", "file_id", "other").agg(F.min(F.get("dp", F.col("cell")) + F.col("least")).alias("way"))
+    so_far = first.select("topic", F.col("file").alias("file_id"), "other", "d")
+    upper = ways.join(so_far, ["topic", "file_id", "other"], "left").select("topic", "file_id", "other", F.coalesce(F.sqrt(F.col("d") + 2e-6), F.col("way")).alias("upper"))
+    gap = F.zip_with("dp", F.zip_with("lo", "hi", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), lambda x, r: F.greatest(r["lo"] - x, x - r["hi"], F.lit(0.0)))
+    left = met.filter("own <> cell").withColumn("lower", F.array_max(gap)).join(upper, ["topic", "file_id", "other"])
+    second = left.filter(F.col("lower") <= F.col("upper") * (1 + 1e-9) + 1e-6).select(*cell, "language", "file_id", "v")
+    return first, stored(second, "visits"), members
+
+
+def match_topic_pairs(items: DataFrame, pivots: int = 16, block: int = 2048) -> DataFrame:
+    """items: language, codebase, file_id, topic, embedding. Mutual nearest neighbours of two languages inside a topic; of equally near
+    ones the smallest file_id counts. Items without topic or embedding match nothing.
+
+    Exact. Items lie in cells around `pivots` items of their topic; each meets its own cell, and then only cells that may hold a nearer one
+    (`topic_visits`): far fewer than all where vectors are in clumps, all where they aren't. Distances are found in numpy inside tasks of two
+    blocks, and only the least of each leaves a task. About the square root of a topic's size is a good number of pivots."""
+    first, visits, members = topic_visits(items, pivots, block)
+    every = first.unionByName(_nearest(visits, members, block))
+    best = stored(every.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near"), "nearest")
     a, b = best.filter("lang < other").alias("a"), best.filter("lang > other").alias("b")
     on = [F.col(f"a.{x}") == F.col(f"b.{y}") for x, y in (("topic", "topic"), ("lang", "other"), ("other", "lang"), ("near", "file"), ("file", "near"))]
     return a.join(b, on).select("a.topic", F.col("a.lang").alias("lang_a"), F.col("a.other").alias("lang_b"), F.col("a.file").alias("file_a"), F.col("a.near").alias("file_b"), F.col("a.d").alias("distance"))
