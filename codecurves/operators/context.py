@@ -285,10 +285,13 @@ def fit_topics(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("vec_id", F.col("prediction").alias("topic"))
 
 
-def _to_pivots(items: DataFrame, pivots: int) -> DataFrame:
-    """items with dp, the distances to their topic's pivots (the `pivots` items of least hash), and cell, the nearest of them."""
+def _to_pivots(items: DataFrame, pivots: int, sparse: int) -> DataFrame:
+    """items with dp, the distances to their topic's pivots, and cell, the nearest of them. Pivots are the topic's items of least hash, one
+    for each `sparse` items, at most `pivots`."""
     nth = F.row_number().over(Window.partitionBy("topic").orderBy(F.xxhash64("file_id"), "file_id"))
     chosen = items.withColumn("nth", nth).filter(F.col("nth") <= pivots)
+    n = items.groupBy("topic").agg(F.least(F.lit(pivots), F.ceil(F.count("*") / F.lit(sparse))).cast("int").alias("n"))
+    chosen = chosen.join(n, "topic").filter("nth <= n")
     of_topic = chosen.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("p"))
     near = items.withColumn("salt", salt_of("file_id")).join(salted(of_topic), ["topic", "salt"])
     apart = lambda p: F.sqrt(F.aggregate(F.zip_with("v", p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -325,9 +328,9 @@ def _nearest(visits: DataFrame, members: DataFrame, block: int) -> DataFrame:
     return found.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near")
 
 
-def topic_visits(items: DataFrame, pivots: int = 16, block: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
+def topic_visits(items: DataFrame, pivots: int = 16, block: int = 2048, sparse: int = 2048) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """What `match_topic_pairs` compares: the nearest item of each other language in an item's own cell (as `_nearest` gives it), the
-    visits to other cells that the bounds leave, and the members of each cell.
+    visits to other cells that the bounds leave (none where every topic is one cell), and the members of each cell.
 
     By the triangle inequality no member of a cell is nearer to an item than its distances to the pivots are away from the range that the
     cell's members have to the same pivots. A cell is visited if that is no more than the item's nearest so far: what its own cell gave, or
@@ -335,7 +338,7 @@ def topic_visits(items: DataFrame, pivots: int = 16, block: int = 2048) -> tuple
     a margin above their rounding."""
     cell = ["topic", "other", "cell"]
     i = items.select("topic", "language", "file_id", F.col("embedding").cast("array<double>").alias("v")).filter("topic is not null and v is not null")
-    i = stored(_to_pivots(i, pivots), "to-pivots")
+    i = stored(_to_pivots(i, pivots, sparse), "to-pivots")
     members = i.withColumn("other", F.col("language"))
     edge = [f(F.get("dp", F.lit(q))).alias(f"{n}{q}") for q in range(pivots) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     of = lambda n: F.array(*[f"{n}{q}" for q in range(pivots)]).alias(n)
@@ -344,6 +347,8 @@ def topic_visits(items: DataFrame, pivots: int = 16, block: int = 2048) -> tuple
     met = i.withColumnRenamed("cell", "own").withColumn("salt", salt_of("file_id")).join(every, ["topic", "salt"]).filter("language <> other")
     first = stored(_nearest(met.filter("own = cell").select(*cell, "language", "file_id", "v"), members, block), "own-cells")
     ways = met.groupBy("topic", "file_id", "other").agg(F.min(F.get("dp", F.col("cell")) + F.col("least")).alias("way"))
+    if cells.filter("cell > 0").isEmpty():  # no topic has a second pivot
+        return first, None, members
     so_far = first.select("topic", F.col("file").alias("file_id"), "other", "d")
     upper = ways.join(so_far, ["topic", "file_id", "other"], "left").select("topic", "file_id", "other", F.coalesce(F.sqrt(F.col("d") + 2e-6), F.col("way")).alias("upper"))
     gap = F.zip_with("dp", F.zip_with("lo", "hi", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), lambda x, r: F.greatest(r["lo"] - x, x - r["hi"], F.lit(0.0)))
@@ -352,16 +357,18 @@ def topic_visits(items: DataFrame, pivots: int = 16, block: int = 2048) -> tuple
     return first, stored(second, "visits"), members
 
 
-def match_topic_pairs(items: DataFrame, pivots: int = 16, block: int = 2048) -> DataFrame:
+def match_topic_pairs(items: DataFrame, pivots: int = 16, block: int = 2048, sparse: int = 2048) -> DataFrame:
     """items: language, codebase, file_id, topic, embedding. Mutual nearest neighbours of two languages inside a topic; of equally near
     ones the smallest file_id counts. Items without topic or embedding match nothing.
 
-    Exact. Items lie in cells around `pivots` items of their topic; each meets its own cell, and then only cells that may hold a nearer one
-    (`topic_visits`): far fewer than all where vectors are in clumps, all where they aren't. Distances are found in numpy inside tasks of two
-    blocks, and only the least of each leaves a task. About the square root of a topic's size is a good number of pivots."""
-    first, visits, members = topic_visits(items, pivots, block)
-    every = first.unionByName(_nearest(visits, members, block))
-    best = stored(every.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near"), "nearest")
+    Exact. Items lie in cells around pivots, items of their topic (one for each `sparse` items, at most `pivots`); each meets its own cell, and
+    then only cells that may hold a nearer one (`topic_visits`): far fewer than all where vectors are in clumps, all where they aren't.
+    Distances are found in numpy inside tasks of two blocks, and only the least of each leaves a task."""
+    first, visits, members = topic_visits(items, pivots, block, sparse)
+    best = first
+    if visits is not None:
+        every = first.unionByName(_nearest(visits, members, block))
+        best = stored(every.groupBy("topic", "lang", "file", "other").agg(F.min(F.struct("d", "near")).alias("b")).select("topic", "lang", "file", "other", "b.d", "b.near"), "nearest")
     a, b = best.filter("lang < other").alias("a"), best.filter("lang > other").alias("b")
     on = [F.col(f"a.{x}") == F.col(f"b.{y}") for x, y in (("topic", "topic"), ("lang", "other"), ("other", "lang"), ("near", "file"), ("file", "near"))]
     return a.join(b, on).select("a.topic", F.col("a.lang").alias("lang_a"), F.col("a.other").alias("lang_b"), F.col("a.file").alias("file_a"), F.col("a.near").alias("file_b"), F.col("a.d").alias("distance"))
