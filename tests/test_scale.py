@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from test_known_answers import files
 
@@ -154,3 +155,19 @@ def test_clearing_leaves_no_table(spark):
     assert kept.count() == 5 and any("codecurves-" in f for f in os.listdir(top))
     assert clear(spark) >= 1 and clear(spark) == 0
     assert not [f for f in os.listdir(top) if f.startswith("codecurves-kept")]
+
+
+@pytest.mark.parametrize("kind", ["word", "char", "line"])
+def test_files_dealt_whole_give_the_losses_of_tokens(spark, kind):
+    """No token is a row before it is scored, whatever the blocks; a file may be longer than a block, begin or end with an empty line."""
+    texts = [("A", 0, "a b a ü\n\nb a c\n"), ("A", 1, None), ("A", 2, "a"), ("A", 3, "\n\na b a b a b a b a ü a b\na"), ("B", 4, "a b"), ("C", 5, "  ")]
+    f = spark.createDataFrame([("x", c, k, str(k), t) for c, k, t in texts], "language string, codebase string, file_id long, path string, content string")
+    order = f.select("codebase", "file_id", (F.col("file_id") + 1).alias("seq"))
+    want = sorted(map(tuple, predictors.score_adaptive(corpus.assign_positions(corpus.tokenize(f, kind), order)).collect()))
+    packed = corpus.place_tokens(corpus.pack_tokens(f, kind), order)
+    assert packed.count() < len(want)
+    assert sorted(map(tuple, predictors.score_adaptive(packed, block=3).collect())) == want
+    pairs = lambda t: sorted(map(tuple, predictors.train_ngram(t)[0].collect()))
+    assert pairs(packed) == pairs(corpus.assign_positions(corpus.tokenize(f, kind), order))
+    plan = predictors.train_ngram(packed)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Exchange") and "Generate" not in plan[plan.index("Join") :]  # cut behind the join of files
