@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parity import total
+from ..functions.storage import stored
 from ..schema import FILES
 
 #: File extension to language, for corpora of plain files. A caller's map may replace it.
@@ -56,6 +57,7 @@ def ingest_losses(tokens: DataFrame, dump: DataFrame, log_base: str = "e") -> tu
     per_bit = {"e": 0.6931471805599453, "2": 1.0, "10": 0.30102999566398120}[log_base]
     one = dump.groupBy(*key).agg(F.min("logprob").alias("logprob"), (F.count("*") - 1).alias("extra"))
     joined = tokens.join(one, key, "full_outer").select("language", *key, "pos", "n_bytes", "n_chars", "logprob", "extra")
+    joined = stored(joined, "ingested")  # both results are made of it
     losses = joined.filter("language is not null and logprob is not null").withColumn("ubits", F.round(-F.col("logprob") / F.lit(per_bit) * F.lit(1e6)).cast("long"))
     seen, told = F.col("language").isNotNull(), F.col("logprob").isNotNull()
     as_n = lambda c: total(F.when(c, 1).otherwise(0))
