@@ -1,9 +1,11 @@
 """What is told of tokens travels with their files: the same figures as by joins of tokens, and no token is dealt once it is scored."""
 
+import random
+
 from pyspark.sql import functions as F
 from test_known_answers import files
 
-from codecurves.operators import corpus, predictors
+from codecurves.operators import checks, corpus, predictors
 
 TEXTS = ["der Hund läuft. der Hund\nschläft nie", "a b a b\n\na b c", "", "ein Wort", "x\ty  z\nx y\n"]
 
@@ -27,3 +29,49 @@ def test_byte_positions_travel_with_files(spark):
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     both = predictors.score_adaptive(placed, columns=["language", "byte_pos", "n_bytes"])
     assert exchanges(predictors.tokenizer_bias(both.withColumn("tokenizer", F.lit("char")))) == 2  # of blocks and of sums
+
+
+def noisy_of(spark, *texts):
+    f, order = ordered(spark, *texts)
+    placed = corpus.place_tokens(corpus.pack_tokens(f), order)
+    tokens = corpus.unpack_tokens(placed)
+    return checks.noisy_texts(placed, percent=30, ahead=2), tokens, *checks.inject_noise(tokens, percent=30, ahead=2)
+
+
+LONG = [" ".join(f"w{(k * j) % (7 + j)}" for k in range(5 + 9 * j)) for j in range(12)]
+
+
+def test_noise_of_files_is_that_of_tokens(spark):
+    marked, _, noisy, mutations = noisy_of(spark, *TEXTS, *LONG)
+    new = corpus.unpack_tokens(marked).select("file_id", "i", "token", "n_bytes", "n_chars", "pos")
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, noisy.select(*new.columns).collect()))
+    hits = marked.select("file_id", F.posexplode("marks").alias("i", "mark")).filter("mark % 2 = 1").select("file_id", "i")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, mutations.select("file_id", "i").collect())) and hits.count() > 20
+
+
+def test_surprise_is_summed_where_tokens_are_scored(spark):
+    marked, tokens, noisy, mutations = noisy_of(spark, *TEXTS, *LONG)
+    want = checks.surprise_delta(predictors.score_adaptive(tokens), predictors.score_adaptive(noisy), mutations).collect()
+    for block in (5, 1 << 18):
+        sides = [predictors.score_adaptive(t, block=block, columns=["language", "pos", "mark"]) for t in (marked.withColumn("text", F.col("clean")), marked)]
+        assert sorted(checks.surprise_sums(*sides).collect()) == sorted(want)
+
+
+def test_quality_by_packed_ranges_is_that_of_all_pairs(spark):
+    draw = random.Random(5)
+    rows = [(2**draw.randint(0, 4), draw.choice([7, 131071, 131072, 10**6, 10**8, draw.randint(0, 10**7)]), draw.random() < 0.2) for _ in range(3000)]
+    losses = spark.createDataFrame([(p, u, int(b)) for p, u, b in rows], "pos long, ubits long, mark int")
+    want = {}
+    for k in range(5):
+        good, bad = ([u for p, u, b in rows if p == 2**k and b == w] for w in (False, True))
+        want[k] = (len(bad), len(good), round(sum((g < b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad), 6))
+    got = {r["bucket"]: (r["n_pos"], r["n_neg"], r["auc"]) for r in checks.anomaly_quality(losses).collect()}
+    assert got == want
+
+
+def test_most_surprising_tokens_are_dealt_by_file(spark):
+    marked, _, noisy, mutations = noisy_of(spark, *TEXTS, *LONG)
+    losses = predictors.score_adaptive(marked, block=16, columns=["language", "codebase", "file_id", "i", "mark"])
+    got = checks.anomaly_top_k_of_files(losses, marked)
+    assert got.collect() == checks.anomaly_top_k(predictors.score_adaptive(noisy), mutations).collect()
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
