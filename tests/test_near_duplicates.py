@@ -119,3 +119,15 @@ def test_chains_copies_and_empty_texts(spark):
         ends.append(plain_groups(range(len(texts)), [*copies, *((r["hub"], r["file_id"]) for r in links.collect())]))
     assert ends == [want, want]
     assert corpus.near_duplicate_groups(files.limit(0)).count() == 0
+
+
+def test_pairs_are_compared_by_sets_made_once(spark):
+    draw = random.Random(8)
+    text = [f"w{draw.randint(0, 5000)}" for _ in range(3000)]
+    texts = [" ".join(text[:k] + ["x"] + text[k + 1 :]) for k in range(0, 1500, 100)] + [" ".join(text[:9]), "w1", ""]
+    own = spark.createDataFrame([("c", "c", k, "", t) for k, t in enumerate(texts)], "language string, codebase string, file_id long, path string, content string")
+    pairs = corpus.near_duplicate_pairs(own)
+    assert "regexp_replace" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # no text is cut for a pair
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (t.split() for t in texts)]
+    got = {(r["file_a"], r["file_b"]): r["jaccard"] for r in pairs.collect()}
+    assert got == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(15) for b in range(a + 1, 15)}
