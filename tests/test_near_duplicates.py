@@ -131,3 +131,11 @@ def test_pairs_are_compared_by_sets_made_once(spark):
     sets = [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (t.split() for t in texts)]
     got = {(r["file_a"], r["file_b"]): r["jaccard"] for r in pairs.collect()}
     assert got == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(15) for b in range(a + 1, 15)}
+
+
+def test_hub_sets_go_out_once_for_so_many_pairs(spark):
+    sets = spark.createDataFrame([(k, [*range(10), 100 + k]) for k in range(12)], "file_id long, s array<long>")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 9)] + [(11, 10)], "file_id long, hub long")
+    for hot in (3, 256):
+        got = corpus._compared(pairs, sets, 0.5, hot).collect()
+        assert sorted(map(tuple, got)) == sorted((*map(int, p), round(10 / 12, 6)) for p in pairs.collect())
