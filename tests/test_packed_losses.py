@@ -105,3 +105,18 @@ def test_windows_are_cut_out_of_files(spark):
         got = corpus.packed_windows(placed, 16)
         assert sorted(got.collect()) == sorted(w.collect()) and w.count() > 5
         assert "token#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frozen_losses_of_files_are_those_of_pairs(spark):
+    both = [files(spark, *t, language=lang, codebase=c) for lang, c, t in (("x", "c", LONG[:7]), ("y", "d", [*LONG[5:], "", "einmal"]), ("z", "e", ["nie gelernt w1"]))]
+    f = both[0].unionByName(both[1]).unionByName(both[2])
+    placed = corpus.place_tokens(corpus.pack_tokens(f), corpus.order_shuffled(f))
+    test, train = placed.filter("file_id % 3 = 0"), placed.filter("file_id % 3 > 0").withColumn("rung", F.explode(F.array(F.lit(1), F.lit(2)))).filter("rung = 2 or file_id % 2 = 0")
+    for by, learnt in ((["language"], train.filter("rung = 2").drop("rung")), (["rung", "language"], train), (["rung", "train_lang"], train.withColumnRenamed("language", "train_lang"))):
+        want = predictors.frozen_pairs(test, predictors.train_ngram(learnt, by), by, {"bucket": predictors.bucket(F.col("pos"))})
+        cols = [*dict.fromkeys([*by, "language"]), "bucket", "n_bytes", "ubits"]
+        sums = lambda d: sorted(map(tuple, d.groupBy(*cols).agg(F.sum("n")).collect()))
+        for block in (20, 1 << 18):
+            got = predictors.frozen_blocks(test, learnt, by, buckets=True, block=block)
+            assert sums(got) == sums(want) and len(sums(want)) > 20
+    assert "ctx" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair is dealt as a row
