@@ -50,11 +50,33 @@ def read_curves(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: What a log-probability is divided by to be bits, by the base of the logarithm.
+PER_BIT = {"e": 0.6931471805599453, "2": 1.0, "10": 0.30102999566398120}
+
+
+def ingest_sums(sizes: DataFrame, dump: DataFrame, log_base: str = "e") -> DataFrame:
+    """The coverage that `ingest_losses` counts, with the bits of matched tokens, by language. sizes: language, codebase, file_id, n (tokens of each
+    file). A dump's row is dealt once, by file, where equal rows meet and the file's size tells whether it has that token; no token is a row."""
+    own = ["codebase", "file_id"]
+    sizes = sizes.select("language", *own, "n")
+    one = dump.select(*own, "i", "logprob").repartition(*own).groupBy(*own, "i").agg(F.min("logprob").alias("logprob"), (F.count("*") - 1).alias("extra"))
+    d = one.join(sizes, own, "left").withColumn("held", F.coalesce((F.col("i") >= 0) & (F.col("i") < F.col("n")), F.lit(False)))
+    matched = F.col("held") & F.col("language").isNotNull() & F.col("logprob").isNotNull()
+    as_n = lambda c: total(F.when(c, 1).otherwise(0))
+    bits = F.round(-F.col("logprob") / F.lit(PER_BIT[log_base]) * F.lit(1e6)).cast("long")
+    zero = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
+    d = d.groupBy(F.when(F.col("held"), F.col("language")).alias("language")).agg(as_n(matched).alias("n_matched"), as_n(~F.col("held")).alias("n_orphan"), total("extra").alias("n_duplicate"), total(F.when(matched, bits).otherwise(0)).alias("ubits"))
+    known = F.col("language").isNotNull()
+    t = sizes.groupBy("language").agg(total("n").alias("n")).select("language", F.when(known, F.col("n")).otherwise(0).alias("n_tokens"), *zero("n_matched"), F.when(known, 0).otherwise(F.col("n")).alias("n_orphan"), *zero("n_duplicate", "ubits"))
+    s = t.unionByName(d.select("language", *zero("n_tokens"), "n_matched", "n_orphan", "n_duplicate", "ubits")).groupBy("language").agg(*[total(c).alias(c) for c in ("n_tokens", "n_matched", "n_orphan", "n_duplicate", "ubits")])
+    return s.select("language", "n_tokens", "n_matched", (F.col("n_tokens") - F.col("n_matched")).alias("n_missing"), "n_orphan", "n_duplicate", "ubits")
+
+
 def ingest_losses(tokens: DataFrame, dump: DataFrame, log_base: str = "e") -> tuple[DataFrame, DataFrame]:
     """Attach an inference run's log-probabilities (dump: codebase, file_id, i, logprob) to tokens. Returns (losses, coverage): coverage
     counts tokens, matched, missing, orphans and surplus duplicates by language (orphans under null)."""
     key = ["codebase", "file_id", "i"]
-    per_bit = {"e": 0.6931471805599453, "2": 1.0, "10": 0.30102999566398120}[log_base]
+    per_bit = PER_BIT[log_base]
     one = dump.groupBy(*key).agg(F.min("logprob").alias("logprob"), (F.count("*") - 1).alias("extra"))
     joined = tokens.join(one, key, "full_outer").select("language", *key, "pos", "n_bytes", "n_chars", "logprob", "extra")
     joined = stored(joined, "ingested")  # both results are made of it

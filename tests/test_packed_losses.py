@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_known_answers import files
 
 from codecurves.operators import checks, corpus, predictors, semantics
+from codecurves.sources import corpus_io
 
 TEXTS = ["der Hund läuft. der Hund\nschläft nie", "a b a b\n\na b c", "", "ein Wort", "x\ty  z\nx y\n"]
 
@@ -120,3 +121,15 @@ def test_frozen_losses_of_files_are_those_of_pairs(spark):
             got = predictors.frozen_blocks(test, learnt, by, buckets=True, block=block)
             assert sums(got) == sums(want) and len(sums(want)) > 20
     assert "ctx" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair is dealt as a row
+
+
+def test_ingested_sums_are_those_of_tokens(spark):
+    f, order = ordered(spark, *TEXTS, *LONG[:4])
+    f = f.withColumn("language", F.when(F.col("file_id") != 6, F.col("language")))
+    placed = corpus.place_tokens(corpus.pack_tokens(f), order)
+    rows = [("c", k, i, -1.5 * i) for k in range(9) for i in range(6)] + [("c", 1, 0, -9.0), ("c", 7, 1, None), ("d", 0, 0, -1.0), ("c", 99, 0, -1.0), ("c", 99, 0, -1.0), ("c", 6, 500, -2.0), (None, 0, 0, -1.0)]
+    dump = spark.createDataFrame(rows, "codebase string, file_id long, i int, logprob double")
+    losses, coverage = corpus_io.ingest_losses(corpus.unpack_tokens(placed), dump, "2")
+    want = coverage.join(losses.groupBy("language").agg(F.sum("ubits").alias("ubits")), "language", "left").fillna(0, ["ubits"])
+    got = corpus_io.ingest_sums(placed, dump, "2")
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
